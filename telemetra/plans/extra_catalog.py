@@ -1,2 +1,85 @@
-"""Queries for the warehouse, sinks and streaming operators."""
-QUERIES = {}
+"""Queries for the sinks, the warehouse tables and the streaming jobs.
+
+Queries that write (round trips, partitioned stores, streams) put their output under the shared
+checkpoint folder (``spark.checkpoint.dir``), each in a new directory, and return the data read back.
+"""
+
+from __future__ import annotations
+
+from ..operators import warehouse as wh
+from ..session import scratch_path
+from ..sinks import files
+from . import catalog as cat
+
+
+def dim(spark, sf):
+    return wh.dim_devices(cat.transformed(spark, sf))
+
+
+def fact(spark, sf):
+    return wh.fact_sensor_readings(cat.classified(spark, sf), dim(spark, sf))
+
+
+def q_roundtrip_parquet(spark, sf):
+    path = scratch_path(spark, "readings")
+    files.write_parquet(cat.classified(spark, sf), path)
+    return spark.read.parquet(path)
+
+
+def q_dim_devices(spark, sf):
+    return dim(spark, sf)
+
+
+def q_fact_sensor_readings(spark, sf):
+    return fact(spark, sf)
+
+
+def q_constraint_audit(spark, sf):
+    d = dim(spark, sf)
+    return wh.constraint_audit(d, wh.fact_sensor_readings(cat.classified(spark, sf), d))
+
+
+def q_orphan_readings(spark, sf):
+    d = dim(spark, sf)
+    return wh.orphan_readings(wh.fact_sensor_readings(cat.classified(spark, sf), d), d)
+
+
+def q_fact_by_year(spark, sf):
+    path = scratch_path(spark, "fact-by-year")
+    wh.write_fact_by_year(fact(spark, sf), path)
+    return wh.year_summary(spark.read.parquet(path))
+
+
+def q_fact_layout(spark, sf):
+    path = scratch_path(spark, "fact-layout")
+    wh.write_layout(fact(spark, sf), path)
+    return spark.read.parquet(path)
+
+
+def q_asof_reading(spark, sf):
+    t = cat.transformed(spark, sf)
+    return wh.asof_reading(t, wh.daily_probes(t))
+
+
+def q_reporting_gaps(spark, sf):
+    t = cat.transformed(spark, sf)
+    return wh.reporting_gaps(t, wh.dim_devices(t))
+
+
+QUERIES = {
+    "roundtrip_parquet": q_roundtrip_parquet,
+    "dim_devices": q_dim_devices,
+    "fact_sensor_readings": q_fact_sensor_readings,
+    "constraint_audit": q_constraint_audit,
+    "orphan_readings": q_orphan_readings,
+    "fact_by_year": q_fact_by_year,
+    "fact_layout": q_fact_layout,
+    "asof_reading": q_asof_reading,
+    "reporting_gaps": q_reporting_gaps,
+}
+
+try:
+    from ..streaming import jobs as _stream
+    QUERIES.update(_stream.QUERIES)
+except ImportError:  # pragma: no cover - streaming module not present
+    pass
