@@ -72,7 +72,12 @@ class Thresholds:
         )
 
 
-# Width of the time segments that split a device's history for ordered scans (seconds).
-# A segment is the unit of work of the per-device windows, so it bounds the rows a single task
-# holds even when one device owns a large share of the data.
-DEFAULT_SEGMENT_SECONDS = 3600
+# Ordered per-device scans cut each device's history into time segments, the unit of work of the
+# windows. ``None`` sizes segments per device from its row count and time span so that a segment
+# holds about TARGET_SEGMENT_ROWS rows (a device owning a third of the data gets many segments);
+# an int fixes the width in seconds for every device.
+DEFAULT_SEGMENT_SECONDS = None
+TARGET_SEGMENT_ROWS = 1_000_000
+# Per-device tables up to this many rows are broadcast; beyond it, fixed segments of this width.
+BROADCAST_MAX_ROWS = 2_000_000
+FALLBACK_SEGMENT_SECONDS = 3600

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import config as C
 from ..functions.columns import nan_to_null
-from .quality import drop_incomplete, validate
+from .quality import validate
 from .segments import SEG
 from .timeseries import interpolate_linear
 
@@ -34,7 +34,7 @@ def normalise(df: DataFrame) -> DataFrame:
 
 
 def clean(df: DataFrame, validation: str = "enforce", keep_segment: bool = False,
-          segment_seconds: int = C.DEFAULT_SEGMENT_SECONDS) -> DataFrame:
+          segment_seconds: int | None = C.DEFAULT_SEGMENT_SECONDS) -> DataFrame:
     """Interpolate per device → drop incomplete rows → validate.
 
     ``validation``: ``enforce`` (raise on any contract failure; the check re-reads the persisted
@@ -46,15 +46,14 @@ def clean(df: DataFrame, validation: str = "enforce", keep_segment: bool = False
     if missing:
         raise ValueError(f"missing required columns: {', '.join(missing)}")
     d = with_reading_id(normalise(df))
-    d = interpolate_linear(d, keep_segment=True, segment_seconds=segment_seconds)
-    d = drop_incomplete(d)
+    d = interpolate_linear(d, keep_segment=True, segment_seconds=segment_seconds, drop_incomplete=True)
     d = validate(d, validation)
     if not keep_segment:
         d = d.drop(SEG)
     return d
 
 
-def dropped_count(df: DataFrame, segment_seconds: int = C.DEFAULT_SEGMENT_SECONDS) -> DataFrame:
+def dropped_count(df: DataFrame, segment_seconds: int | None = C.DEFAULT_SEGMENT_SECONDS) -> DataFrame:
     """Rows before and after interpolation + drop, and the difference, as one row."""
     d = with_reading_id(normalise(df))
     repaired = interpolate_linear(d, segment_seconds=segment_seconds)

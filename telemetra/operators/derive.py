@@ -10,7 +10,7 @@ from .segments import SEG
 from .timeseries import rolling_and_validity
 
 
-def transform(df: DataFrame, segment_seconds: int = C.DEFAULT_SEGMENT_SECONDS) -> DataFrame:
+def transform(df: DataFrame, segment_seconds: int | None = C.DEFAULT_SEGMENT_SECONDS) -> DataFrame:
     """Add ``temperature_fahrenheit``, ``hour_of_day``, ``temp_rolling_avg_3`` and ``valid_until``.
 
     Rolling mean and validity run over the rows as they are now (after cleaning), per device in

@@ -30,12 +30,39 @@ LPOS = "_lpos"
 LAST_SEGMENT = 2 ** 62
 
 
-def add_segment(df: DataFrame, ts: str = C.TIMESTAMP,
-                seconds: int = C.DEFAULT_SEGMENT_SECONDS) -> DataFrame:
-    """Add the segment number (time bucket of ``seconds``) unless the frame already has one."""
+def segment_widths(df: DataFrame, key: str = C.DEVICE, ts: str = C.TIMESTAMP,
+                   target_rows: int = C.TARGET_SEGMENT_ROWS) -> DataFrame:
+    """Per key, the segment width (seconds) that puts about ``target_rows`` rows in a segment if the
+    key's rows were spread evenly over its time span: a sparse device gets one segment, a device that
+    owns a large share of the data gets many. One aggregate over (key, time), combined map-side."""
+    secs = epoch_seconds(ts, df.schema[ts].dataType)
+    stats = (df.filter(F.col(key).isNotNull() & F.col(ts).isNotNull())
+             .groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(secs).alias("_lo"), F.max(secs).alias("_hi")))
+    width = F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) * F.lit(target_rows) / F.col("_n")))
+    return stats.select(key, width.cast("long").alias("_segw"))
+
+
+def add_segment(df: DataFrame, ts: str = C.TIMESTAMP, seconds: int | None = C.DEFAULT_SEGMENT_SECONDS,
+                key: str = C.DEVICE) -> DataFrame:
+    """Add the segment number unless the frame already has one.
+
+    ``seconds``: a fixed width for every key, or ``None`` for per-key widths (``segment_widths``).
+    The per-key table has one row per key; it is broadcast when its row count is within
+    ``C.BROADCAST_MAX_ROWS`` (checked with one small action), otherwise every key falls back to
+    ``C.FALLBACK_SEGMENT_SECONDS``.
+    """
     if SEG in df.columns:
         return df
     secs = epoch_seconds(ts, df.schema[ts].dataType)
+    if seconds is None:
+        widths = segment_widths(df, key, ts).persist(StorageLevel.MEMORY_AND_DISK)
+        if widths.count() <= C.BROADCAST_MAX_ROWS:
+            d = df.join(F.broadcast(widths), key, "left")
+            width = F.coalesce(F.col("_segw"), F.lit(C.FALLBACK_SEGMENT_SECONDS))
+            d = d.withColumn(SEG, F.coalesce(F.floor(secs / width), F.lit(LAST_SEGMENT)))
+            return d.select(*df.columns, SEG)
+        widths.unpersist()
+        seconds = C.FALLBACK_SEGMENT_SECONDS
     return df.withColumn(SEG, F.coalesce(F.floor(secs / F.lit(seconds)), F.lit(LAST_SEGMENT)))
 
 
@@ -57,7 +84,7 @@ def _b(c: str) -> str:
 
 def known_neighbours(df: DataFrame, cols: list[str], key: str = C.DEVICE,
                      order: list[str] = (C.TIMESTAMP, C.READING_ID),
-                     seconds: int = C.DEFAULT_SEGMENT_SECONDS, backward: bool = True,
+                     seconds: int | None = C.DEFAULT_SEGMENT_SECONDS, backward: bool = True,
                      persist: bool = True) -> DataFrame:
     """For each row and column: the last known value at or before it and the next known value at or
     after it, with their positions in the key's ordered history.
@@ -67,7 +94,7 @@ def known_neighbours(df: DataFrame, cols: list[str], key: str = C.DEVICE,
     Keeps ``_seg`` so a following scan can reuse the partitioning.
     """
     order = list(order)
-    d = add_segment(df, order[0], seconds)
+    d = add_segment(df, order[0], seconds, key=key)
     w = Window.partitionBy(key, SEG).orderBy(*_asc(order))
     up = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.withColumn(LPOS, F.row_number().over(w))
@@ -125,7 +152,7 @@ def known_neighbours(df: DataFrame, cols: list[str], key: str = C.DEVICE,
 
 def neighbour_rows(df: DataFrame, value: str, key: str = C.DEVICE,
                    order: list[str] = (C.TIMESTAMP, C.READING_ID),
-                   seconds: int = C.DEFAULT_SEGMENT_SECONDS, lead_col: str | None = C.TIMESTAMP,
+                   seconds: int | None = C.DEFAULT_SEGMENT_SECONDS, lead_col: str | None = C.TIMESTAMP,
                    persist: bool = False) -> DataFrame:
     """The two rows before and the row after each row, in key order, across segment edges.
 
@@ -133,7 +160,7 @@ def neighbour_rows(df: DataFrame, value: str, key: str = C.DEVICE,
     row ahead); NULL at the ends of a key's history and for rows without a key.
     """
     order = list(order)
-    d = add_segment(df, order[0], seconds)
+    d = add_segment(df, order[0], seconds, key=key)
     w = Window.partitionBy(key, SEG).orderBy(*_asc(order))
     d = d.withColumn(LPOS, F.row_number().over(w))
     d = d.select("*", F.lag(value, 1).over(w).alias("_l1"), F.lag(value, 2).over(w).alias("_l2"),

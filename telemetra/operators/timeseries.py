@@ -22,14 +22,18 @@ def sort_readings(df: DataFrame, key: str = C.DEVICE, ts: str = C.TIMESTAMP,
 
 def interpolate_linear(df: DataFrame, cols: list[str] | None = None, key: str = C.DEVICE,
                        ts: str = C.TIMESTAMP, tie: str = C.READING_ID,
-                       segment_seconds: int = C.DEFAULT_SEGMENT_SECONDS,
-                       keep_segment: bool = False) -> DataFrame:
+                       segment_seconds: int | None = C.DEFAULT_SEGMENT_SECONDS,
+                       keep_segment: bool = False, drop_incomplete: bool = False) -> DataFrame:
     """Fill gaps per device by linear interpolation over row positions (not elapsed time).
 
     Rows are taken in (time, ingest) order, missing times last. A gap between two known values gets
     ``prev + ((next - prev) / (next_pos - prev_pos)) * (pos - prev_pos)``; leading and trailing gaps
     take the nearest known value; a device without any known value stays missing, and so do rows
     without a device. Only columns present in the frame are touched.
+
+    ``drop_incomplete`` then drops every row still missing a value in any column. The test is
+    written on the inputs of the repair (a value stays missing only if the row has no device or no
+    known value on either side), so the optimizer does not copy the whole formula into the filter.
     """
     cols = [c for c in (cols or C.INTERPOLATED_COLUMNS) if c in df.columns]
     if not cols:
@@ -51,13 +55,25 @@ def interpolate_linear(df: DataFrame, cols: list[str] | None = None, key: str =
     out = [filled.get(c, F.col(c)) for c in df.columns if c not in helpers]
     if keep_segment and SEG not in df.columns:
         out.append(F.col(SEG))
+    if drop_incomplete:
+        keep = F.lit(True)
+        for c in df.columns:
+            if c == SEG:
+                continue
+            if c in cols:
+                repairable = F.col(key).isNotNull() & (F.col(f"_prev_{c}").isNotNull()
+                                                       | F.col(f"_next_{c}").isNotNull())
+                keep = keep & (F.col(c).isNotNull() | repairable)
+            else:
+                keep = keep & F.col(c).isNotNull()
+        d = d.filter(keep)
     return d.select(*out)
 
 
 def rolling_and_validity(df: DataFrame, value: str = C.TEMPERATURE, key: str = C.DEVICE,
                          ts: str = C.TIMESTAMP, tie: str = C.READING_ID,
                          rolling_name: str | None = C.ROLLING, valid_name: str | None = C.VALID_UNTIL,
-                         segment_seconds: int = C.DEFAULT_SEGMENT_SECONDS) -> DataFrame:
+                         segment_seconds: int | None = C.DEFAULT_SEGMENT_SECONDS) -> DataFrame:
     """3-row rolling mean of ``value`` (NULL until three rows, or if any of them is missing) and
     ``valid_until`` = the device's next timestamp (NULL on its last reading), in one ordered scan."""
     order = [ts, tie] if tie in df.columns else [ts]
@@ -84,6 +100,6 @@ def valid_until(df: DataFrame, name: str = C.VALID_UNTIL, **kw) -> DataFrame:
     return rolling_and_validity(df, rolling_name=None, valid_name=name, **kw)
 
 
-def segment(df: DataFrame, ts: str = C.TIMESTAMP, seconds: int = C.DEFAULT_SEGMENT_SECONDS) -> DataFrame:
+def segment(df: DataFrame, ts: str = C.TIMESTAMP, seconds: int | None = C.DEFAULT_SEGMENT_SECONDS) -> DataFrame:
     """Expose the segment column, for callers chaining several ordered scans on one shuffle."""
     return add_segment(df, ts, seconds)

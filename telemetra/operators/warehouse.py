@@ -27,7 +27,7 @@ FACT_DECIMALS = {
 HIGH_FREQUENCY_MAX_SECONDS = 60
 
 # A dimension up to this many rows is broadcast to the fact side; beyond it both sides shuffle.
-BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_ROWS = C.BROADCAST_MAX_ROWS
 _ROW_BITS = 33   # monotonically_increasing_id keeps the row number in its lower 33 bits
 
 
@@ -163,7 +163,7 @@ def daily_probes(readings: DataFrame, hour: int = 12) -> DataFrame:
 
 
 def asof_reading(readings: DataFrame, probes: DataFrame, cols: list[str] | None = None,
-                 segment_seconds: int = C.DEFAULT_SEGMENT_SECONDS) -> DataFrame:
+                 segment_seconds: int | None = C.DEFAULT_SEGMENT_SECONDS) -> DataFrame:
     """For each (device, probe_ts): the reading valid then, i.e. the last one at or before the probe
     (``timestamp <= probe_ts < valid_until``); NULLs when the device had not reported yet.
 

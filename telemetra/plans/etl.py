@@ -38,7 +38,7 @@ class RunResult:
 
 def run(readings: DataFrame, temp_threshold: float | None = None, battery_threshold: float | None = None,
         validation: str = "enforce", start=None, end=None,
-        segment_seconds: int = C.DEFAULT_SEGMENT_SECONDS) -> RunResult:
+        segment_seconds: int | None = C.DEFAULT_SEGMENT_SECONDS) -> RunResult:
     """Build the whole run. ``start``/``end`` (inclusive days) filter *before* cleaning, so rows
     outside the range take no part in interpolation. Thresholds: argument beats default."""
     loaded, kept = Observation("loaded"), Observation("kept")
