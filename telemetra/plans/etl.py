@@ -41,7 +41,7 @@ def run(readings: DataFrame, temp_threshold: float | None = None, battery_thresh
         segment_seconds: int | None = C.DEFAULT_SEGMENT_SECONDS) -> RunResult:
     """Build the whole run. ``start``/``end`` (inclusive days) filter *before* cleaning, so rows
     outside the range take no part in interpolation. Thresholds: argument beats default."""
-    loaded, kept = Observation("loaded"), Observation("kept")
+    loaded, kept, flagged = Observation("loaded"), Observation("kept"), Observation("flagged")
     raw = readings
     if start is not None or end is not None:
         raw = date_range_filter(raw, start, end)
@@ -50,6 +50,7 @@ def run(readings: DataFrame, temp_threshold: float | None = None, battery_thresh
     cleaned = cleaned.observe(kept, F.count(F.lit(1)).alias("rows_kept"))
     classified = classify(transform(cleaned, segment_seconds=segment_seconds),
                           temp_threshold, battery_threshold)
+    classified = classified.observe(flagged, F.count_if(F.col(C.IS_ANOMALY)).alias("anomalies"))
     return RunResult(classified=classified, anomalies=anomalies(classified),
                      daily=daily_stats(classified, ordered=True),
-                     observations={"loaded": loaded, "kept": kept})
+                     observations={"loaded": loaded, "kept": kept, "flagged": flagged})
