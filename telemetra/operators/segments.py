@@ -31,10 +31,11 @@ LAST_SEGMENT = 2 ** 62
 
 
 def segment_widths(df: DataFrame, key: str = C.DEVICE, ts: str = C.TIMESTAMP,
-                   target_rows: int = C.TARGET_SEGMENT_ROWS) -> DataFrame:
+                   target_rows: int | None = None) -> DataFrame:
     """Per key, the segment width (seconds) that puts about ``target_rows`` rows in a segment if the
     key's rows were spread evenly over its time span: a sparse device gets one segment, a device that
     owns a large share of the data gets many. One aggregate over (key, time), combined map-side."""
+    target_rows = target_rows or C.TARGET_SEGMENT_ROWS
     secs = epoch_seconds(ts, df.schema[ts].dataType)
     stats = (df.filter(F.col(key).isNotNull() & F.col(ts).isNotNull())
              .groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(secs).alias("_lo"), F.max(secs).alias("_hi")))
