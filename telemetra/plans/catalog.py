@@ -104,12 +104,12 @@ def q_hour_of_day(spark, sf):
 
 
 def q_rolling_avg_3(spark, sf):
-    return timeseries.rolling_mean_3(cleaned(spark, sf, keep_segment=False)) \
+    return timeseries.rolling_mean_3(cleaned(spark, sf)) \
         .select(C.READING_ID, C.DEVICE, C.TIMESTAMP, C.TEMPERATURE, C.ROLLING)
 
 
 def q_valid_until(spark, sf):
-    return timeseries.valid_until(cleaned(spark, sf, keep_segment=False)) \
+    return timeseries.valid_until(cleaned(spark, sf)) \
         .select(C.READING_ID, C.DEVICE, C.TIMESTAMP, C.VALID_UNTIL)
 
 

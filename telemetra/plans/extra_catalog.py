@@ -17,7 +17,8 @@ def dim(spark, sf):
 
 
 def fact(spark, sf):
-    return wh.fact_sensor_readings(cat.classified(spark, sf), dim(spark, sf))
+    c = cat.classified(spark, sf)           # one pipeline feeds both the dimension and the fact
+    return wh.fact_sensor_readings(c, wh.dim_devices(c))
 
 
 def q_roundtrip_parquet(spark, sf):
@@ -35,13 +36,15 @@ def q_fact_sensor_readings(spark, sf):
 
 
 def q_constraint_audit(spark, sf):
-    d = dim(spark, sf)
-    return wh.constraint_audit(d, wh.fact_sensor_readings(cat.classified(spark, sf), d))
+    c = cat.classified(spark, sf)
+    d = wh.dim_devices(c)
+    return wh.constraint_audit(d, wh.fact_sensor_readings(c, d))
 
 
 def q_orphan_readings(spark, sf):
-    d = dim(spark, sf)
-    return wh.orphan_readings(wh.fact_sensor_readings(cat.classified(spark, sf), d), d)
+    c = cat.classified(spark, sf)
+    d = wh.dim_devices(c)
+    return wh.orphan_readings(wh.fact_sensor_readings(c, d), d)
 
 
 def q_fact_by_year(spark, sf):
@@ -57,8 +60,9 @@ def q_fact_layout(spark, sf):
 
 
 def q_asof_reading(spark, sf):
-    t = cat.transformed(spark, sf)
-    return wh.asof_reading(t, wh.daily_probes(t))
+    # the reading valid at t (timestamp <= t < valid_until) is the last cleaned reading at or before t
+    c = cat.cleaned(spark, sf, keep_segment=False)
+    return wh.asof_reading(c, wh.daily_probes(c))
 
 
 def q_reporting_gaps(spark, sf):
