@@ -59,5 +59,7 @@ def date_range_filter(df: DataFrame, start=None, end=None) -> DataFrame:
 
 
 def device_readings(df: DataFrame, device: str) -> DataFrame:
-    """One device's readings; the filter reaches the scan through device-keyed windows."""
+    """One device's readings. Every ordered step is keyed by device, so the filter may be applied
+    before cleaning with the same result; do so when the frame is persisted (a filter does not
+    cross a persisted frame) to keep the other devices out of the shuffle."""
     return df.filter(F.col(C.DEVICE) == device)

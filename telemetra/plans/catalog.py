@@ -59,8 +59,15 @@ def q_date_range_filter(spark, sf):
     return filters.date_range_filter(readings(spark, sf), RANGE_START, RANGE_END)
 
 
+def one_device(spark, sf):
+    """Every step is per device, so selecting the device first gives the same rows; it keeps the
+    other devices out of the shuffle (a filter does not cross a persisted frame by itself)."""
+    r = filters.device_readings(readings(spark, sf), ONE_DEVICE)
+    return derive.transform(cleaning.clean(r, validation="report", keep_segment=True))
+
+
 def q_device_readings(spark, sf):
-    return filters.device_readings(classified(spark, sf), ONE_DEVICE)
+    return anomaly.classify(one_device(spark, sf))
 
 
 def q_missing_profile(spark, sf):
@@ -162,7 +169,7 @@ def q_anomaly_scatter(spark, sf):
 
 
 def q_raw_vs_rolling(spark, sf):
-    return rollups.raw_vs_rolling(transformed(spark, sf), ONE_DEVICE)
+    return rollups.raw_vs_rolling(one_device(spark, sf), ONE_DEVICE)
 
 
 def q_etl_daily(spark, sf):
