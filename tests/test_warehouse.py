@@ -52,3 +52,17 @@ def test_reporting_gaps_against_expected_interval(spark):
     joined = t.join(dim, "device_id").filter(F.col(C.VALID_UNTIL).isNotNull())
     secs = F.unix_seconds(F.col(C.VALID_UNTIL).cast("timestamp")) - F.unix_seconds(F.col(C.TIMESTAMP).cast("timestamp"))
     assert gaps.count() == joined.filter(secs > F.col("expected_interval_seconds") * 2).count()
+
+
+def test_layout_files_cover_disjoint_device_ranges(spark, tmp_out):
+    c = classify(transform(clean(load_readings(spark, SF_SMALL), validation="report")))
+    fact = wh.fact_sensor_readings(c, wh.dim_devices(c))
+    path = tmp_out + "/layout"
+    wh.write_layout(fact, path)
+    back = spark.read.parquet(path)
+    ranges = sorted((r.lo, r.hi) for r in back.groupBy(F.input_file_name().alias("f"))
+                    .agg(F.min("device_key").alias("lo"), F.max("device_key").alias("hi")).collect())
+    assert all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:]))      # row-group stats can skip files
+    q = back.filter(F.col("device_key") == 3)
+    assert "EqualTo(device_key,3)" in q._jdf.queryExecution().executedPlan().toString()
+    assert q.count() == fact.filter(F.col("device_key") == 3).count()
