@@ -15,6 +15,7 @@ from .. import config as C
 from ..operators import anomaly, cleaning, derive, filters, quality, rollups, timeseries
 from ..sources import events as ev
 from ..sources.readers import coercion_report, parse_readings
+from ..session import tune
 from . import etl
 
 # Parameters of the queries that take one (fixed values of this catalog).
@@ -24,6 +25,7 @@ CUSTOM_TEMP, CUSTOM_BATTERY = 25.0, 20.0
 
 
 def readings(spark: SparkSession, sf: str) -> DataFrame:
+    tune(spark)
     return ev.load_readings(spark, sf)
 
 
@@ -44,6 +46,7 @@ def daily(spark, sf) -> DataFrame:
 
 
 def q_readings_raw(spark, sf):
+    tune(spark)
     return parse_readings(ev.load_text_readings(spark, sf), malformed="raise")
 
 

@@ -38,6 +38,23 @@ def build_session(master: str | None = None, app: str = "telemetra",
     return spark
 
 
+# Runtime settings the plans are tuned for; none of them changes a result.
+RUNTIME_SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning": "false",
+}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply ``RUNTIME_SETTINGS`` to a session built elsewhere (they are runtime SQL settings)."""
+    for k, v in RUNTIME_SETTINGS.items():
+        if spark.conf.get(k, None) != v:
+            spark.conf.set(k, v)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from .. import config as C
-from ..functions.columns import exact_avg, is_true
+from ..functions.columns import epoch_seconds, exact_avg, is_true
 from ..operators.quality import contract_rules
 from ..session import scratch_path
 from ..sources.events import events_path, readings_from_events
@@ -48,15 +48,19 @@ def contract_alerts(readings: DataFrame, battery_threshold: float | None = None)
 
 
 def daily_stats_stream(readings: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Daily statistics per device on event time, append mode (a day is final once emitted)."""
-    r = (readings.withColumn("_event_time", F.col(C.TIMESTAMP).cast("timestamp"))
-         .withWatermark("_event_time", delay))
+    """Daily statistics per device on event time, append mode (a day is final once emitted).
+
+    The wall-clock reading time is used as a UTC instant (whole seconds), so days are calendar days
+    of the readings whatever the session time zone."""
+    event_time = F.timestamp_seconds(epoch_seconds(C.TIMESTAMP, readings.schema[C.TIMESTAMP].dataType))
+    r = readings.withColumn("_event_time", event_time).withWatermark("_event_time", delay)
     return (r.groupBy(F.window("_event_time", "1 day").alias("_w"), F.col(C.DEVICE))
             .agg(exact_avg(C.TEMPERATURE).alias("daily_avg_temp"),
                  exact_avg(C.HUMIDITY).alias("daily_avg_humidity"),
                  F.min(C.BATTERY).alias("daily_min_battery"),
                  F.count(F.lit(1)).alias("readings"))
-            .select(C.DEVICE, F.to_date(F.col("_w.start")).alias(C.DATE), "daily_avg_temp",
+            .select(C.DEVICE, F.date_from_unix_date(F.floor(F.unix_seconds(F.col("_w.start")) / 86400)
+                                                    .cast("int")).alias(C.DATE), "daily_avg_temp",
                     "daily_avg_humidity", "daily_min_battery", "readings"))
 
 
