@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid
-from .tables import held_out, learnable, table
+from . import langid, quality
+from .tables import held_out, learnable, stored, table
 
 
 def op6_langid_ecoc(spark: SparkSession, sf: str) -> DataFrame:
@@ -15,8 +15,16 @@ def op6_langid_ecoc(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op8_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    measured = stored(quality.features(table(spark, sf, "documents"), ["doc_id"]), "quality-measures")
+    got = quality.judge(measured, quality.fit(measured))
+    return got.select("__row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                      "base_failed", "kept", "quality")
+
+
 QUERIES = {
     "op6_langid_ecoc": op6_langid_ecoc,
+    "op8_quality_rules": op8_quality_rules,
 }
 
 ORACLE: dict[str, str] = {}
