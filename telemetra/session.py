@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -47,8 +48,25 @@ RUNTIME_SETTINGS = {
 }
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the executors, once per application, so that functions sent to Python workers find it
+    wherever the driver was started (what ``--py-files`` does on submission)."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    name = os.path.basename(os.path.dirname(os.path.abspath(__file__)))
+    zipped = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix=f"{name}-ship-"), name), "zip", root, name)
+    spark.sparkContext.addPyFile(zipped)
+    _shipped.add(app)
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply ``RUNTIME_SETTINGS`` to a session built elsewhere (they are runtime SQL settings)."""
+    ship_package(spark)
     for k, v in RUNTIME_SETTINGS.items():
         if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
