@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, quality
+from . import exact_dedup, langid, quality
 from .tables import held_out, learnable, stored, table
 
 
+def op3_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    got = exact_dedup.exact_duplicates(table(spark, sf, "documents"))
+    return got.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 def op6_langid_ecoc(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     model = langid.train(docs.where(learnable("doc_id", 5, 0)))
@@ -23,8 +28,21 @@ def op8_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_exact_dedup": op3_exact_dedup,
     "op6_langid_ecoc": op6_langid_ecoc,
     "op8_quality_rules": op8_quality_rules,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_exact_dedup": r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n_points,
+         regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
+  FROM documents
+), w AS (
+  SELECT doc_id, norm, count(*) OVER (PARTITION BY norm) AS group_size,
+         first_value(doc_id) OVER (PARTITION BY norm ORDER BY n_points DESC, doc_id) AS keep_id
+  FROM d
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM w""",
+}

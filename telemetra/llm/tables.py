@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..session import scratch_path, shared_dir
+from ..session import scratch_path, shared_dir, ship_package
 
 #: Arrow batches of bounded size, whatever the lengths of the texts (runtime settings; no result depends on them).
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
@@ -15,6 +16,7 @@ def tuned(spark: SparkSession) -> SparkSession:
         if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
     shared_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -39,3 +41,39 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Bitmap:
+    """A set of 64-bit numbers in a bitmap of fixed size: never misses a member, may let others through."""
+
+    BITS = 1 << 23                       # 1 MB, whatever the number of members
+
+    def __init__(self, words: np.ndarray, at: np.ndarray):
+        self.words = np.zeros(self.BITS // 64, np.int64)
+        self.words[at] = words
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        slot = h % self.BITS
+        return (self.words[slot >> 6] >> (slot & 63)) & 1 == 1
+
+
+def fixed_bitmap(members: DataFrame) -> Bitmap:
+    """The bitmap of the one column ``h``. Spark ORs the bits together; at most 131,072 words reach the driver."""
+    slot = F.pmod(F.col("h"), F.lit(Bitmap.BITS))
+    words = members.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(F.expr(
+        f"shiftleft(1L, cast(pmod(h, {Bitmap.BITS}) & 63 as int))")).alias("word")).toPandas()
+    return Bitmap(words["word"].to_numpy(np.int64), words["at"].to_numpy(np.int64))
+
+
+def keep_rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``verdicts`` (doc_id, text_hash, kept) keeps, all columns as they were.
+
+    Rows are matched by id and text, so ids that are null or used twice for different texts are told apart; of rows that agree in
+    both, as many stay as were kept.
+    """
+    kept = verdicts.where("kept").groupBy(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).agg(F.count(F.lit(1)).alias("__n"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("doc_id").alias("__id"),
+                       F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("__t"))
+    both = rows.join(kept, F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__h")))
+    nth = F.row_number().over(Window.partitionBy("__id", "__t").orderBy("__t"))
+    return both.withColumn("__k", nth).where("__k <= __n").select("__row.*")
