@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, langid, quality
+from . import exact_dedup, langid, quality, simhash
 from .tables import held_out, learnable, stored, table
 
 
@@ -13,6 +13,11 @@ def op3_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    got = simhash.near_duplicates(table(spark, sf, "documents"), shingle=4, distance=4)
+    return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op6_langid_ecoc(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     model = langid.train(docs.where(learnable("doc_id", 5, 0)))
@@ -29,6 +34,7 @@ def op8_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_langid_ecoc": op6_langid_ecoc,
     "op8_quality_rules": op8_quality_rules,
 }
