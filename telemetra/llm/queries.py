@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, langid, quality, simhash
+from . import exact_dedup, langid, packing, quality, simhash
 from .tables import held_out, learnable, stored, table
 
 
@@ -32,11 +32,28 @@ def op8_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
                       "base_failed", "kept", "quality")
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer's file on this machine."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def pack_documents(docs: DataFrame) -> DataFrame:
+    cut = stored(packing.pieces(docs, tokenizer_path("byte_bpe_50k.json")), "pieces")
+    slim = cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids")      # the ids stay where they are stored
+    return packing.place(slim).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op9_token_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return pack_documents(table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_langid_ecoc": op6_langid_ecoc,
     "op8_quality_rules": op8_quality_rules,
+    "op9_token_packing": op9_token_packing,
 }
 
 ORACLE: dict[str, str] = {
