@@ -4,10 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, langid, packing, quality, simhash
+from . import exact_dedup, langid, packing, quality, simhash, warc
+from ..session import scratch_path
 from .tables import held_out, learnable, stored, table
 
 
+def op2_warc_transactions(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archive(table(spark, sf, "pages"), path, min_bytes=0)
+    full = warc.transactions(spark, path)
+    r = F.col("response")
+    fields = F.decode(F.col("metadata")[0]["payload"], "utf-8")
+    # what a revisit leaves out is that of the capture it refers to; the payloads stay behind
+    slim = stored(full.select("capture_id", F.regexp_extract(fields, r"page_id: (\S+)", 1).try_cast("long").alias("page_id"), r["record_type"].alias("record_type"),
+                              r["refers_to"].alias("refers"), F.octet_length(r["payload"]).cast("long").alias("size"),
+                              F.when(r["record_type"] == "response", warc.base32_sha1(r["payload"])).otherwise(r["payload_digest"]).alias("payload_digest")), "captures")
+    origin = slim.where("record_type = 'response'").select(F.col("capture_id").alias("refers"), F.col("page_id").alias("refers_to"), F.col("size").alias("full_size"))
+    return slim.join(origin, "refers", "left").select(
+        "page_id", F.when(F.col("record_type") == "response", F.col("size")).otherwise(F.col("full_size")).alias("payload_bytes"),
+        "payload_digest", "record_type", "refers_to")
+
+
 def op3_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     got = exact_dedup.exact_duplicates(table(spark, sf, "documents"))
     return got.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -49,6 +66,7 @@ def op9_token_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_warc_transactions": op2_warc_transactions,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_langid_ecoc": op6_langid_ecoc,
@@ -57,6 +75,18 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_warc_transactions": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex,
+         max(page_id) OVER (PARTITION BY coalesce(html, '')) AS keep
+  FROM pages
+)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(hex, 10 * (x // 8) + 1, 10) AS BIGINT)
+         >> CAST(35 - 5 * (x % 8) AS INTEGER)) & 31 AS INTEGER) + 1, 1) for x in range(32)], '') AS payload_digest,
+       CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> keep THEN keep END AS refers_to
+FROM p""",
     "op3_exact_dedup": r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n_points,
