@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, langid, packing, quality, simhash, warc
+from . import exact_dedup, langid, lm_score, packing, quality, simhash, warc
 from ..session import scratch_path
 from .tables import held_out, learnable, stored, table
 
 
+def op1_lm_score(spark: SparkSession, sf: str) -> DataFrame:
+    return lm_score.score_documents(table(spark, sf, "documents").select("doc_id", "text"), held_out("doc_id", 7, 2))
+
+
 def op2_warc_transactions(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_archive(table(spark, sf, "pages"), path, min_bytes=0)
@@ -66,6 +70,7 @@ def op9_token_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_score": op1_lm_score,
     "op2_warc_transactions": op2_warc_transactions,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
