@@ -76,8 +76,8 @@ def normalised(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(normalised bytes, offsets by document, code points of each original text)."""
     data, offs = X.utf8(col)
     keep = ~X.SPACE[data]
-    at = np.concatenate([[0], np.cumsum(keep, dtype=np.int64)])[offs]
-    points = X.sums(((data & 0xC0) != 0x80).astype(np.int64), offs)
+    at = np.concatenate([[0], np.cumsum(X.sums(keep, offs, np.int64))])
+    points = X.sums((data & 0xC0) != 0x80, offs, np.int64)
     return data[keep], at, points
 
 

@@ -77,13 +77,15 @@ def _feature_rows(batches):
     for b in batches:
         data, offs = X.utf8(b.column(2))
         ids, counts = [], []
-        for i, j, d, o in X.chunks(data, offs):
+        for i, j, d, o, begins, ends in X.stretches(data, offs):
             g, go = trigrams(d, o)
             for k in range(j - i):
                 c = np.bincount(g[go[k]:go[k + 1]], minlength=BUCKETS + 1)[:BUCKETS]
-                at = np.flatnonzero(c)
-                ids.append(at.astype("<u2").tobytes())
-                counts.append(c[at].astype("<f4").tobytes())
+                own = c if begins else own + c
+                if ends:
+                    at = np.flatnonzero(own)
+                    ids.append(at.astype("<u2").tobytes())
+                    counts.append(own[at].astype("<f4").tobytes())
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())],
                                          names=["lang", "rank", "ids", "counts"])
 
@@ -136,10 +138,10 @@ def scorer(model: Model):
         data, offs = X.utf8(col)
         n = len(offs) - 1
         margins = np.zeros((n, model.code.shape[1]))
-        for i, j, d, o in X.chunks(data, offs):
+        for i, j, d, o, _, _ in X.stretches(data, offs):
             g, go = trigrams(d, o)
-            total = X.sums(np.take(model.weights, g, axis=0), go)
-            margins[i:j] = 100 * total / np.maximum(o[1:] - o[:-1], 1)[:, None] + model.bias
+            margins[i:j] += X.sums(np.take(model.weights, g, axis=0), go)
+        margins = 100 * margins / np.maximum(np.diff(offs), 1)[:, None] + model.bias
         known = np.array([t is not None and any(map(str.isalpha, t)) for t in col.to_pylist()], bool) if k else np.zeros(n, bool)
         loss = np.log1p(np.exp(-np.clip(margins[:, None, :] * model.code, -30, 30))) @ model.bit_weight
         p = np.exp(loss.min(1, keepdims=True) - loss) if k else np.zeros((n, 1))

@@ -21,7 +21,6 @@ from . import text as X
 WINDOW = 1024
 END_ID = 0
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
-CACHE = 1 << 20        # distinct pre-tokens whose ids a worker remembers
 
 
 class ByteLevelEncoder:
@@ -44,13 +43,7 @@ class ByteLevelEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.kind = np.full(0x110000, 255, np.uint8)
-        self._forget()
-
-    def _forget(self):
-        self.known = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.spans_seen = X.SpanIds()
 
     def _kinds(self, points: np.ndarray) -> np.ndarray:
         kind = self.kind[points]
@@ -96,38 +89,16 @@ class ByteLevelEncoder:
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets by document) of a run of documents in UTF-8."""
-        whole = data.tobytes().decode("utf-8")
-        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
-        doc = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offs]
+        whole, points, doc = X.code_points(data, offs)
         if not len(points):
             return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
         starts = self.spans(points, doc)
-        ends = np.append(starts[1:], len(points))
-        h = X.span_hashes(X.mix(points.astype(np.uint64) + np.uint64(1)), starts, ends)
-        distinct, where, which = np.unique(h, return_index=True, return_inverse=True)
-        slot = self._slots(distinct, whole, starts[where], ends[where])
-        at, size = self.at[slot][which], self.size[slot][which]
-        total = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.repeat(at - total[:-1], size) + np.arange(total[-1])]
-        return ids, total[np.searchsorted(starts, doc)]
 
-    def _slots(self, hashes: np.ndarray, whole: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Place of each distinct pre-token in the cache, after encoding those it lacks."""
-        if len(self.known) > CACHE:
-            self._forget()
-        p = np.searchsorted(self.known, hashes)
-        have = np.zeros(len(hashes), bool)
-        inside = p < len(self.known)
-        have[inside] = self.known[p[inside]] == hashes[inside]
-        new = np.flatnonzero(~have)
-        if len(new):
-            got = [e.ids for e in self.tok.encode_batch_fast([whole[s:e] for s, e in zip(starts[new].tolist(), ends[new].tolist())], add_special_tokens=False)]
-            size = np.fromiter(map(len, got), np.int64, len(got))
-            at = len(self.ids) + np.cumsum(size) - size
-            self.ids = np.concatenate([self.ids, np.array([i for g in got for i in g], np.uint32)])
-            where = p[new]
-            self.known, self.at, self.size = (np.insert(x, where, y) for x, y in ((self.known, hashes[new]), (self.at, at), (self.size, size)))
-        return np.searchsorted(self.known, hashes)
+        def encode(s, e):
+            texts = [whole[a:b] for a, b in zip(s.tolist(), e.tolist())]
+            return [x.ids for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        ids, total = self.spans_seen.encode(points, starts, np.append(starts[1:], len(points)), encode)
+        return ids, total[np.searchsorted(starts, doc)]
 
 
 def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
@@ -146,8 +117,15 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int =
         enc, source, seen = ByteLevelEncoder(tokenizer), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
         for b in batches:
             data, offs = X.utf8(b.column(1))
-            for i, j, d, o in X.chunks(data, offs):
+            held: list[np.ndarray] = []
+            for i, j, d, o, begins, ends in X.stretches(data, offs):
                 ids, at = enc.encode(d, o)
+                if not (begins and ends):                # a long document: its ids, stretch by stretch
+                    held.append(ids)
+                    if not ends:
+                        continue
+                    ids, held = np.concatenate(held), []
+                    at = np.array([0, len(ids)])
                 n = j - i
                 count = np.diff(at) + 1
                 bound = np.concatenate([[0], np.cumsum(count)])
@@ -165,8 +143,8 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int =
                 by = length[order]
                 nth[order] = np.arange(len(row)) - np.searchsorted(by, by) + seen[by]
                 seen += np.bincount(length, minlength=window + 1)
-                held = pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((np.append(begin, bound[-1]) * 4).astype(np.int32)), pa.py_buffer(flat)])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, n).take(pa.array(row)), pa.array(start), pa.array(length), held,
+                cut = pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((np.append(begin, bound[-1]) * 4).astype(np.int32)), pa.py_buffer(flat)])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, n).take(pa.array(row)), pa.array(start), pa.array(length), cut,
                                                   pa.array(count[row]), pa.array(np.full(len(row), source, np.int32)), pa.array(nth)], names=schema.names)
 
     return src.mapInArrow(run, schema)

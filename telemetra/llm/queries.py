@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, langid, lm_score, packing, quality, simhash, warc
+from . import exact_dedup, langid, lm_score, packing, pieces, quality, simhash, toxicity, warc
 from ..session import scratch_path
 from .tables import held_out, learnable, stored, table
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer's file on this machine."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def op1_lm_score(spark: SparkSession, sf: str) -> DataFrame:
     return lm_score.score_documents(table(spark, sf, "documents").select("doc_id", "text"), held_out("doc_id", 7, 2))
 
@@ -34,6 +40,15 @@ def op3_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    path = tokenizer_path("piece_bpe_32k.model")
+    coded = pieces.encode_texts(table(spark, sf, "documents"), path, ["doc_id", "text"])
+    back = pieces.decode_pieces(coded, path, ["doc_id", "text", "pieces"])
+    # a text that itself holds the blank sign comes back with blanks, as from any decoder of the model
+    return back.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "pieces",
+                       (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("restored"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     got = simhash.near_duplicates(table(spark, sf, "documents"), shingle=4, distance=4)
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -46,6 +61,14 @@ def op6_langid_ecoc(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    index = toxicity.train(docs, table(spark, sf, "labels"), learnable("doc_id", 4, 2))
+    got = toxicity.score_toxicity(docs, index, ["doc_id"])
+    return got.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"),
+                      "evidence", "similarity")
+
+
 def op8_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     measured = stored(quality.features(table(spark, sf, "documents"), ["doc_id"]), "quality-measures")
     got = quality.judge(measured, quality.fit(measured))
@@ -53,12 +76,6 @@ def op8_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
                       "base_failed", "kept", "quality")
 
 
-def tokenizer_path(name: str) -> str:
-    """Place of a public tokenizer's file on this machine."""
-    import public_tokenizers
-    return public_tokenizers.path(name)
-
-
 def pack_documents(docs: DataFrame) -> DataFrame:
     cut = stored(packing.pieces(docs, tokenizer_path("byte_bpe_50k.json")), "pieces")
     slim = cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids")      # the ids stay where they are stored
@@ -73,8 +90,10 @@ QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_warc_transactions": op2_warc_transactions,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_langid_ecoc": op6_langid_ecoc,
+    "op7_toxicity": op7_toxicity,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_packing": op9_token_packing,
 }

@@ -89,6 +89,28 @@ def chunks(data: np.ndarray, offs: np.ndarray, limit: int = CHUNK_BYTES):
         i = j
 
 
+def stretches(data: np.ndarray, offs: np.ndarray, limit: int = CHUNK_BYTES):
+    """As ``chunks``, but a document of more than two runs comes in stretches: (first, last + 1, bytes, offsets, whether it
+    begins its document, whether it ends it). A stretch after the first starts with a blank (0x20) that follows
+    something else than white space; where the text has no such place the stretch goes on."""
+    for i, j, d, o in chunks(data, offs, limit):
+        if len(d) <= 2 * limit:
+            yield i, j, d, o, True, True
+            continue
+        s = 0
+        while s < len(d):
+            e = s + limit
+            while True:                              # look for the place run by run
+                w = d[e - 1:e + limit]
+                at = np.flatnonzero((w[1:] == 32) & ~SPACE[w[:-1]])
+                if len(at) or e + limit >= len(d):
+                    break
+                e += limit
+            e = e + int(at[0]) if len(at) else len(d)
+            yield i, j, d[s:e], np.array([0, e - s]), s == 0, e == len(d)
+            s = e
+
+
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, document) of every word."""
     n = len(data)
@@ -109,15 +131,60 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, ends, np.searchsorted(offs, starts, "right") - 1
 
 
-def sums(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
+def sums(values: np.ndarray, offs: np.ndarray, kind=None) -> np.ndarray:
     """Sum of ``values`` over each [offs[i], offs[i+1]); empty ranges give zero."""
-    out = np.zeros((len(offs) - 1,) + values.shape[1:], values.dtype)
+    kind = kind or values.dtype
+    out = np.zeros((len(offs) - 1,) + values.shape[1:], kind)
     full = np.flatnonzero(offs[1:] > offs[:-1])
     if len(full):
-        out[full] = np.add.reduceat(values, offs[:-1][full], axis=0)
+        out[full] = np.add.reduceat(values, offs[:-1][full], axis=0, dtype=kind)
     return out
 
 
+def code_points(data: np.ndarray, offs: np.ndarray) -> tuple[str, np.ndarray, np.ndarray]:
+    """(text, code points, offsets in code points) of a run of UTF-8 documents."""
+    whole = data.tobytes().decode("utf-8")
+    points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+    return whole, points, np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offs]
+
+
+class SpanIds:
+    """Ids of distinct text spans, remembered by hash: arrays sorted by hash, emptied beyond ``limit`` spans."""
+
+    def __init__(self, limit: int = 1 << 20):
+        self.limit = limit
+        self._forget()
+
+    def _forget(self):
+        self.known = np.zeros(0, np.uint64)
+        self.at = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def encode(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all spans in order, how many of them up to each span). ``encode(starts, ends)`` gives a list of id lists
+        and is called once, with the first place of every span that is not remembered."""
+        h = span_hashes(mix(points.astype(np.uint64) + np.uint64(1)), starts, ends)
+        distinct, where, which = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.known) > self.limit:
+            self._forget()
+        p = np.searchsorted(self.known, distinct)
+        have = np.zeros(len(distinct), bool)
+        inside = p < len(self.known)
+        have[inside] = self.known[p[inside]] == distinct[inside]
+        new = np.flatnonzero(~have)
+        if len(new):
+            got = encode(starts[where[new]], ends[where[new]])
+            size = np.fromiter(map(len, got), np.int64, len(got))
+            at = len(self.ids) + np.cumsum(size) - size
+            self.ids = np.concatenate([self.ids, np.array([i for g in got for i in g], np.uint32)])
+            self.known, self.at, self.size = (np.insert(x, p[new], y) for x, y in ((self.known, distinct[new]), (self.at, at), (self.size, size)))
+        slot = np.searchsorted(self.known, distinct)
+        at, size = self.at[slot][which], self.size[slot][which]
+        total = np.concatenate([[0], np.cumsum(size)])
+        return self.ids[np.repeat(at - total[:-1], size) + np.arange(total[-1])], total
+
+
 def append_columns(df: DataFrame, keep: list[str], fields: list[T.StructField], make, text: str = "text") -> DataFrame:
     """``keep`` columns of ``df`` plus ``fields``, which ``make()(texts)`` computes for each Arrow batch.
 
