@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, langid, lm_score, packing, pieces, quality, simhash, toxicity, warc
+from . import exact_dedup, langid, license, lm_score, packing, pieces, quality, simhash, toxicity, warc
 from ..session import scratch_path
 from .tables import held_out, learnable, stored, table
 
@@ -86,6 +86,11 @@ def op9_token_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack_documents(table(spark, sf, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return license.scan(docs, license.train(docs))
+
+
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_warc_transactions": op2_warc_transactions,
@@ -96,6 +101,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_packing": op9_token_packing,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE: dict[str, str] = {
