@@ -43,7 +43,8 @@ def features(docs: DataFrame, keep: list[str] | None = None, text: str = "text")
     Null text has no words, all counts 0. Repeated rows are measured alike; an empty table stays empty.
     ``n_repeat_words`` counts the words that lie in a three-word window found at least twice in the text:
     windows are sorted by their hash, those with an equal neighbour are marked, and the marked positions
-    are measured as overlapping runs. Work per text is n log n, with no shuffle.
+    are measured as overlapping runs. Work per text is n log n, with no shuffle. Store the result before filtering on it:
+    a filter pushed below these steps would repeat them for every reference.
     """
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in (keep or [])] or [F.lit(None).alias("none")]).alias("__row"),
                        F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__t"))
