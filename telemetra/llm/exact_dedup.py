@@ -132,9 +132,10 @@ def parts(docs: DataFrame, primes, wanted=None, size: int = PART) -> DataFrame:
 
 def _classes(rows: DataFrame, by: list[str]) -> DataFrame:
     """Rows with their class's keep_id, group_size and kept: the row with the most code points, then the smallest
-    doc_id (null last), then the smallest rid. Partial sums first, so a class of any size is a few rows to join."""
+    doc_id (null last), then the smallest rid. Classes are stored before the join: both its sides are then plain shuffles, which
+    Spark splits where one class holds many rows."""
     order = F.struct((-F.col("n_points")).alias("p"), F.col("doc_id").isNull().alias("u"), F.col("doc_id").alias("d"), F.col("rid").alias("r"))
-    best = rows.groupBy(*by).agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    best = stored(rows.groupBy(*by).agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("group_size")), "classes")
     return (rows.join(best, by).select("doc_id", F.col("best.d").alias("keep_id"), "group_size",
                                        (F.col("rid") == F.col("best.r")).alias("kept"), "text_sha256", "text_hash"))
 
