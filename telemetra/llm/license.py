@@ -10,6 +10,8 @@ Everything runs as DataFrame functions and Spark's own regression: no Python on
 
 from __future__ import annotations
 
+import json
+import re
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
@@ -17,6 +19,8 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .tables import stored
+
 UNKNOWN = "unknown"
 #: Wording of public licence notices, by family, and of notices that belong to none of them.
 NOTICES = [
@@ -60,6 +64,12 @@ def grams_of(words: Column) -> Column:
     return F.array_distinct(F.when(F.size(words) > 1, F.concat(words, pairs)).otherwise(words))
 
 
+def notice_grams(text: str) -> list[str]:
+    """``grams_of`` of a notice (plain ASCII), for use as a constant."""
+    w = [x for x in re.split("[^a-z0-9]+", text.lower()) if x]
+    return list(dict.fromkeys(w + [f"{a} {b}" for a, b in zip(w, w[1:])]))
+
+
 @dataclass
 class Model:
     families: list[str]                    # classes, unknown among them
@@ -159,14 +169,15 @@ def scan(docs: DataFrame, model: Model, probability: float = 0.5, similarity: fl
     licence_word = lambda w: F.get(bits, F.shiftright(_slot(w), 6)).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), _slot(w).bitwiseAND(F.lit(63)))) != 0
     rows = docs.select("doc_id", F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n").alias("lines"))
     hits = rows.select("doc_id", "lines", F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.exists(
-        F.split(F.lower(F.get("lines", i)), "[^a-z0-9]+"), licence_word)).alias("hits")).where(F.size("hits") > 0)
-    line = hits.select("doc_id", F.explode(F.transform("hits", lambda i: F.struct(
+        F.split(F.lower(F.get("lines", i)), "[^a-z0-9]+"), licence_word)).alias("hits"))
+    # the outer form: for the other one Spark would put a filter on the array below, and compute it again for every reference
+    line = hits.select("doc_id", F.explode_outer(F.transform("hits", lambda i: F.struct(
         i.alias("paragraph"), F.get("lines", i).alias("line"),
-        F.aggregate(F.slice("lines", 1, i), F.lit(0), lambda s, x: s + F.length(x) + 1).alias("start")))).alias("h")).select("doc_id", "h.*")
-    table = F.create_map(*[x for g, w in sorted(model.weights.items()) for x in (F.lit(g), F.array(*[F.lit(v) for v in w]))]) if model.weights else None
+        F.aggregate(F.slice("lines", 1, i), F.lit(0), lambda s, x: s + F.length(x) + 1).alias("start")))).alias("h")).where("h is not null").select("doc_id", "h.*")
+    table = F.from_json(F.lit(json.dumps(model.weights)), "map<string,array<double>>")      # folded to one constant
     scored = line.withColumn("words", words_of(F.col("line"))).withColumn("grams", grams_of(F.col("words")))
-    found = F.filter(F.transform("grams", lambda g: F.try_element_at(table, g)), lambda w: w.isNotNull()) if table is not None else F.array().cast("array<array<double>>")
-    scored = scored.withColumn("found", found)
+    scored = scored.withColumn("found", F.filter(F.transform("grams", lambda g: F.try_element_at(table, g)), lambda w: w.isNotNull()))
+    scored = stored(scored, "licence-lines")           # few lines; what follows refers to these columns many times
     z = F.array(*[_class_score(k, b) for k, b in enumerate(model.bias)])
     scored = scored.withColumn("z", F.transform(z, lambda x: x / model.temperature)).withColumn("best", F.array_max("z"))
     total = F.aggregate("z", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("best")))
@@ -176,7 +187,7 @@ def scan(docs: DataFrame, model: Model, probability: float = 0.5, similarity: fl
     likeness = []
     for k, (family, text) in enumerate(NOTICES):
         if family != UNKNOWN:
-            t = grams_of(words_of(F.lit(text)))
+            t = F.split(F.lit("|".join(notice_grams(text))), "[|]")
             both = F.size(F.array_intersect("grams", t))
             held = F.greatest(both / F.size(t), F.when(F.size("words") >= 5, both / F.size("grams")).otherwise(0.0))
             likeness.append(F.struct(F.when(F.col("predicted") == family, held).otherwise(-1.0).alias("s"), F.lit(-k).alias("k")))
