@@ -3,7 +3,7 @@
 Terms are beginnings of words at rates: "words that begin with these four, five or six bytes are at least so frequent in the
 text". The terms that tell the classes apart are chosen on the examples, weighted by inverse document frequency, and every
 example is a unit vector of them. The index keeps postings by block of examples and, for each term and block, the
-largest weight. A text visits blocks in order of their upper bound and stops when no later block can change its nearest
+largest weight. A text sums the blocks with the highest upper bounds, then those others whose bound could still change its nearest
 neighbours, which are therefore exact. Neighbours vote by similarity; the votes are calibrated on the examples themselves, each
 left out in turn. A text without any chosen term gets the calibrated rate of such examples.
 """
@@ -21,6 +21,7 @@ from . import text as X
 RATES = np.array([0.003, 0.006, 0.012, 0.025])     # words in a text that begin alike, as a share: the levels above "at all"
 SIZES = (4, 5, 6)
 BLOCK = 64
+FIRST = 4              # blocks summed before any is ruled out
 LETTER = np.zeros(256, bool)
 LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 FIELDS = [T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.LongType())), T.StructField("similarity", T.ArrayType(T.DoubleType()))]
@@ -100,32 +101,36 @@ class Index:
     empty: float           # probability of a text without chosen terms
     sieve: np.ndarray
 
+    def _cosines(self, terms: np.ndarray, q: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines) of the examples of ``blocks`` that share a term: the terms' postings there, summed."""
+        first, size = self.edge[terms][:, blocks].ravel(), (self.edge[terms][:, blocks + 1] - self.edge[terms][:, blocks]).ravel()
+        done = np.cumsum(size)
+        at = np.repeat(first - done + size, size) + np.arange(done[-1] if len(done) else 0)
+        sim = np.bincount(self.post_doc[at], self.post_weight[at] * np.repeat(np.repeat(q, len(blocks)), size), len(self.ids))
+        d = np.flatnonzero(sim)
+        return d, sim[d]
+
     def nearest(self, terms: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest, most similar first, ties by example number; cosine 0 is no neighbour."""
+        """(examples, cosines) of the k nearest, most similar first, ties by example number; cosine 0 is no neighbour.
+
+        The blocks with the highest bounds are summed first; of the others only those whose bound reaches the k-th best
+        cosine found there."""
         q = self.idf[terms]
         q = q / np.sqrt((q * q).sum())
         bound = q @ self.most[terms]
-        best_d, best_s = np.zeros(0, np.int64), np.zeros(0)
-        least = 0.0
-        for block in np.argsort(-bound, kind="stable").tolist():
-            if bound[block] <= 0 or (len(best_d) == self.k and bound[block] < least - 1e-9):
-                break
-            sim = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), q.tolist()):
-                s, e = self.edge[t, block], self.edge[t, block + 1]
-                if e > s:
-                    sim[self.post_doc[s:e] - block * BLOCK] += w * self.post_weight[s:e]
-            if skip // BLOCK == block and skip >= 0:
-                sim[skip % BLOCK] = 0
-            at = np.flatnonzero(sim > max(least - 1e-9, 0))
-            if not len(at):
-                continue
-            d, s = np.concatenate([best_d, at + block * BLOCK]), np.concatenate([best_s, sim[at]])
-            order = np.lexsort((d, -np.round(s, 9)))[:self.k]
-            best_d, best_s = d[order], s[order]
-            if len(best_d) == self.k:
-                least = float(best_s[-1])
-        return best_d, best_s
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        if not len(order):
+            return np.zeros(0, np.int64), np.zeros(0)
+        d, s = self._cosines(terms, q, order[:FIRST])
+        d, s = d[d != skip], s[d != skip]
+        least = np.partition(s, len(s) - self.k)[len(s) - self.k] if len(s) >= self.k else 0.0
+        rest = order[FIRST:][bound[order[FIRST:]] >= least - 1e-9]
+        if len(rest):
+            d2, s2 = self._cosines(terms, q, rest)
+            d, s = np.concatenate([d, d2[d2 != skip]]), np.concatenate([s, s2[d2 != skip]])
+        best = np.lexsort((d, -np.round(s, 9)))[:self.k]
+        return d[best], s[best]
 
     def vote(self, d: np.ndarray, s: np.ndarray) -> float:
         """Similarity-weighted share of toxic neighbours; the nearer the heavier."""
