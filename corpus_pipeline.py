@@ -27,7 +27,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that pass the base checks and are probably good."""
     tuned(spark)
-    measured = stored(quality.features(docs, docs.columns), "measured")     # measured once, for the fit and the verdict
+    measured = quality.measure(docs, docs.columns)
     return quality.judge(measured, quality.fit(measured)).where("kept").select("__row.*")
 
 

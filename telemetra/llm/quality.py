@@ -13,6 +13,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .tables import stored
+
 BLANK = r"[\x20\x09-\x0D]"
 #: (rule, measure, bad when the measure is above, good when it is at most); between the two it abstains.
 RULES = [
@@ -36,17 +38,23 @@ def _window_words(w: str = "__w") -> tuple[Column, Column]:
     return n, hashes
 
 
-def features(docs: DataFrame, keep: list[str] | None = None, text: str = "text") -> DataFrame:
+def measure(docs: DataFrame, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """The measures of each row of ``docs``, with the columns ``keep`` in a struct ``__row`` (so that no name
-    can clash).
+    can clash), stored once: the fit and the verdict both read them.
 
     Null text has no words, all counts 0. Repeated rows are measured alike; an empty table stays empty.
     ``n_repeat_words`` counts the words that lie in a three-word window found at least twice in the text:
     windows are sorted by their hash, those with an equal neighbour are marked, and the marked positions
-    are measured as overlapping runs. Work per text is n log n, with no shuffle. Store the result before filtering on it:
-    a filter pushed below these steps would repeat them for every reference.
+    are measured as overlapping runs. Work per text is n log n, with no shuffle.
+    """
+    return stored(_features(docs, keep or [], text), "quality-measures")
+
+
+def _features(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """The plan behind ``measure``. A filter pushed below its steps would repeat them for every reference, so it is stored
+    before anything is asked of it.
     """
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in (keep or [])] or [F.lit(None).alias("none")]).alias("__row"),
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep] or [F.lit(None).alias("none")]).alias("__row"),
                        F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__t"))
     a = base.withColumn("__p", F.split("__t", BLANK))
     b = (a.withColumn("__w", F.filter("__p", lambda x: x != ""))
@@ -72,15 +80,15 @@ def features(docs: DataFrame, keep: list[str] | None = None, text: str = "text")
     return e.select(*rest, F.coalesce(runs, F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
-def votes() -> Column:
-    """The votes as one number in base 3: 0 abstain, 1 good, 2 bad for each rule. A measure without a value
-    (no words) abstains."""
-    total = F.lit(0)
-    for k, (_, measure, bad, good) in enumerate(RULES):
-        m = F.expr(measure.replace("/ n_words", "/ nullif(n_words, 0)").replace("/ n_lines", "/ nullif(n_lines, 0)")
-                   .replace("/ word_chars", "/ nullif(word_chars, 0)"))
-        total = total + F.when(m > bad, 2).when(m <= good, 1).otherwise(0) * 3 ** k
-    return total
+def votes() -> list[Column]:
+    """The vote of each rule: 0 abstain, 1 good, 2 bad. A measure without a value (no words) abstains."""
+    out = []
+    for _, measure, bad, good in RULES:
+        for total in ("n_words", "n_lines", "word_chars"):
+            measure = measure.replace(f"/ {total}", f"/ nullif({total}, 0)")
+        m = F.expr(measure)
+        out.append(F.when(m > bad, 2).when(m <= good, 1).otherwise(0))
+    return out
 
 
 @dataclass
@@ -89,10 +97,10 @@ class Model:
     good_if_good: list[float]  # by rule: P(votes good | document good, rule votes)
     good_if_bad: list[float]   # by rule: P(votes good | document bad, rule votes)
 
-    def posterior(self, pattern: Column) -> Column:
+    def posterior(self, vote: list[Column]) -> Column:
+        """The probability that a document with these votes is good."""
         z = F.lit(math.log(self.prior / (1 - self.prior)))
-        for k, (g, b) in enumerate(zip(self.good_if_good, self.good_if_bad)):
-            v = F.floor(pattern / 3 ** k).cast("int") % 3
+        for v, g, b in zip(vote, self.good_if_good, self.good_if_bad):
             z = z + F.when(v == 1, math.log(g / b)).when(v == 2, math.log((1 - g) / (1 - b))).otherwise(0.0)
         return 1 / (1 + F.exp(-z))
 
@@ -104,13 +112,13 @@ def fit(measured: DataFrame, steps: int = 30) -> Model:
     table. Counts are smoothed by one vote of either kind, so no estimate reaches 0 or 1. An empty table
     leaves the starting values.
     """
-    from .tables import stored
     model = Model(0.8, [0.98] * len(RULES), [0.7] * len(RULES))
-    counts = stored(measured.where(~base_failed()).groupBy(votes().alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
-                    .coalesce(1), "vote-patterns")
-    vote = [F.floor(F.col("pattern") / 3 ** k).cast("int") % 3 for k in range(len(RULES))]
+    names = [f"v{k}" for k in range(len(RULES))]
+    voted = measured.where(~base_failed()).select(*[v.alias(n) for v, n in zip(votes(), names)])
+    counts = stored(voted.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "vote-patterns")
+    vote = [F.col(n) for n in names]
     for _ in range(steps):
-        p = counts.withColumn("g", F.col("n") * model.posterior(F.col("pattern"))).withColumn("b", F.col("n") - F.col("g"))
+        p = counts.withColumn("g", F.col("n") * model.posterior(vote)).withColumn("b", F.col("n") - F.col("g"))
         sums = [F.sum("g").alias("g"), F.sum("n").alias("n")]
         for k, v in enumerate(vote):
             sums += [F.sum(F.when(v == x, F.col(c))).alias(f"{c}{x}_{k}") for c in "gb" for x in (1, 2)]
@@ -136,7 +144,6 @@ def base_failed() -> Column:
 def judge(measured: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """``measured`` with base_failed, quality (the posterior probability) and kept: not base_failed and
     quality of at least ``threshold``."""
-    q = model.posterior(F.col("__votes"))
-    return (measured.withColumn("__votes", votes()).withColumn("quality", q).drop("__votes")
+    return (measured.withColumn("quality", model.posterior(votes()))
             .withColumn("base_failed", base_failed())
             .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold)))

@@ -70,7 +70,7 @@ def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
-    measured = stored(quality.features(table(spark, sf, "documents"), ["doc_id"]), "quality-measures")
+    measured = quality.measure(table(spark, sf, "documents"), ["doc_id"])
     got = quality.judge(measured, quality.fit(measured))
     return got.select("__row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                       "base_failed", "kept", "quality")
