@@ -78,6 +78,3 @@ class Thresholds:
 # an int fixes the width in seconds for every device.
 DEFAULT_SEGMENT_SECONDS = None
 TARGET_SEGMENT_ROWS = 1_000_000
-# Per-device tables up to this many rows are broadcast; beyond it, fixed segments of this width.
-BROADCAST_MAX_ROWS = 2_000_000
-FALLBACK_SEGMENT_SECONDS = 3600

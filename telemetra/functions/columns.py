@@ -31,10 +31,6 @@ def hour_of_day(ts: str | Column) -> Column:
     return F.hour(col(ts))
 
 
-def calendar_date(ts: str | Column) -> Column:
-    return F.to_date(col(ts))
-
-
 def is_true(cond: Column) -> Column:
     """A comparison with a missing value counts as False, never NULL."""
     return F.coalesce(cond, F.lit(False))
@@ -53,15 +49,21 @@ def epoch_seconds(ts: str | Column, dtype: T.DataType) -> Column:
     return F.unix_seconds(c.cast("timestamp"))
 
 
-def exact_avg(c: str | Column, scale: int = 9) -> Column:
-    """Mean whose sum is exact (DECIMAL(38, scale)), so the result does not depend on how the rows
-    were split into partitions or in which order partial sums were merged; NULL when no values."""
-    c = col(c)
-    total = F.sum(c.cast(f"decimal(38,{scale})")).cast("double")
-    return F.try_divide(total, F.count(c).cast("double"))
+def epoch_micros(ts: str | Column, dtype: T.DataType) -> Column:
+    """Microseconds since 1970-01-01 of a timestamp, monotone in the timestamp, as ``epoch_seconds``."""
+    c = col(ts)
+    if isinstance(dtype, T.TimestampNTZType):
+        return epoch_seconds(c, dtype) * 1_000_000 + F.date_format(c, "SSSSSS").cast("long")
+    return F.unix_micros(c.cast("timestamp"))
+
+
+def mean(c: str | Column) -> Column:
+    """Mean of the values that are there: NULL and NaN are missing, infinities count. Its last digits depend on the order
+    of addition; comparisons across engines round it."""
+    return F.avg(nan_to_null(c))
 
 
-def round_floats(df, digits: int = 6):
+def round_floats(df, digits: int = 9):
     """Round every DOUBLE/FLOAT column, the comparison rule for results shared across engines."""
     out = []
     for f in df.schema.fields:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .. import config as C
-from ..functions.columns import is_true
+from ..functions.columns import is_true, nan_to_null
 from .timeseries import rolling_mean_3
 
 ANOMALY_REPORT_COLUMNS = [C.TIMESTAMP, C.DEVICE, C.TEMPERATURE, C.BATTERY, C.ANOMALY_TYPE]
@@ -21,8 +21,8 @@ def classify(df: DataFrame, temp_threshold: float | None = None,
     """
     t = C.Thresholds.of(temp_threshold, battery_threshold)
     d = df if C.ROLLING in df.columns else rolling_mean_3(df)
-    high = is_true(F.col(C.ROLLING) > F.lit(t.temp_high))
-    low = is_true(F.col(C.BATTERY) < F.lit(t.battery_low))
+    high = is_true(nan_to_null(C.ROLLING) > F.lit(t.temp_high))
+    low = is_true(nan_to_null(C.BATTERY) < F.lit(t.battery_low))
     label = (F.when(high & low, C.LABEL_BOTH).when(low, C.LABEL_LOW_BATTERY)
              .when(high, C.LABEL_HIGH_TEMP).otherwise(C.LABEL_NORMAL))
     cols = [c for c in d.columns if c not in (C.ANOMALY_TYPE, C.IS_ANOMALY)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .. import config as C
-from ..functions.columns import nan_to_null
+from ..functions.columns import missing_to_null, nan_to_null
 from .quality import validate
 from .segments import SEG
 from .timeseries import interpolate_linear
@@ -19,11 +19,13 @@ def with_reading_id(df: DataFrame) -> DataFrame:
 
 
 def normalise(df: DataFrame) -> DataFrame:
-    """Coerce reading columns to their types; NaN counts as missing."""
+    """Coerce reading columns to their types; NaN counts as missing, text that is no timestamp fails."""
     out = []
     for c in df.columns:
         if c == C.TIMESTAMP and df.schema[c].dataType.simpleString() == "string":
-            out.append(F.col(c).try_cast("timestamp_ntz").alias(c))
+            value = missing_to_null(c).try_cast("timestamp_ntz")
+            out.append(F.when(missing_to_null(c).isNotNull() & value.isNull(), F.raise_error(F.concat(
+                F.lit(f"unparsable timestamp in column {c}: "), F.col(c)))).otherwise(value).alias(c))
         elif c in C.MEASURE_COLUMNS:
             out.append(nan_to_null(F.col(c).cast("double")).alias(c))
         elif c == C.DEVICE and df.schema[c].dataType.simpleString() != "string":

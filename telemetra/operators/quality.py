@@ -12,23 +12,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import config as C
-from .segments import SEG
+from ..functions.columns import nan_to_null
 
 
 def missing_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Number of missing values per column, in one pass: (column_name, missing_count)."""
     cols = cols or [c for c in df.columns if not c.startswith("_")]
-    wide = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
+    missing = {c: F.col(c).isNull() | F.isnan(c) if df.schema[c].dataType.simpleString() in ("double", "float") else F.col(c).isNull() for c in cols}
+    wide = df.agg(*[F.count_if(missing[c]).alias(c) for c in cols])
     pairs = ", ".join(f"'{c}', `{c}`" for c in cols)
     return wide.selectExpr(f"stack({len(cols)}, {pairs}) as (column_name, missing_count)")
 
 
-def drop_incomplete(df: DataFrame) -> DataFrame:
-    """Drop rows with a missing value in any column (every user column counts)."""
-    cols = [c for c in df.columns if c != SEG]
-    return df.dropna(how="any", subset=cols)
-
-
 class ContractViolation(Exception):
     """Raised by ``enforce`` when readings break the contract; carries a per-rule summary."""
 
@@ -51,10 +46,12 @@ def contract_rules() -> list[Rule]:
     A range rule passes on NULL (the not-null rule reports that case)."""
     rules = []
     for c in C.READING_COLUMNS:
-        rules.append(Rule(c, "not_nullable", F.col(c).isNull(), None))
+        gone = nan_to_null(c).isNull() if c in C.MEASURE_COLUMNS else F.col(c).isNull()
+        rules.append(Rule(c, "not_nullable", gone, None))
     for c, (lo, hi) in C.CONTRACT_RANGES.items():
-        rules.append(Rule(c, f"greater_than_or_equal_to({lo:g})", F.col(c) < lo, F.col(c)))
-        rules.append(Rule(c, f"less_than_or_equal_to({hi:g})", F.col(c) > hi, F.col(c)))
+        x = nan_to_null(c)
+        rules.append(Rule(c, f"greater_than_or_equal_to({lo:g})", x < lo, x))
+        rules.append(Rule(c, f"less_than_or_equal_to({hi:g})", x > hi, x))
     return rules
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .. import config as C
-from ..functions.columns import exact_avg, is_true
+from ..functions.columns import is_true, mean, nan_to_null
 
 DAILY_COLUMNS = ["device_id", "date", "daily_avg_temp", "daily_avg_humidity", "daily_min_battery"]
 
@@ -13,16 +13,15 @@ DAILY_COLUMNS = ["device_id", "date", "daily_avg_temp", "daily_avg_humidity", "d
 def daily_stats(df: DataFrame, ordered: bool = False) -> DataFrame:
     """Per (device, calendar day): mean temperature, mean humidity, minimum battery.
 
-    Rows without a device are left out; means and minimum skip missing values; means use an exact
-    decimal sum, so they are the same whatever the partitioning. Partial
+    Rows without a device are left out; means and minimum skip missing values (NaN included). Partial
     aggregation runs before the shuffle, so a device with a huge history is no hot spot.
     ``ordered`` sorts by the keys (for display; costs a range shuffle of the small result).
     """
     out = (df.filter(F.col(C.DEVICE).isNotNull() & F.col(C.TIMESTAMP).isNotNull())
            .groupBy(F.col(C.DEVICE), F.to_date(C.TIMESTAMP).alias(C.DATE))
-           .agg(exact_avg(C.TEMPERATURE).alias("daily_avg_temp"),
-                exact_avg(C.HUMIDITY).alias("daily_avg_humidity"),
-                F.min(C.BATTERY).alias("daily_min_battery")))
+           .agg(mean(C.TEMPERATURE).alias("daily_avg_temp"),
+                mean(C.HUMIDITY).alias("daily_avg_humidity"),
+                F.min(nan_to_null(C.BATTERY)).alias("daily_min_battery")))
     return out.orderBy(C.DEVICE, C.DATE) if ordered else out
 
 
@@ -31,7 +30,7 @@ def heatmap_hourly(df: DataFrame) -> DataFrame:
     hour = F.col(C.HOUR) if C.HOUR in df.columns else F.hour(C.TIMESTAMP)
     return (df.filter(F.col(C.DEVICE).isNotNull())
             .groupBy(F.col(C.DEVICE), hour.alias(C.HOUR))
-            .agg(exact_avg(C.TEMPERATURE).alias("avg_temp")))
+            .agg(mean(C.TEMPERATURE).alias("avg_temp")))
 
 
 def heatmap_pivot(df: DataFrame) -> DataFrame:
@@ -41,7 +40,7 @@ def heatmap_pivot(df: DataFrame) -> DataFrame:
     """
     hour = F.col(C.HOUR) if C.HOUR in df.columns else F.hour(C.TIMESTAMP)
     wide = (df.filter(F.col(C.DEVICE).isNotNull()).withColumn("_h", hour)
-            .groupBy(C.DEVICE).pivot("_h", list(range(24))).agg(exact_avg(C.TEMPERATURE)))
+            .groupBy(C.DEVICE).pivot("_h", list(range(24))).agg(mean(C.TEMPERATURE)))
     return wide.select(C.DEVICE, *[F.col(str(h)).alias(f"h{h:02d}") for h in range(24)])
 
 

@@ -22,49 +22,47 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import config as C
-from ..functions.columns import epoch_seconds
+from ..functions.columns import epoch_micros
 
 SEG = "_seg"
 LPOS = "_lpos"
-# Rows without a timestamp sort after all others; they share one last segment.
+# Rows without a timestamp sort after all others: their segments follow this one.
 LAST_SEGMENT = 2 ** 62
 
 
 def segment_widths(df: DataFrame, key: str = C.DEVICE, ts: str = C.TIMESTAMP,
                    target_rows: int | None = None) -> DataFrame:
-    """Per key, the segment width (seconds) that puts about ``target_rows`` rows in a segment if the
-    key's rows were spread evenly over its time span: a sparse device gets one segment, a device that
-    owns a large share of the data gets many. One aggregate over (key, time), combined map-side."""
+    """Per key, the segment width (microseconds) that puts about ``target_rows`` rows in a segment: the time that the middle
+    nine tenths of its rows span, divided by their number, so that a few stray times do not widen it. A sparse device gets one
+    segment, a device that owns a large share of the data gets many. One aggregate by key, combined map-side."""
     target_rows = target_rows or C.TARGET_SEGMENT_ROWS
-    secs = epoch_seconds(ts, df.schema[ts].dataType)
+    micros = epoch_micros(ts, df.schema[ts].dataType)
     stats = (df.filter(F.col(key).isNotNull() & F.col(ts).isNotNull())
-             .groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(secs).alias("_lo"), F.max(secs).alias("_hi")))
-    width = F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) * F.lit(target_rows) / F.col("_n")))
-    return stats.select(key, width.cast("long").alias("_segw"))
+             .groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(micros, [0.05, 0.95], 1000).alias("_p"),
+                               F.min(micros).alias("_lo"), F.max(micros).alias("_hi")))
+    middle = F.ceil((F.col("_p")[1] - F.col("_p")[0] + 1) * F.lit(target_rows) / (F.col("_n") * 0.9))
+    width = F.when(F.col("_n") <= target_rows, F.col("_hi") - F.col("_lo") + 1).otherwise(F.greatest(F.lit(1), middle))
+    return stats.select(key, width.cast("long").alias("_segw"), F.when(F.col("_n") <= target_rows, F.col("_lo")).otherwise(0).alias("_sego"))
 
 
 def add_segment(df: DataFrame, ts: str = C.TIMESTAMP, seconds: int | None = C.DEFAULT_SEGMENT_SECONDS,
                 key: str = C.DEVICE) -> DataFrame:
     """Add the segment number unless the frame already has one.
 
-    ``seconds``: a fixed width for every key, or ``None`` for per-key widths (``segment_widths``).
-    The per-key table has one row per key; it is broadcast when its row count is within
-    ``C.BROADCAST_MAX_ROWS`` (checked with one small action), otherwise every key falls back to
-    ``C.FALLBACK_SEGMENT_SECONDS``.
+    ``seconds``: a fixed width for every key, or ``None`` for per-key widths (``segment_widths``), joined to the rows without a
+    hint: the same method for any number of keys, the engine choosing how to join by measured bytes. Rows without a time come last,
+    in order of the tie column: they are cut by ranges of it.
     """
     if SEG in df.columns:
         return df
-    secs = epoch_seconds(ts, df.schema[ts].dataType)
-    if seconds is None:
-        widths = segment_widths(df, key, ts).persist(StorageLevel.MEMORY_AND_DISK)
-        if widths.count() <= C.BROADCAST_MAX_ROWS:
-            d = df.join(F.broadcast(widths), key, "left")
-            width = F.coalesce(F.col("_segw"), F.lit(C.FALLBACK_SEGMENT_SECONDS))
-            d = d.withColumn(SEG, F.coalesce(F.floor(secs / width), F.lit(LAST_SEGMENT)))
-            return d.select(*df.columns, SEG)
-        widths.unpersist()
-        seconds = C.FALLBACK_SEGMENT_SECONDS
-    return df.withColumn(SEG, F.coalesce(F.floor(secs / F.lit(seconds)), F.lit(LAST_SEGMENT)))
+    micros = epoch_micros(ts, df.schema[ts].dataType)
+    late = F.lit(LAST_SEGMENT)
+    if C.READING_ID in df.columns and df.schema[C.READING_ID].dataType.simpleString() in ("bigint", "int"):
+        late = late + F.coalesce(F.floor(F.col(C.READING_ID) / C.TARGET_SEGMENT_ROWS), F.lit(LAST_SEGMENT // 2))
+    if seconds is not None:
+        return df.withColumn(SEG, F.coalesce(F.floor(micros / F.lit(seconds * 1_000_000)), late))
+    d = df.join(segment_widths(df, key, ts), key, "left")
+    return d.withColumn(SEG, F.coalesce(F.floor((micros - F.col("_sego")) / F.col("_segw")), late)).select(*df.columns, SEG)
 
 
 def _asc(order: list[str]) -> list[Column]:

@@ -8,11 +8,12 @@ stand in for the declared indexes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import config as C
-from ..functions.columns import epoch_seconds
-from .segments import SEG, known_neighbours
+from ..functions.columns import epoch_seconds, nan_to_null
+from ..session import shared_dir
+from .segments import known_neighbours
 
 # --- fixed values: fact column types (decimal precision, scale) ---------------------------------
 FACT_DECIMALS = {
@@ -26,19 +27,21 @@ FACT_DECIMALS = {
 # Reporting classes by expected interval (seconds); a device seen once is 'On-Event'.
 HIGH_FREQUENCY_MAX_SECONDS = 60
 
-# A dimension up to this many rows is broadcast to the fact side; beyond it both sides shuffle.
-BROADCAST_MAX_ROWS = C.BROADCAST_MAX_ROWS
 _ROW_BITS = 33   # monotonically_increasing_id keeps the row number in its lower 33 bits
 
 
 def decimal_of(c, precision: int, scale: int):
-    """Round half up at ``scale`` decimals (IEEE ops only, so every engine agrees) and cast;
-    NULL if the value does not fit."""
+    """Round half away from zero at ``scale`` decimals, as SQL does, and cast; a value that does not fit the declared type
+    fails the job, as the table itself would refuse the row."""
     f = float(10 ** scale)
-    return (F.floor(F.col(c) * f + 0.5) / f).try_cast(f"decimal({precision},{scale})")
+    x = nan_to_null(c)
+    rounded = F.signum(x) * F.floor(F.abs(x) * f + 0.5) / f
+    fitted = rounded.try_cast(f"decimal({precision},{scale})")
+    return F.when(x.isNotNull() & fitted.isNull(), F.raise_error(F.concat(
+        F.lit(f"{c} does not fit DECIMAL({precision},{scale}): "), x.cast("string")))).otherwise(fitted)
 
 
-def dim_devices(readings: DataFrame, checkpoint: bool = True) -> DataFrame:
+def dim_devices(readings: DataFrame) -> DataFrame:
     """One row per device with a dense surrogate key in device-id order.
 
     Devices are range-partitioned and sorted, numbered inside each partition, and shifted by the
@@ -55,10 +58,8 @@ def dim_devices(readings: DataFrame, checkpoint: bool = True) -> DataFrame:
                      - F.min(epoch_seconds(C.TIMESTAMP, ts_type))).alias("_span")))
     numbered = (devices.repartitionByRange(C.DEVICE).sortWithinPartitions(C.DEVICE)
                 .withColumn("_mid", F.monotonically_increasing_id()))
-    if checkpoint:
-        from ..session import shared_dir
-        shared_dir(numbered.sparkSession)
-        numbered = numbered.checkpoint(eager=True)
+    shared_dir(numbered.sparkSession)
+    numbered = numbered.checkpoint(eager=True)
     numbered = numbered.withColumn("_part", F.shiftright("_mid", _ROW_BITS))
     sizes = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(
@@ -77,17 +78,15 @@ def dim_devices(readings: DataFrame, checkpoint: bool = True) -> DataFrame:
                     category.alias("sensor_category")))
 
 
-def join_dimension(fact: DataFrame, dim: DataFrame, on: str = C.DEVICE,
-                   max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Join a dimension to the fact: broadcast when its row count is within the bound (counted, one
-    small action), otherwise a shuffled join (AQE may still pick broadcast at run time)."""
-    if dim.count() <= max_broadcast_rows:
-        return fact.join(F.broadcast(dim), on)
-    return fact.join(dim, on)
+def join_dimension(fact: DataFrame, dim: DataFrame, on: str = C.DEVICE) -> DataFrame:
+    """Join a dimension to the fact. Rows of a device that the dimension lacks stay, with NULLs. No hint is given: the engine
+    broadcasts by measured bytes, and splits a hot device where it shuffles."""
+    return fact.join(dim, on, "left")
 
 
 def fact_sensor_readings(classified: DataFrame, dim: DataFrame) -> DataFrame:
-    """The fact table: device key from the dimension, battery renamed, decimals, validity window."""
+    """The fact table: device key from the dimension (NULL for an unknown device, which the audit counts), battery renamed,
+    decimals, validity window."""
     keys = dim.select(C.DEVICE, "device_key")
     f = join_dimension(classified, keys)
     cols = [F.col(C.READING_ID).cast("long").alias("reading_id"),
@@ -124,7 +123,7 @@ def constraint_audit(dim: DataFrame, fact: DataFrame) -> DataFrame:
 
 
 def orphan_readings(fact: DataFrame, dim: DataFrame) -> DataFrame:
-    """Fact rows whose device key is missing from the dimension."""
+    """Fact rows whose device key is NULL or missing from the dimension."""
     return fact.join(dim.select("device_key"), "device_key", "left_anti")
 
 
@@ -200,10 +199,3 @@ def reporting_gaps(transformed: DataFrame, dim: DataFrame, factor: float = 2.0)
                      gap.alias("gap_seconds"), "expected_interval_seconds")
             .filter(F.col("gap_seconds") > F.col("expected_interval_seconds") * F.lit(factor)))
 
-
-def drop_segment(df: DataFrame) -> DataFrame:
-    return df.drop(SEG) if SEG in df.columns else df
-
-
-def read_fact(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import config as C
+from ..functions.columns import round_floats
 from ..operators import anomaly, cleaning, derive, filters, quality, rollups, timeseries
 from ..sources import events as ev
 from ..sources.readers import coercion_report, parse_readings
@@ -42,7 +43,8 @@ def classified(spark, sf, temp=None, battery=None) -> DataFrame:
 
 
 def daily(spark, sf) -> DataFrame:
-    return rollups.daily_stats(classified(spark, sf))
+    """Means are rounded here, for the comparison with another engine; the operators do not round."""
+    return round_floats(rollups.daily_stats(classified(spark, sf)))
 
 
 def q_readings_raw(spark, sf):
@@ -144,11 +146,11 @@ def q_daily_stats(spark, sf):
 
 
 def q_heatmap_hourly(spark, sf):
-    return rollups.heatmap_hourly(transformed(spark, sf))
+    return round_floats(rollups.heatmap_hourly(transformed(spark, sf)))
 
 
 def q_heatmap_pivot(spark, sf):
-    return rollups.heatmap_pivot(transformed(spark, sf))
+    return round_floats(rollups.heatmap_pivot(transformed(spark, sf)))
 
 
 def q_device_list(spark, sf):
@@ -176,12 +178,12 @@ def q_raw_vs_rolling(spark, sf):
 
 
 def q_etl_daily(spark, sf):
-    return etl.run(readings(spark, sf), validation="report").daily
+    return round_floats(etl.run(readings(spark, sf), validation="report").daily)
 
 
 def q_etl_date_range(spark, sf):
     """The run on a date range: rows outside it take no part in interpolation."""
-    return etl.run(readings(spark, sf), validation="report", start=RANGE_START, end=RANGE_END).daily
+    return round_floats(etl.run(readings(spark, sf), validation="report", start=RANGE_START, end=RANGE_END).daily)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -6,9 +6,14 @@ checkpoint folder (``spark.checkpoint.dir``), each in a new directory, and retur
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from .. import config as C
 from ..operators import warehouse as wh
 from ..session import scratch_path
 from ..sinks import files
+from ..sources.readers import read_readings_csv
+from ..streaming import jobs
 from . import catalog as cat
 
 
@@ -27,6 +32,31 @@ def q_roundtrip_parquet(spark, sf):
     return spark.read.parquet(path)
 
 
+def q_roundtrip_csv(spark, sf):
+    """CSV sink (with ``date``), then the CSV reader: every value and microsecond comes back."""
+    path = scratch_path(spark, "readings-csv")
+    files.write_csv(cat.classified(spark, sf), path)
+    return read_readings_csv(spark, path, with_reading_id=False).select(
+        *C.READING_COLUMNS, F.col(C.READING_ID).cast("long").alias(C.READING_ID), F.col(C.DATE).cast("date").alias(C.DATE))
+
+
+def q_export_csv(spark, sf):
+    """CSV export without ``date``: its columns are those of the frame."""
+    path = scratch_path(spark, "export-csv")
+    files.write_csv(cat.classified(spark, sf), path, include_date=False)
+    back = read_readings_csv(spark, path, with_reading_id=False)
+    return back.select(*[F.col(c).cast("long" if c == C.READING_ID else "boolean" if c == C.IS_ANOMALY else "string" if c == C.ANOMALY_TYPE else back.schema[c].dataType)
+                         .alias(c) for c in back.columns if c in [*C.READING_COLUMNS, C.READING_ID, C.DATE, C.IS_ANOMALY, C.ANOMALY_TYPE]])
+
+
+def defective(spark, sf):
+    """A dimension with fixed defects, and the fact built on it: every tenth device is missing, another tenth is listed twice."""
+    c = cat.classified(spark, sf)
+    d = wh.dim_devices(c)
+    lacking = d.filter(F.col("device_key") % 10 != 3)
+    return lacking.unionByName(lacking.filter(F.col("device_key") % 10 == 5)), wh.fact_sensor_readings(c, lacking)
+
+
 def q_dim_devices(spark, sf):
     return dim(spark, sf)
 
@@ -36,15 +66,12 @@ def q_fact_sensor_readings(spark, sf):
 
 
 def q_constraint_audit(spark, sf):
-    c = cat.classified(spark, sf)
-    d = wh.dim_devices(c)
-    return wh.constraint_audit(d, wh.fact_sensor_readings(c, d))
+    return wh.constraint_audit(*defective(spark, sf))
 
 
 def q_orphan_readings(spark, sf):
-    c = cat.classified(spark, sf)
-    d = wh.dim_devices(c)
-    return wh.orphan_readings(wh.fact_sensor_readings(c, d), d)
+    d, f = defective(spark, sf)
+    return wh.orphan_readings(f, d)
 
 
 def q_fact_by_year(spark, sf):
@@ -72,6 +99,8 @@ def q_reporting_gaps(spark, sf):
 
 QUERIES = {
     "roundtrip_parquet": q_roundtrip_parquet,
+    "roundtrip_csv": q_roundtrip_csv,
+    "export_csv": q_export_csv,
     "dim_devices": q_dim_devices,
     "fact_sensor_readings": q_fact_sensor_readings,
     "constraint_audit": q_constraint_audit,
@@ -81,9 +110,4 @@ QUERIES = {
     "asof_reading": q_asof_reading,
     "reporting_gaps": q_reporting_gaps,
 }
-
-try:
-    from ..streaming import jobs as _stream
-    QUERIES.update(_stream.QUERIES)
-except ImportError:  # pragma: no cover - streaming module not present
-    pass
+QUERIES.update(jobs.QUERIES)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .. import config as C
-from .oracle import BASE, CLASSIFIED_COLS, classified_cte, with_ctes
+from .oracle import BASE, CLASSIFIED_COLS, READING_COLS, classified_cte, with_ctes
 
 EPOCH_S = "(epoch_us({}) // 1000000)"
 
@@ -23,8 +23,7 @@ dim AS (
 
 
 def dec(c: str, p: int, s: int, alias: str) -> str:
-    f = float(10 ** s)
-    return f"TRY_CAST(floor({c} * CAST({f!r} AS DOUBLE) + 0.5) / CAST({f!r} AS DOUBLE) AS DECIMAL({p},{s})) AS {alias}"
+    return f"CAST({c} AS DECIMAL({p},{s})) AS {alias}"
 
 
 FACT = f"""
@@ -37,9 +36,15 @@ fact AS (
          {dec('c.battery_level_percent', 5, 2, 'battery_level')},
          c.hour_of_day, {dec('c.temp_rolling_avg_3', 5, 2, 'temp_rolling_avg_3')},
          c.is_anomaly, c.anomaly_type, c.valid_until
-  FROM classified c JOIN dim d ON c.device_id = d.device_id
+  FROM classified c LEFT JOIN dim d ON c.device_id = d.device_id
 )"""
 
+# The dimension with the fixed defects of ``extra_catalog.defective``, and the fact on it.
+LACKING = """
+lacking AS (SELECT * FROM dim WHERE device_key % 10 <> 3),
+doubled AS (SELECT * FROM lacking UNION ALL SELECT * FROM lacking WHERE device_key % 10 = 5)"""
+FACT_LACKING = FACT.replace("LEFT JOIN dim d", "LEFT JOIN lacking d")
+
 FACT_COLS = ('reading_id, device_key, "timestamp", temperature_celsius, temperature_fahrenheit, humidity_percent, '
              'pressure_hpa, battery_level, hour_of_day, temp_rolling_avg_3, is_anomaly, anomaly_type, valid_until')
 
@@ -51,23 +56,26 @@ def _q(ctes, select):
 def oracle_sql() -> dict[str, str]:
     cls = classified_cte()
     wh = (*BASE, cls, DIM, FACT)
+    bad = (*BASE, cls, DIM, LACKING, FACT_LACKING)
     out = {
+        "roundtrip_csv": _q((*BASE, cls), f'SELECT {READING_COLS}, CAST("timestamp" AS DATE) AS "date" FROM classified'),
+        "export_csv": _q((*BASE, cls), f"SELECT {READING_COLS}, anomaly_type, is_anomaly FROM classified"),
         "roundtrip_parquet": _q((*BASE, cls), f'SELECT {CLASSIFIED_COLS}, CAST("timestamp" AS DATE) AS "date" '
                                               "FROM classified"),
         "dim_devices": _q((*BASE, DIM), "SELECT * FROM dim"),
         "fact_sensor_readings": _q(wh, f"SELECT {FACT_COLS} FROM fact"),
         "fact_layout": _q(wh, f"SELECT {FACT_COLS} FROM fact"),
-        "constraint_audit": _q(wh, """
+        "constraint_audit": _q(bad, """
 SELECT 'dim_devices.device_id unique' AS constraint_name,
-       CAST(coalesce((SELECT sum(n - 1) FROM (SELECT count(*) AS n FROM dim GROUP BY device_id) WHERE n > 1), 0)
+       CAST(coalesce((SELECT sum(n - 1) FROM (SELECT count(*) AS n FROM doubled GROUP BY device_id) WHERE n > 1), 0)
             AS BIGINT) AS violations
-UNION ALL SELECT 'dim_devices.device_id not null', count(*) FILTER (WHERE device_id IS NULL) FROM dim
+UNION ALL SELECT 'dim_devices.device_id not null', count(*) FILTER (WHERE device_id IS NULL) FROM doubled
 UNION ALL SELECT 'fact_sensor_readings.device_key not null', count(*) FILTER (WHERE device_key IS NULL) FROM fact
 UNION ALL SELECT 'fact_sensor_readings.timestamp not null', count(*) FILTER (WHERE "timestamp" IS NULL) FROM fact
 UNION ALL SELECT 'fact_sensor_readings.device_key references dim_devices',
-       count(*) FROM fact WHERE device_key NOT IN (SELECT device_key FROM dim)"""),
-        "orphan_readings": _q(wh, f"SELECT {FACT_COLS} FROM fact WHERE device_key NOT IN "
-                                  "(SELECT device_key FROM dim)"),
+       count(*) FROM fact WHERE NOT EXISTS (SELECT 1 FROM doubled WHERE doubled.device_key = fact.device_key)"""),
+        "orphan_readings": _q(bad, f"SELECT {FACT_COLS} FROM fact WHERE NOT EXISTS "
+                                   "(SELECT 1 FROM doubled WHERE doubled.device_key = fact.device_key)"),
         "fact_by_year": _q(wh, 'SELECT CAST(year("timestamp") AS INTEGER) AS "year", count(*) AS readings, '
                                'min("timestamp") AS first_reading, max("timestamp") AS last_reading '
                                'FROM fact GROUP BY year("timestamp")'),
@@ -84,13 +92,10 @@ LEFT JOIN transformed r ON r.device_id = p.device_id AND r."timestamp" <= p.prob
 SELECT t.reading_id, d.device_key, t.device_id, t."timestamp", t.valid_until,
        {EPOCH_S.format('t.valid_until')} - {EPOCH_S.format('t."timestamp"')} AS gap_seconds,
        d.expected_interval_seconds
-FROM transformed t JOIN dim d ON t.device_id = d.device_id
+FROM transformed t LEFT JOIN dim d ON t.device_id = d.device_id
 WHERE t.valid_until IS NOT NULL
   AND {EPOCH_S.format('t.valid_until')} - {EPOCH_S.format('t."timestamp"')} > d.expected_interval_seconds * 2.0"""),
     }
-    try:
-        from ..streaming.jobs import oracle_sql as stream_sql
-        out.update(stream_sql())
-    except ImportError:  # pragma: no cover
-        pass
+    from ..streaming.jobs import oracle_sql as stream_sql
+    out.update(stream_sql())
     return out

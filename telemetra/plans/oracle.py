@@ -2,8 +2,8 @@
 
 Each statement restates one query of ``plans/catalog.py`` without any of the Spark-side machinery
 (segments, summaries, persisted frames): plain per-device windows, the way a single-node engine would
-write it. Every float is computed by the same IEEE operations in the same order on both sides (means from an
-exact decimal sum), so results compare bit for bit.
+write it. Means depend on the order of addition, so both sides round them to nine decimals; every other float is computed
+by the same IEEE operations in the same order and compares bit for bit.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from .. import config as C
 READINGS = """
 readings AS (
   SELECT ts AS "timestamp",
-         'sensor_' || lpad(CAST(user_id AS VARCHAR), 4, '0') AS device_id,
+         printf('sensor_%04d', user_id) AS device_id,
          CASE WHEN event_id % 10 <> 3 THEN CAST(15 AS DOUBLE) + value / 10 END AS temperature_celsius,
          CASE WHEN event_id % 11 <> 5 THEN TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) END
            AS humidity_percent,
@@ -97,15 +97,15 @@ classified AS (
 )"""
 
 
-def exact_avg(x: str) -> str:
-    """Mean from an exact decimal sum (the Spark side computes it the same way)."""
-    return f"CAST(sum(CAST({x} AS DECIMAL(38, 9))) AS DOUBLE) / CAST(NULLIF(count({x}), 0) AS DOUBLE)"
+def mean(x: str) -> str:
+    """DuckDB's own mean, compared after rounding to nine decimals (at six, short means fall on ties that two engines round apart)."""
+    return f"round(avg({x}), 9)"
 
 
 DAILY = f"""
 daily AS (
   SELECT device_id, CAST("timestamp" AS DATE) AS "date",
-         {exact_avg('temperature_celsius')} AS daily_avg_temp, {exact_avg('humidity_percent')} AS daily_avg_humidity,
+         {mean('temperature_celsius')} AS daily_avg_temp, {mean('humidity_percent')} AS daily_avg_humidity,
          min(battery_level_percent) AS daily_min_battery
   FROM classified WHERE device_id IS NOT NULL
   GROUP BY device_id, CAST("timestamp" AS DATE)
@@ -119,10 +119,6 @@ def with_ctes(*ctes: str) -> str:
 BASE = (READINGS, INTERPOLATED, CLEANED, TRANSFORMED)
 
 
-def r6(c: str, alias: str | None = None) -> str:
-    return f"round({c}, 6) AS {alias or c}"
-
-
 READING_COLS = ('"timestamp", device_id, temperature_celsius, '
                 'humidity_percent, pressure_hpa, '
                 'battery_level_percent, reading_id')
@@ -179,7 +175,7 @@ def _validation_rules() -> str:
 
 
 def _heatmap_pivot() -> str:
-    cols = ", ".join(f"{exact_avg(f'CASE WHEN hour_of_day = {h} THEN temperature_celsius END')} AS h{h:02d}"
+    cols = ", ".join(f"{mean(f'CASE WHEN hour_of_day = {h} THEN temperature_celsius END')} AS h{h:02d}"
                      for h in range(24))
     return _q(_base(), f"SELECT device_id, {cols} FROM transformed GROUP BY device_id")
 
@@ -228,7 +224,7 @@ def oracle_sql() -> dict[str, str]:
         "anomaly_counts": _q(_base(cls), "SELECT anomaly_type, count(*) AS readings FROM classified "
                                          "GROUP BY anomaly_type"),
         "daily_stats": _q(_base(cls, DAILY), f"SELECT {DAILY_ROUND} FROM daily"),
-        "heatmap_hourly": _q(_base(), f"SELECT device_id, hour_of_day, {exact_avg('temperature_celsius')} AS avg_temp "
+        "heatmap_hourly": _q(_base(), f"SELECT device_id, hour_of_day, {mean('temperature_celsius')} AS avg_temp "
                                       "FROM transformed GROUP BY device_id, hour_of_day"),
         "heatmap_pivot": _heatmap_pivot(),
         "device_list": _q(_base(), "SELECT DISTINCT device_id FROM transformed"),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import config as C
 
 # --- fixed values: the event → reading rule -----------------------------------------------------
-# device_id   = 'sensor_' + user_id left-padded with zeros to 4 characters
+# device_id   = 'sensor_' + user_id with leading zeros up to 4 digits, never shortened
 # temperature = NULL if event_id % 10 = 3, else 15 + value / 10
 # humidity    = NULL if event_id % 11 = 5, else props.k as double
 # pressure    = NULL if event_id % 13 = 7, else 1000 + event_id % 37
@@ -29,7 +29,7 @@ def readings_from_events(events: DataFrame) -> DataFrame:
     eid = F.col("event_id")
     return events.select(
         F.col("ts").alias(C.TIMESTAMP),
-        F.concat(F.lit("sensor_"), F.lpad(F.col("user_id").cast("string"), 4, "0")).alias(C.DEVICE),
+        F.when(F.col("user_id").isNotNull(), F.format_string("sensor_%04d", F.col("user_id").cast("long"))).alias(C.DEVICE),
         F.when(eid % 10 != 3, F.lit(15.0) + F.col("value") / 10).alias(C.TEMPERATURE),
         F.when(eid % 11 != 5, F.get_json_object("props", "$.k").try_cast("double")).alias(C.HUMIDITY),
         F.when(eid % 13 != 7, (F.lit(1000) + eid % 37).cast("double")).alias(C.PRESSURE),

@@ -40,24 +40,35 @@ def _read(spark: SparkSession, fn, path):
         raise ValueError(f"Failed to read {path}: {e}") from e
 
 
+_SURPLUS = "_ragged_row"
+
+
 def read_readings_csv(spark: SparkSession, path: str, malformed: str = "raise",
-                      with_reading_id: bool = True) -> DataFrame:
+                      with_reading_id: bool = True, multi_line: bool = False) -> DataFrame:
     """Load readings from CSV file(s) with a header row.
 
     ``malformed``: ``"raise"`` fails the job on the first value that is neither missing nor parsable
-    (checked while the data streams through, no extra pass); ``"null"`` turns it into NULL.
+    (checked while the data streams through, no extra pass); ``"null"`` turns it into NULL. A row with more or fewer fields than
+    the header always fails. ``multi_line`` reads quoted line breaks, a file then being one task.
     ``reading_id`` numbers rows in ingest order (within a file, increasing with the position).
     """
-    raw = _read(spark, lambda p: spark.read.option("header", True).option("inferSchema", False)
-                .option("mode", "PERMISSIVE").csv(p), path)
+    reader = lambda: spark.read.option("header", True).option("inferSchema", False).option("multiLine", multi_line)
+    names = _read(spark, lambda p: reader().csv(p), path).columns
+    schema = ", ".join(f"`{c}` string" for c in [*names, _SURPLUS])
+    raw = _read(spark, lambda p: reader().schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _SURPLUS)
+                .option("enforceSchema", True).csv(p), path)
+    fields = F.when(F.col(_SURPLUS).isNotNull(), F.raise_error(F.concat(F.lit("row with another number of fields than the header: "), F.col(_SURPLUS))))
+    raw = raw.select(*[F.coalesce(fields.cast("string"), F.col(f"`{c}`")).alias(c) if c == names[0] else F.col(f"`{c}`") for c in names])
     if with_reading_id:
         raw = raw.withColumn(C.READING_ID, F.monotonically_increasing_id())
     return parse_readings(raw, malformed=malformed)
 
 
 def read_readings_parquet(spark: SparkSession, path: str, start=None, end=None) -> DataFrame:
-    """Load stored readings; on a ``date``-partitioned store a date range prunes directories."""
+    """Load stored readings, NaN as missing; on a ``date``-partitioned store a date range prunes directories."""
     df = _read(spark, spark.read.parquet, path)
+    df = df.select(*[nan_to_null(c).alias(c) if c in C.MEASURE_COLUMNS and df.schema[c].dataType.simpleString() in ("double", "float")
+                     else F.col(c) for c in df.columns])
     if start is not None or end is not None:
         from ..operators.filters import date_range_filter
         df = date_range_filter(df, start, end)
@@ -81,6 +92,9 @@ def parse_readings(raw: DataFrame, malformed: str = "raise") -> DataFrame:
             continue
         if raw.schema[c].dataType.simpleString() != "string":
             value = F.col(c).try_cast(target)
+            if malformed == "raise":
+                value = F.when(F.col(c).isNotNull() & value.isNull(), F.raise_error(F.concat(
+                    F.lit(f"malformed value in column {c}: "), F.col(c).cast("string")))).otherwise(value)
             if target == "double":
                 value = nan_to_null(value)
             out.append(value.alias(c))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from .. import config as C
-from ..functions.columns import epoch_seconds, exact_avg, is_true
+from ..functions.columns import epoch_seconds, is_true, mean, round_floats
 from ..operators.quality import contract_rules
 from ..session import scratch_path
 from ..sources.events import events_path, readings_from_events
@@ -55,8 +55,8 @@ def daily_stats_stream(readings: DataFrame, delay: str = "1 day") -> DataFrame:
     event_time = F.timestamp_seconds(epoch_seconds(C.TIMESTAMP, readings.schema[C.TIMESTAMP].dataType))
     r = readings.withColumn("_event_time", event_time).withWatermark("_event_time", delay)
     return (r.groupBy(F.window("_event_time", "1 day").alias("_w"), F.col(C.DEVICE))
-            .agg(exact_avg(C.TEMPERATURE).alias("daily_avg_temp"),
-                 exact_avg(C.HUMIDITY).alias("daily_avg_humidity"),
+            .agg(mean(C.TEMPERATURE).alias("daily_avg_temp"),
+                 mean(C.HUMIDITY).alias("daily_avg_humidity"),
                  F.min(C.BATTERY).alias("daily_min_battery"),
                  F.count(F.lit(1)).alias("readings"))
             .select(C.DEVICE, F.date_from_unix_date(F.floor(F.unix_seconds(F.col("_w.start")) / 86400)
@@ -118,7 +118,7 @@ def q_stream_alerts(spark, sf):
 
 
 def q_stream_daily(spark, sf):
-    return run_to_parquet(spark, daily_stats_stream(stream_readings(spark, sf)), "stream-daily")
+    return round_floats(run_to_parquet(spark, daily_stats_stream(stream_readings(spark, sf)), "stream-daily"))
 
 
 def q_stream_rolling(spark, sf):
@@ -151,7 +151,7 @@ FROM (SELECT *, (lag(temperature_celsius, 2) OVER w + lag(temperature_celsius, 1
                  + temperature_celsius) / 3 AS temp_rolling_avg_3
       FROM readings WHERE temperature_celsius IS NOT NULL
       WINDOW w AS (PARTITION BY device_id ORDER BY "timestamp", reading_id))"""
-    avg = "CAST(sum(CAST({0} AS DECIMAL(38, 9))) AS DOUBLE) / CAST(NULLIF(count({0}), 0) AS DOUBLE)"
+    avg = "round(avg({0}), 9)"
     daily = with_ctes(READINGS) + f"""
 SELECT device_id, CAST("timestamp" AS DATE) AS "date", {avg.format('temperature_celsius')} AS daily_avg_temp,
        {avg.format('humidity_percent')} AS daily_avg_humidity, min(battery_level_percent) AS daily_min_battery,
