@@ -116,6 +116,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int =
     def run(batches):
         enc, source, seen = ByteLevelEncoder(tokenizer), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
         for b in batches:
+            pa.default_memory_pool().release_unused()
             data, offs = X.utf8(b.column(1))
             held: list[np.ndarray] = []
             for i, j, d, o, begins, ends in X.stretches(data, offs):

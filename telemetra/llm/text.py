@@ -16,7 +16,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32                      # A-Z only
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _rng = np.random.RandomState(20240131)
 _MASK = (1 << 64) - 1
@@ -202,6 +202,7 @@ def append_columns(df: DataFrame, keep: list[str], fields: list[T.StructField],
     def run(batches):
         fn = make()
         for b in batches:
+            pa.default_memory_pool().release_unused()      # what the last batch left
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(cols))] + fn(b.column(at)), names=names)
 
