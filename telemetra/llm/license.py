@@ -2,8 +2,8 @@
 
 A paragraph is one line of a text. The classifier is trained here, on variants of short public notices and on a bounded sample of
 lines from the documents as the unknown class; an L1 penalty leaves few n-grams with weight. Its probabilities are scaled by a temperature
-fitted on variants it was not trained on. A line can only be a licence if it holds a word of an n-gram that speaks for one, so a small bitmap of such
-words picks the lines that are scored in full; predictions are confirmed by how much of a template of that family the line holds (or the template of the line).
+fitted on variants it was not trained on. A line is scored in full only if the most that its words could speak for a family outweighs the
+unknown class; this upper bound leaves out no line that could be reported. Predictions are confirmed by how much of a template of that family the line holds (or the template of the line).
 
 Everything runs as DataFrame functions and Spark's own regression: no Python on the executors, no shuffle of text.
 """
@@ -76,7 +76,9 @@ class Model:
     weights: dict[str, list[float]]        # n-gram -> weight by class
     bias: list[float]
     temperature: float
-    gate: list[int]                        # bitmap of the words that may begin a licence
+    gate: list[int]                        # bitmap of the words that speak for a family
+    most: dict[str, float]                 # what such a word can add at most
+    needed: float                          # what a line's words must add up to, for a family to be the most probable class
 
 
 def notices(spark) -> DataFrame:
@@ -139,18 +141,30 @@ def train(docs: DataFrame, documents: int = 400, lines: int = 4000, variants: in
     fresh = lr.transform(count.transform(ready(_variants(own, variants, variants // 3).unionByName(rest)))).select("label", vector_to_array("rawPrediction").alias("z"))
     grid = [0.25, 0.35, 0.5, 0.7, 1.0, 1.4]
     loss = fresh.coalesce(1).agg(*[_log_loss(t) for t in grid]).first()
+    own_words = [g for g in vocabulary if " " not in g]
+    common = {r["w"]: r["n"] for r in rest.select(F.explode(F.array_distinct("words")).alias("w")).where(F.col("w").isin(own_words))
+              .groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}        # at most the words of the notices
     fit.unpersist()
     rest.unpersist()
     m = lr.coefficientMatrix.toArray()
     unknown = families.index(UNKNOWN)
     weights = {g: [float(x) for x in m[:, k]] for k, g in enumerate(vocabulary) if abs(m[:, k]).max() > 1e-6}
-    speaks = {w for g, x in weights.items() if max(x) > x[unknown] + 1e-6 for w in g.split(" ")}
+    # the most that each word can speak for a family, against unknown: its own gain and those of the pairs in which it is the
+    # rarer word; a line cannot hold a pair without it, so these sums bound every line's score
+    most: dict[str, float] = {}
+    for g, x in weights.items():
+        gain = max(x) - x[unknown]
+        if gain > 0:
+            word = min(reversed(g.split(" ")), key=lambda w: common.get(w, 0))
+            most[word] = most.get(word, 0.0) + gain
     bits = [0] * (SLOTS // 64)
-    if speaks:
-        for r in spark.createDataFrame([(w,) for w in sorted(speaks)], "w string").select(_slot(F.col("w")).alias("s")).collect():
+    if most:
+        for r in spark.createDataFrame([(w,) for w in sorted(most)], "w string").select(_slot(F.col("w")).alias("s")).collect():
             bits[r["s"] >> 6] |= 1 << (r["s"] & 63)
     gate = [b - (1 << 64) if b >= 1 << 63 else b for b in bits]
-    return Model(families, weights, [float(x) for x in lr.interceptVector], grid[min(range(len(grid)), key=lambda k: loss[k])], gate)
+    bias = [float(x) for x in lr.interceptVector]
+    needed = bias[unknown] - max(b for k, b in enumerate(bias) if k != unknown)
+    return Model(families, weights, bias, grid[min(range(len(grid)), key=lambda k: loss[k])], gate, most, needed)
 
 
 def _slot(word: Column) -> Column:
@@ -168,14 +182,17 @@ def scan(docs: DataFrame, model: Model, probability: float = 0.5, similarity: fl
     bits = F.array(*[F.lit(b) for b in model.gate])
     licence_word = lambda w: F.get(bits, F.shiftright(_slot(w), 6)).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), _slot(w).bitwiseAND(F.lit(63)))) != 0
     rows = docs.select("doc_id", F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n").alias("lines"))
-    hits = rows.select("doc_id", "lines", F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.exists(
-        F.split(F.lower(F.get("lines", i)), "[^a-z0-9]+"), licence_word)).alias("hits"))
+    gains = F.from_json(F.lit(json.dumps(model.most)), "map<string,double>")
+    reach = lambda l: F.aggregate(F.array_distinct(F.filter(F.split(F.lower(l), "[^a-z0-9]+"), licence_word)), F.lit(0.0),
+                                  lambda s, w: s + F.coalesce(F.try_element_at(gains, w), F.lit(0.0)))
+    hits = rows.select("doc_id", "lines", F.filter(F.sequence(F.lit(0), F.size("lines") - 1),
+                                                   lambda i: reach(F.get("lines", i)) >= model.needed - 1e-9).alias("hits"))
     # the outer form: for the other one Spark would put a filter on the array below, and compute it again for every reference
     line = hits.select("doc_id", F.explode_outer(F.transform("hits", lambda i: F.struct(
         i.alias("paragraph"), F.get("lines", i).alias("line"),
         F.aggregate(F.slice("lines", 1, i), F.lit(0), lambda s, x: s + F.length(x) + 1).alias("start")))).alias("h")).where("h is not null").select("doc_id", "h.*")
     table = F.from_json(F.lit(json.dumps(model.weights)), "map<string,array<double>>")      # folded to one constant
-    scored = line.withColumn("words", words_of(F.col("line"))).withColumn("grams", grams_of(F.col("words")))
+    scored = line.withColumn("words", words_of(F.col("line"))).withColumn("grams", grams_of(F.col("words")))     # for the few lines that are left
     scored = scored.withColumn("found", F.filter(F.transform("grams", lambda g: F.try_element_at(table, g)), lambda w: w.isNotNull()))
     scored = stored(scored, "licence-lines")           # few lines; what follows refers to these columns many times
     z = F.array(*[_class_score(k, b) for k, b in enumerate(model.bias)])
