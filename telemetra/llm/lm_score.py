@@ -12,6 +12,8 @@ chunk or task and hash range, so an n-gram that fills a third of all text is one
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -205,20 +207,49 @@ def word_requests(chunks: DataFrame, buckets: int) -> DataFrame:
     return chunks.select("chunk", "held", "sizes", "vocab", "tokens", "before").mapInArrow(run, "bucket int, chunk long, words binary, counts binary")
 
 
+class Totals:
+    """Counts by hash, summed as they come: ``FLUSH`` entries wait at most, so memory follows the distinct hashes."""
+
+    def __init__(self):
+        self.h, self.n, self.waiting, self.size = np.zeros(0, np.uint64), np.zeros(0, np.uint64), [], 0
+
+    def add(self, h: np.ndarray, n: np.ndarray) -> None:
+        self.waiting.append((h, n.astype(np.uint64)))
+        self.size += len(h)
+        if self.size > FLUSH:
+            self.settle()
+
+    def settle(self) -> None:
+        """Sum what waits into ``h`` (ascending) and ``n``."""
+        every = np.concatenate([self.h, *[h for h, _ in self.waiting]])
+        order = np.argsort(every, kind="stable")
+        every = every[order]
+        first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])[:len(every)])
+        n = np.concatenate([self.n, *[n for _, n in self.waiting]])[order]
+        self.h, self.n = every[first], np.add.reduceat(n, first) if len(first) else n
+        self.waiting, self.size = [], 0
+
+
 def word_counts(requests: DataFrame) -> DataFrame:
     """(bucket, chunk, counts, n, v): for every request the training counts over all documents, and once for each hash
-    range (chunk -1) its training tokens and distinct words."""
-    def reply(t: pa.Table) -> pa.Table:
-        asked = [unpack_sorted(x) for x in t["words"].to_pylist()]
-        own = np.concatenate([unpack(x, np.uint32) for x in t["counts"].to_pylist()]).astype(np.uint64)
-        words, which = np.unique(np.concatenate(asked), return_inverse=True)
-        total = np.zeros(len(words), np.uint64)
-        np.add.at(total, which, own)
-        out = [pack(total[x]) for x in np.split(which, np.cumsum([len(a) for a in asked])[:-1])]
-        n = len(asked)
-        return pa.table({"bucket": pa.array([t["bucket"][0].as_py()] * (n + 1), pa.int32()), "chunk": pa.array(t["chunk"].to_pylist() + [-1], pa.int64()),
-                         "counts": pa.array(out + [None], pa.binary()), "n": pa.array([0] * n + [int(total.sum())], pa.int64()),
-                         "v": pa.array([0] * n + [int((total > 0).sum())], pa.int64())})
+    range (chunk -1) its training tokens and distinct words. The requests of a range are summed as they stream in and wait compressed."""
+    names = ["bucket", "chunk", "counts", "n", "v"]
+
+    def reply(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(chunks, counts, n, v):
+            k = len(chunks)
+            return pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * k, pa.int32()), pa.array(chunks, pa.int64()), pa.array(counts, pa.binary()),
+                                               pa.array([n] * k, pa.int64()), pa.array([v] * k, pa.int64())], names=names)
+        total, asked = Totals(), []
+        for b in batches:
+            for r in b.select(["chunk", "words", "counts"]).to_pylist():
+                total.add(unpack_sorted(r["words"]), unpack(r["counts"], np.uint32))
+                asked.append((r["chunk"], r["words"]))
+        total.settle()
+        yield out([-1], [None], int(total.n.sum()), int((total.n > 0).sum()))
+        for at in range(0, len(asked), 64):
+            some = asked[at:at + 64]
+            yield out([c for c, _ in some], [pack(total.n[np.searchsorted(total.h, unpack_sorted(w))]) for _, w in some], 0, 0)
 
     return requests.groupBy("bucket").applyInArrow(reply, "bucket int, chunk long, counts binary, n long, v long")
 
@@ -254,12 +285,14 @@ def ngram_counts(chunks: DataFrame, buckets: int) -> DataFrame:
 
 def filter_segments(grams: DataFrame, base: float, bits_per_entry: int) -> DataFrame:
     """(bucket, segment): the filter's bitmap of each hash range."""
-    def build(t: pa.Table) -> pa.Table:
-        h = np.concatenate([unpack_sorted(x) for x in t["grams"].to_pylist()])
-        c = np.concatenate([unpack(x, np.uint32) for x in t["counts"].to_pylist()])
-        words, which = np.unique(h, return_inverse=True)
-        total = np.bincount(which, c, len(words))
-        return pa.table({"bucket": pa.array([t["bucket"][0].as_py()], pa.int32()), "segment": pa.array([build_segment(words, total, base, bits_per_entry).tobytes()], pa.binary())})
+    def build(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = Totals()
+        for b in batches:
+            for r in b.select(["grams", "counts"]).to_pylist():
+                total.add(unpack_sorted(r["grams"]), unpack(r["counts"], np.uint32))
+        total.settle()
+        bits = build_segment(total.h, total.n, base, bits_per_entry).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([bits], pa.binary())], names=["bucket", "segment"])
 
     return grams.groupBy("bucket").applyInArrow(build, "bucket int, segment binary")
 

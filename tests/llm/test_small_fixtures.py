@@ -136,6 +136,22 @@ def test_log_frequency_filter():
     assert (f.levels(np.sort(other)) > 0).mean() < 0.02
 
 
+def test_totals_settle_at_any_flush(monkeypatch):
+    rng = np.random.RandomState(4)
+    for flush in (10, 1 << 20):
+        monkeypatch.setattr(lm_score, "FLUSH", flush)
+        t, want = lm_score.Totals(), Counter()
+        for _ in range(30):
+            h, n = np.unique(rng.randint(0, 50, 20).astype(np.uint64)), rng.randint(0, 5, 20)
+            t.add(h, n[:len(h)])
+            want.update({int(k): int(x) for k, x in zip(h, n)})
+        t.settle()
+        assert dict(zip(t.h.tolist(), t.n.tolist())) == {k: want[k] for k in sorted(want)}
+    empty = lm_score.Totals()
+    empty.settle()
+    assert len(empty.h) == len(empty.n) == 0
+
+
 # -- 2 ------------------------------------------------------------------------------------------------------------
 def test_warc_round_trip(spark, tmp_out):
     tuned(spark)
