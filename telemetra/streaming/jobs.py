@@ -1,27 +1,23 @@
 """The same rules on a stream of readings (Structured Streaming).
 
 * ``contract_alerts`` — stateless: every reading that breaks the contract or has a low battery.
+* ``contract_routed`` — stateless: every reading with the number of rules it breaks, good and bad ones to folders of their own.
 * ``daily_stats_stream`` — event-time daily statistics; late rows are dropped once the watermark
   (latest event time minus ``delay``) has passed their day, and a day is emitted when it closes.
-* ``rolling_alerts`` — per-device state (the last two temperatures) carries the 3-reading rolling mean
-  across micro-batches, so the high-temperature rule runs without a row window (streams refuse them).
+* ``rolling_alerts`` — the 3-reading rolling mean in time order whatever the order of arrival: readings wait until the watermark
+  passes them, then each micro-batch runs the batch operators' segmented scan behind the last two readings of each device.
 
 Interpolation needs the *next* known value, so repair stays in batch.
-A micro-batch's rows of one device meet in one task of ``rolling_alerts``; the batch size
-(``maxFilesPerTrigger`` / ``maxBytesPerTrigger``) bounds that group, and the state per device is
-two numbers.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .. import config as C
 from ..functions.columns import epoch_seconds, is_true, mean, round_floats
 from ..operators.quality import contract_rules
+from ..operators.segments import neighbour_rows
 from ..session import scratch_path
 from ..sources.events import events_path, readings_from_events
 
@@ -35,18 +31,28 @@ def stream_readings(spark: SparkSession, sf_dir: str, max_files_per_trigger: int
     return readings_from_events(reader.parquet(sf_dir))
 
 
-def contract_alerts(readings: DataFrame, battery_threshold: float | None = None) -> DataFrame:
-    """Readings with a low battery or at least one broken contract rule (stateless)."""
-    limit = C.Thresholds.of(battery_low=battery_threshold).battery_low
+def _broken_rules():
     broken = F.lit(0)
     for r in contract_rules():
         broken = broken + F.coalesce(r.failed, F.lit(False)).cast("int")
+    return broken
+
+
+def contract_alerts(readings: DataFrame, battery_threshold: float | None = None) -> DataFrame:
+    """Readings with a low battery or at least one broken contract rule (stateless)."""
+    limit = C.Thresholds.of(battery_low=battery_threshold).battery_low
     low = is_true(F.col(C.BATTERY) < F.lit(limit))
     return (readings.select(C.READING_ID, C.DEVICE, C.TIMESTAMP, C.BATTERY, low.alias("low_battery"),
-                            broken.alias("contract_failures"))
+                            _broken_rules().alias("contract_failures"))
             .filter(F.col("low_battery") | (F.col("contract_failures") > 0)))
 
 
+def contract_routed(readings: DataFrame) -> DataFrame:
+    """Every reading with the number of contract rules it breaks; ``passes`` is the folder it is routed to."""
+    r = readings.withColumn("contract_failures", _broken_rules())
+    return r.withColumn("passes", F.col("contract_failures") == 0)
+
+
 def daily_stats_stream(readings: DataFrame, delay: str = "1 day") -> DataFrame:
     """Daily statistics per device on event time, append mode (a day is final once emitted).
 
@@ -64,53 +70,81 @@ def daily_stats_stream(readings: DataFrame, delay: str = "1 day") -> DataFrame:
                     "daily_avg_humidity", "daily_min_battery", "readings"))
 
 
-ROLLING_OUT = (f"{C.DEVICE} string, {C.READING_ID} long, {C.TIMESTAMP} timestamp_ntz, "
-               f"{C.TEMPERATURE} double, {C.ROLLING} double, high_temperature boolean")
-ROLLING_STATE = "t1 double, t2 double, seen long"
-
-
-def _rolling_step(limit: float):
-    def step(key, batches, state):
-        pdf = pd.concat(list(batches), ignore_index=True)
-        pdf = pdf.sort_values([C.TIMESTAMP, C.READING_ID], kind="stable")
-        t1, t2, seen = state.get if state.exists else (None, None, 0)
-        history = [t1, t2] if seen >= 2 else ([t2] if seen == 1 else [])
-        k, n = len(history), len(pdf)
-        temps = np.asarray(history + pdf[C.TEMPERATURE].tolist(), dtype="float64")
-        roll = np.full(n, np.nan)
-        if len(temps) >= 3:
-            # ((t[i-2] + t[i-1]) + t[i]) / 3 for every row that has two predecessors
-            full = (temps[:-2] + temps[1:-1] + temps[2:]) / C.ROLLING_WINDOW
-            first = max(0, 2 - k)
-            roll[first:] = full[first + k - 2:]
-        state.update((float(temps[-2]) if len(temps) >= 2 else None, float(temps[-1]), seen + n))
-        out = pdf[[C.DEVICE, C.READING_ID, C.TIMESTAMP, C.TEMPERATURE]].copy()
-        out[C.ROLLING] = roll          # NaN is sent as NULL
-        out["high_temperature"] = np.nan_to_num(roll, nan=-np.inf) > limit
-        yield out
-    return step
-
-
-def rolling_alerts(readings: DataFrame, temp_threshold: float | None = None) -> DataFrame:
-    """3-reading rolling mean of temperature per device, carried in state across micro-batches.
-
-    Readings without a temperature are skipped. Within a micro-batch rows are taken in time order;
-    a reading older than ones already processed for its device is used as it arrives."""
+def _scan(rows: DataFrame) -> DataFrame:
+    """Each reading beside its device's two readings before it."""
+    return neighbour_rows(rows.withColumn("_r", F.struct(C.TIMESTAMP, C.READING_ID, C.TEMPERATURE)), "_r", lead_col=None)
+
+
+def _alerts(scanned: DataFrame, limit: float) -> DataFrame:
+    """The rolling mean and the high-temperature rule of the readings that were not carried over."""
+    rolling = (F.col(f"_lag2.{C.TEMPERATURE}") + F.col(f"_lag1.{C.TEMPERATURE}") + F.col(C.TEMPERATURE)) / C.ROLLING_WINDOW
+    return (scanned.filter(~F.col("carried")).select(C.DEVICE, C.READING_ID, C.TIMESTAMP, C.TEMPERATURE, rolling.alias(C.ROLLING))
+            .withColumn("high_temperature", is_true(F.col(C.ROLLING) > F.lit(limit))))
+
+
+def rolling_alerts(readings: DataFrame, work: str, delay: str = "1 day", temp_threshold: float | None = None) -> DataFrame:
+    """3-reading rolling mean of temperature per device over all data available now, in time order.
+
+    A reading waits until the latest time seen, less ``delay``, has passed it. The readings so closed go through the batch
+    operators' segmented scan behind the last two of their device, so a hot device is spread over tasks and the means are those of the
+    batch for any order of arrival within ``delay``. Readings before the mark of an earlier batch, or without a time, go to
+    ``late`` and take no part; readings without a temperature are skipped.
+
+    ``work`` holds a folder for each micro-batch, written anew when it is repeated: ``out`` (closed), ``late``, ``rows`` and
+    ``state`` (waiting, and the last two of each device). A later call with the same ``work`` goes on from there. Returns the closed
+    readings, and with ``closed`` false the waiting ones as they stand now.
+    """
+    spark = readings.sparkSession
     limit = C.Thresholds.of(temp_high=temp_threshold).temp_high
-    r = readings.filter(F.col(C.TEMPERATURE).isNotNull()) \
-        .select(C.DEVICE, C.READING_ID, C.TIMESTAMP, C.TEMPERATURE)
-    return r.groupBy(C.DEVICE).applyInPandasWithState(
-        _rolling_step(limit), ROLLING_OUT, ROLLING_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def run_to_parquet(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all data available now into Parquet under the shared folder (exactly-once,
-    restartable from its checkpoint) and return what it wrote."""
-    out, ck = scratch_path(spark, name), scratch_path(spark, name + "-checkpoint")
-    q = (stream.writeStream.format("parquet").option("checkpointLocation", ck).outputMode(mode)
-         .trigger(availableNow=True).start(out))
+    r = readings.filter(F.col(C.TEMPERATURE).isNotNull()).select(C.DEVICE, C.TIMESTAMP, C.READING_ID, C.TEMPERATURE)
+    state = T.StructType([*r.schema.fields, T.StructField("carried", T.BooleanType())])
+
+    def folder(kind: str, batch: int) -> str:
+        return f"{work}/{kind}/batch={batch}"
+
+    def mark(rows: DataFrame):
+        at = rows.agg((F.max(C.TIMESTAMP) - F.expr(f"INTERVAL {delay}")).cast("string")).first()[0]
+        return F.lit(at).cast(r.schema[C.TIMESTAMP].dataType)
+
+    def step(batch: DataFrame, n: int) -> None:
+        read = batch.sparkSession.read.schema(state)
+        old = read.parquet(folder("state", n - 1))
+        late = is_true(F.col(C.TIMESTAMP) < mark(old)) | F.col(C.TIMESTAMP).isNull()
+        batch.filter(late).write.mode("overwrite").parquet(folder("late", n))
+        old.unionByName(batch.filter(~late).withColumn("carried", F.lit(False))).write.mode("overwrite").parquet(folder("rows", n))
+        rows = read.parquet(folder("rows", n))
+        passed = F.col("carried") | is_true(F.col(C.TIMESTAMP) < mark(rows))
+        scanned = _scan(rows.filter(passed))
+        _alerts(scanned, limit).write.mode("overwrite").parquet(folder("out", n))
+        last = (scanned.filter(F.col(C.DEVICE).isNotNull()).groupBy(C.DEVICE).agg(F.max_by(F.array("_r", "_lag1"), "_r").alias("_two"))
+                .select(C.DEVICE, F.explode("_two").alias("_r")).filter(F.col("_r").isNotNull()).select(C.DEVICE, "_r.*", F.lit(True).alias("carried")))
+        rows.filter(~passed).unionByName(last).write.mode("overwrite").parquet(folder("state", n))
+
+    spark.createDataFrame([], state).write.mode("ignore").parquet(folder("state", -1))
+    r.writeStream.foreachBatch(step).option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    # once a reading has come, the latest one is in every state
+    done = spark.read.schema(state).parquet(f"{work}/state").agg(F.max("batch")).first()[0]
+    waiting = _alerts(_scan(spark.read.schema(state).parquet(folder("state", -1 if done is None else done))), limit)
+    if done is None:
+        return waiting.withColumn("closed", F.lit(False))
+    out = spark.read.schema(waiting.schema).parquet(f"{work}/out").drop("batch")
+    return out.withColumn("closed", F.lit(True)).unionByName(waiting.withColumn("closed", F.lit(False)))
+
+
+def late_readings(spark: SparkSession, work: str) -> DataFrame:
+    """What ``rolling_alerts`` left out, with the micro-batch in which it came."""
+    return spark.read.parquet(f"{work}/late")
+
+
+def run_to_parquet(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append", partition_by: tuple[str, ...] = (),
+                   work: str | None = None) -> DataFrame:
+    """Run a stream over all data available now into Parquet under the shared folder (exactly-once) and return what it wrote.
+    A later call with the same ``work`` folder goes on from its checkpoint."""
+    work = work or scratch_path(spark, name)
+    q = (stream.writeStream.format("parquet").option("checkpointLocation", f"{work}/checkpoint").outputMode(mode)
+         .partitionBy(*partition_by).trigger(availableNow=True).start(f"{work}/out"))
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.schema(stream.schema).parquet(f"{work}/out").select(stream.columns)
 
 
 def q_stream_alerts(spark, sf):
@@ -122,13 +156,18 @@ def q_stream_daily(spark, sf):
 
 
 def q_stream_rolling(spark, sf):
-    return run_to_parquet(spark, rolling_alerts(stream_readings(spark, sf)), "stream-rolling")
+    return rolling_alerts(stream_readings(spark, sf), scratch_path(spark, "stream-rolling")).drop("closed")
+
+
+def q_stream_routed(spark, sf):
+    return run_to_parquet(spark, contract_routed(stream_readings(spark, sf)), "stream-routed", partition_by=("passes",))
 
 
 QUERIES = {
     "stream_alerts": q_stream_alerts,
     "stream_daily": q_stream_daily,
     "stream_rolling": q_stream_rolling,
+    "stream_routed": q_stream_routed,
 }
 
 
@@ -159,4 +198,6 @@ SELECT device_id, CAST("timestamp" AS DATE) AS "date", {avg.format('temperature_
 FROM readings
 WHERE CAST("timestamp" AS DATE) + INTERVAL 2 DAY <= (SELECT max("timestamp") FROM readings)
 GROUP BY device_id, CAST("timestamp" AS DATE)"""
-    return {"stream_alerts": alerts, "stream_rolling": rolling, "stream_daily": daily}
+    routed = with_ctes(READINGS) + f"""
+SELECT *, contract_failures = 0 AS passes FROM (SELECT *, {n_fail} AS contract_failures FROM readings)"""
+    return {"stream_routed": routed, "stream_alerts": alerts, "stream_rolling": rolling, "stream_daily": daily}
