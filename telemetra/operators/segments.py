@@ -13,11 +13,14 @@ aggregation and the join back reuse that partitioning. Only the summary moves ag
 The windowed rows feed two consumers (the summary and the join back). Spark would evaluate a shared
 sub-plan twice (scan and shuffle included), so ``known_neighbours`` persists the windowed rows once
 (memory, spilling to local disk; a lost block is recomputed from lineage). Later scans built on top
-of them re-read that copy instead of the source.
+of them re-read that copy instead of the source; ``released`` frees the copies made within a block.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -30,6 +33,27 @@ LPOS = "_lpos"
 LAST_SEGMENT = 2 ** 62
 
 
+_held: list[list[DataFrame]] = []
+
+
+@contextmanager
+def released() -> Iterator[None]:
+    """Frames that the scans of this block persist are released at its end; store what is needed beyond it."""
+    _held.append([])
+    try:
+        yield
+    finally:
+        for d in _held.pop():
+            d.unpersist()
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if _held:
+        _held[-1].append(df)
+    return df
+
+
 def segment_widths(df: DataFrame, key: str = C.DEVICE, ts: str = C.TIMESTAMP,
                    target_rows: int | None = None) -> DataFrame:
     """Per key, the segment width (microseconds) that puts about ``target_rows`` rows in a segment: the time that the middle
@@ -107,7 +131,7 @@ def known_neighbours(df: DataFrame, cols: list[str], key: str = C.DEVICE,
                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
         d = d.select("*", *[F.last(known(c), ignorenulls=True).over(down).alias(_b(c)) for c in cols])
     if persist:
-        d = d.persist(StorageLevel.MEMORY_AND_DISK)
+        d = _kept(d)
 
     # One row per (key, segment): its size, its last known values and (backward) its first ones.
     aggs = [F.count(F.lit(1)).alias("_n")]
@@ -165,7 +189,7 @@ def neighbour_rows(df: DataFrame, value: str, key: str = C.DEVICE,
     d = d.select("*", F.lag(value, 1).over(w).alias("_l1"), F.lag(value, 2).over(w).alias("_l2"),
                  *([F.lead(lead_col, 1).over(w).alias("_nl")] if lead_col else []))
     if persist:
-        d = d.persist(StorageLevel.MEMORY_AND_DISK)
+        d = _kept(d)
 
     aggs = [F.count(F.lit(1)).alias("_n"),
             F.max_by(F.struct(F.col("_l1").alias("a"), F.col(value).alias("b")), F.col(LPOS)).alias("_tail")]

@@ -1,7 +1,7 @@
 """The end-to-end run: load → (date filter) → clean → transform → classify → daily stats → store.
 
-Every stage is a lazy DataFrame step; Spark sees one plan per output, so an output pays only for the steps it needs. Run
-metrics (rows loaded, rows kept, anomalies) are counted when asked for: two aggregates, none of them part of an output's plan.
+The classified rows are stored once in the shared folder; anomalies, daily statistics, metrics and any sink read them
+from there, so the ordered scans run once for all outputs and nothing stays persisted after the run.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from ..operators.cleaning import clean
 from ..operators.derive import transform
 from ..operators.filters import date_range_filter
 from ..operators.rollups import daily_stats
+from ..operators.segments import released
+from ..session import scratch_path
 
 
 @dataclass
@@ -35,13 +37,17 @@ class RunResult:
 def run(readings: DataFrame, temp_threshold: float | None = None, battery_threshold: float | None = None,
         validation: str = "enforce", start=None, end=None,
         segment_seconds: int | None = C.DEFAULT_SEGMENT_SECONDS) -> RunResult:
-    """Build the whole run. ``start``/``end`` (inclusive days) filter *before* cleaning, so rows
+    """The whole run. ``start``/``end`` (inclusive days) filter *before* cleaning, so rows
     outside the range take no part in interpolation. Thresholds: argument beats default."""
     raw = readings
     if start is not None or end is not None:
         raw = date_range_filter(raw, start, end)
-    cleaned = clean(raw, validation=validation, keep_segment=True, segment_seconds=segment_seconds)
-    classified = classify(transform(cleaned, segment_seconds=segment_seconds),
-                          temp_threshold, battery_threshold)
+    spark = readings.sparkSession
+    path = scratch_path(spark, "classified")
+    with released():
+        cleaned = clean(raw, validation=validation, keep_segment=True, segment_seconds=segment_seconds)
+        rows = classify(transform(cleaned, segment_seconds=segment_seconds), temp_threshold, battery_threshold)
+        rows.write.parquet(path)
+    classified = spark.read.schema(rows.schema).parquet(path)
     return RunResult(classified=classified, anomalies=anomalies(classified),
                      daily=daily_stats(classified, ordered=True), loaded=raw)

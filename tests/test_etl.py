@@ -27,3 +27,13 @@ def test_date_range_applies_before_cleaning(spark):
     r = etl.run(load_readings(spark, SF_SMALL), validation="report", start="2024-01-03", end="2024-01-05")
     days = {str(x.date) for x in r.daily.collect()}
     assert days <= {"2024-01-03", "2024-01-04", "2024-01-05"} and days
+
+
+def test_nothing_stays_persisted_after_a_run(spark):
+    before = set(spark.sparkContext._jsc.getPersistentRDDs().keySet())
+    r = etl.run(load_readings(spark, SF_SMALL), validation="enforce")
+    assert r.daily.count() > 0 and r.anomalies.count() == r.metrics()["anomalies"]
+    assert set(spark.sparkContext._jsc.getPersistentRDDs().keySet()) <= before
+    # all outputs read the stored rows: no ordered scan is left in their plans
+    for out in (r.daily, r.anomalies):
+        assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
