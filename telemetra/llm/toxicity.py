@@ -1,16 +1,18 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
-
-Terms are beginnings of words at rates: "words that begin with these four, five or six bytes are at least so frequent in the
-text". The terms that tell the classes apart are chosen on the examples, weighted by inverse document frequency, and every
-example is a unit vector of them. The index keeps postings by block of examples and, for each term and block, the
-largest weight. A text sums the blocks with the highest upper bounds, then those others whose bound could still change its nearest
-neighbours, which are therefore exact. Neighbours vote by similarity; the votes are calibrated on the examples themselves, each
-left out in turn. A text without any chosen term gets the calibrated rate of such examples.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over the words of whole texts.
+
+Every word of the examples is a term, weighted by inverse document frequency and the logarithm of its count, and every example is a unit
+vector of all its words; a word that no example holds counts in a text's length. In scripts written without blanks, neighbouring
+characters stand for words. Rare words keep postings and are summed for all examples; words of many examples are held as
+blocks of a dense table and, for each word and block, the largest weight. A text sums the blocks with the highest upper bounds, then those
+whose bound could still change its nearest neighbours, which are therefore exact. Neighbours vote by similarity. The vote and what
+the text's words say about the classes are weighed against each other and calibrated on the examples themselves, each left out in
+turn. Examples with just the text's words count by their labels.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -18,32 +20,41 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from . import text as X
 
-RATES = np.array([0.003, 0.006, 0.012, 0.025])     # words in a text that begin alike, as a share: the levels above "at all"
-SIZES = (4, 5, 6)
 BLOCK = 64
 FIRST = 4              # blocks summed before any is ruled out
+COMMON = 0.05          # share of the examples from which on a word is held in the dense table
+RUN, POSTINGS = 64, 1 << 20            # texts searched together, and about the most postings they sum at once
+TELLING = 3            # words that speak for toxic in a text's evidence
 LETTER = np.zeros(256, bool)
 LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 FIELDS = [T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.LongType())), T.StructField("similarity", T.ArrayType(T.DoubleType()))]
 
 
-def beginnings(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, key) of every beginning of 4, 5 and 6 bytes of every run of letters and digits, and the runs by
-    document. A key is the bytes themselves and their number."""
-    n = len(offs) - 1
+def word_keys(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, key) of every run of letters and digits; a key is the hash of the whole run. A run with characters of a
+    script without blanks gives its pairs of neighbouring characters instead."""
     if not len(data):
-        z = np.zeros(0, np.int64)
-        return z, z.astype(np.uint64), np.zeros(n, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     starts, ends, doc = _runs(LETTER[data], offs)
-    low = np.concatenate([X.LOWER[data], np.zeros(8, np.uint8)])
-    value, docs, keys = np.zeros(len(starts), np.uint64), [], []
-    for k in range(max(SIZES)):
-        value |= low[starts + k].astype(np.uint64) << np.uint64(8 * k)
-        if k + 1 in SIZES:
-            ok = ends - starts > k
-            docs.append(doc[ok])
-            keys.append(value[ok] | np.uint64((k + 1) << 56))
-    return np.concatenate(docs), np.concatenate(keys), np.bincount(doc, minlength=n)
+    total = np.concatenate([[0], np.cumsum(_unspaced(data))])
+    wide = np.flatnonzero(total[ends] > total[starts])
+    if len(wide):
+        at = np.flatnonzero((data & 0xC0) != 0x80)                           # first bytes of characters
+        lo, hi = np.searchsorted(at, starts[wide]), np.searchsorted(at, ends[wide])
+        size = np.maximum(hi - lo - 1, 1)
+        place = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+        after = np.append(at, [len(data)] * 2)
+        s2, e2 = at[place], np.minimum(after[place + 2], np.repeat(ends[wide], size))
+        rest = np.setdiff1d(np.arange(len(starts)), wide)
+        starts, ends, doc = (np.concatenate([a[rest], b]) for a, b in ((starts, s2), (ends, e2), (doc, np.repeat(doc[wide], size))))
+    return doc, X.span_hashes(X.BYTE_CODE[X.LOWER[data]], starts, ends)
+
+
+def _unspaced(data: np.ndarray) -> np.ndarray:
+    """Whether a byte begins a character of Han, Kana, Thai, Lao, Burmese or Khmer."""
+    after = np.append(data[1:], 0)
+    return ((data >= 0xE3) & (data <= 0xE9) | (data == 0xE0) & (after >= 0xB8) & (after <= 0xBB) | (data == 0xE1) & ((after >= 0x80) & (after <= 0x82) | (after == 0x9E) | (after == 0x9F))
+            | (data == 0xF0) & (after >= 0xA0) & (after <= 0xBF))
 
 
 def _runs(inside: np.ndarray, offs: np.ndarray):
@@ -58,88 +69,173 @@ def _runs(inside: np.ndarray, offs: np.ndarray):
     return starts, np.flatnonzero(last) + 1, np.searchsorted(offs, starts, "right") - 1
 
 
-def levels(count: np.ndarray, words: np.ndarray) -> np.ndarray:
-    return 1 + np.searchsorted(RATES, count / np.maximum(words, 1), "right")
+def counted(data: np.ndarray, offs: np.ndarray):
+    """Runs of whole documents: (first, last + 1, document, key, count), one entry for each distinct word of a document, by document."""
+    found = []
+    for i, j, d, o, _, last in X.stretches(data, offs):
+        doc, key = word_keys(d, o)
+        every, which = np.unique(key, return_inverse=True)
+        cell, count = np.unique(doc * max(len(every), 1) + which, return_counts=True)
+        found.append((cell // max(len(every), 1), every[cell % max(len(every), 1)] if len(every) else every, count))
+        if last:
+            doc, key, count = (np.concatenate(x) for x in zip(*found))
+            if len(found) > 1:                               # one document, stretch by stretch
+                key, which = np.unique(key, return_inverse=True)
+                doc, count = np.zeros(len(key), np.int64), np.bincount(which, count, len(key)).astype(np.int64)
+            found = []
+            yield i, j, doc, key, count
 
 
 def _example_rows(batches):
-    """Keys and levels of each example, as bytes."""
+    """Keys and counts of each example's words, as bytes."""
     for b in batches:
-        data, offs = X.utf8(b.column(3))
-        n = b.num_rows
-        words, found = np.zeros(n, np.int64), [[] for _ in range(n)]
-        for i, j, d, o, _, _ in X.stretches(data, offs):
-            doc, key, w = beginnings(d, o)
-            words[i:j] += w
-            order = np.argsort(doc, kind="stable")
-            for k, own in enumerate(np.split(key[order], np.searchsorted(doc[order], np.arange(1, j - i)))):
-                found[i + k].append(np.unique(own, return_counts=True))
-        keys, lev = [], []
-        for r in range(n):
-            u, which = np.unique(np.concatenate([f[0] for f in found[r]] or [np.zeros(0, np.uint64)]), return_inverse=True)
-            c = np.bincount(which, np.concatenate([f[1] for f in found[r]] or [np.zeros(0)]), len(u))
-            keys.append(u.astype("<u8").tobytes())
-            lev.append(levels(c, words[r]).astype(np.uint8).tobytes())
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(keys, pa.binary()), pa.array(lev, pa.binary())], names=["doc_id", "label", "rank", "keys", "levels"])
+        keys, counts = [], []
+        for i, j, doc, key, count in counted(*X.utf8(b.column(3))):
+            at = np.searchsorted(doc, np.arange(j - i + 1))
+            for s, e in zip(at[:-1].tolist(), at[1:].tolist()):
+                keys.append(key[s:e].astype("<u8").tobytes())
+                counts.append(count[s:e].astype("<u4").tobytes())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "label", "rank", "keys", "counts"])
 
 
 @dataclass
 class Index:
-    keys: np.ndarray       # sorted keys of chosen terms
-    term: np.ndarray       # key x level -> term number, -1 where not chosen
+    keys: np.ndarray       # sorted keys of all words of the examples
     idf: np.ndarray
-    post_doc: np.ndarray   # postings of all terms, by term, then example
+    odds: np.ndarray       # what a word says for toxic
+    post_doc: np.ndarray   # postings of all words, by word, then example
     post_weight: np.ndarray
-    edge: np.ndarray       # term x (blocks + 1): bounds of a term's postings of a block
-    most: np.ndarray       # term x block: largest weight
+    edge: np.ndarray       # word -> bounds of its postings
+    row: np.ndarray        # word -> row in the dense table, -1 for rare words
     ids: np.ndarray
     label: np.ndarray
     weight: np.ndarray     # of an example in the vote: its class's share in all labels over that in the sample
+    block: int
     k: int
-    steps: np.ndarray      # calibration: vote (ascending) -> probability
+    mix: np.ndarray        # constant and weights of neighbours' vote and words' evidence
+    steps: np.ndarray      # calibration: mixed vote (ascending) -> probability
     prob: np.ndarray
-    empty: float           # probability of a text without chosen terms
-    sieve: np.ndarray
-
-    def _cosines(self, terms: np.ndarray, q: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the examples of ``blocks`` that share a term: the terms' postings there, summed."""
-        first, size = self.edge[terms][:, blocks].ravel(), (self.edge[terms][:, blocks + 1] - self.edge[terms][:, blocks]).ravel()
+    empty: float           # probability of a text without neighbours
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("dense", "most")}     # made again where they are used
+
+    @property
+    def blocks(self) -> int:
+        return -(-len(self.ids) // self.block)
+
+    @cached_property
+    def dense(self) -> np.ndarray:
+        """Weights of the common words: block x word x example."""
+        common = np.flatnonzero(self.row >= 0)
+        out = np.zeros((self.blocks, len(common), self.block))
+        for r, (s, e) in enumerate(self.edge[common].tolist()):
+            d = self.post_doc[s:e]
+            out[d // self.block, r, d % self.block] = self.post_weight[s:e]
+        return out
+
+    @cached_property
+    def most(self) -> np.ndarray:
+        """Largest weight by common word and block."""
+        return np.ascontiguousarray(self.dense.max(2).T)
+
+    def unit(self, doc: np.ndarray, idf: np.ndarray, count: np.ndarray, many: int) -> np.ndarray:
+        w = idf * (1 + np.log(count))
+        return w / np.sqrt(np.maximum(np.bincount(doc, w * w, many), 1e-24))[doc]
+
+    def search(self, doc: np.ndarray, terms: np.ndarray, q: np.ndarray, many: int, skip: np.ndarray | None = None):
+        """(examples, cosines) of the k nearest of each of ``many`` texts, whose words ``terms`` come by ``doc`` with weights ``q``. Each text's
+        example ``skip`` is left out."""
+        bound = np.searchsorted(doc, np.arange(many + 1))
+        size = np.concatenate([[0], np.cumsum(np.where(self.row[terms] < 0, self.edge[terms, 1] - self.edge[terms, 0], 0))])[bound]
+        i = 0
+        while i < many:
+            j = min(max(i + 1, int(np.searchsorted(size, size[i] + POSTINGS, "right")) - 1), i + RUN, many)
+            s, e = bound[i], bound[j]
+            yield from self._run(doc[s:e] - i, terms[s:e], q[s:e], j - i, None if skip is None else skip[i:j])
+            i = j
+
+    def _run(self, doc, terms, q, m, skip):
+        wide, row = self.blocks * self.block, self.row[terms]
+        rare = row < 0
+        first, size = self.edge[terms[rare], 0], self.edge[terms[rare], 1] - self.edge[terms[rare], 0]
         done = np.cumsum(size)
         at = np.repeat(first - done + size, size) + np.arange(done[-1] if len(done) else 0)
-        sim = np.bincount(self.post_doc[at], self.post_weight[at] * np.repeat(np.repeat(q, len(blocks)), size), len(self.ids))
-        d = np.flatnonzero(sim)
-        return d, sim[d]
+        sim = np.bincount(np.repeat(doc[rare] * wide, size) + self.post_doc[at], self.post_weight[at] * np.repeat(q[rare], size), m * wide).astype(float, copy=False)
+        sim = sim.reshape(m, self.blocks, self.block)
+        table = np.zeros((m, self.dense.shape[1]))
+        table[doc[~rare], row[~rare]] = q[~rare]
+        bound = sim.max(2) + table @ self.most
+        summed = np.zeros(self.blocks, bool)
+        summed[np.argsort(-bound, axis=1, kind="stable")[:, :FIRST]] = True
+        for b in np.flatnonzero(summed):
+            sim[:, b] += table @ self.dense[b]
+        own = () if skip is None else (np.arange(m), skip // self.block, skip % self.block)
+        if skip is not None:
+            sim[own] = 0
+        have = sim[:, summed].reshape(m, -1)
+        least = np.partition(have, have.shape[1] - self.k, axis=1)[:, have.shape[1] - self.k] if have.shape[1] >= self.k else np.zeros(m)
+        for b in np.flatnonzero(~summed & (bound >= np.maximum(least, 1e-12)[:, None] - 1e-9).any(0)):
+            sim[:, b] += table @ self.dense[b]
+            summed[b] = True
+        if skip is not None:
+            sim[own] = 0
+        sim[:, ~summed] = 0
+        sim = sim.reshape(m, wide)
+        last = np.partition(sim, wide - self.k, axis=1)[:, wide - self.k] if wide >= self.k else np.zeros(m)
+        for r in range(m):
+            d = np.flatnonzero((sim[r] >= last[r] - 2e-9) & (sim[r] > 1e-12))
+            s = sim[r, d]
+            best = np.lexsort((d, -np.round(s, 9)))[:self.k]
+            yield d[best], s[best]
 
     def nearest(self, terms: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest, most similar first, ties by example number; cosine 0 is no neighbour.
-
-        The blocks with the highest bounds are summed first; of the others only those whose bound reaches the k-th best
-        cosine found there."""
-        q = self.idf[terms]
-        q = q / np.sqrt((q * q).sum())
-        bound = q @ self.most[terms]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        if not len(order):
-            return np.zeros(0, np.int64), np.zeros(0)
-        d, s = self._cosines(terms, q, order[:FIRST])
-        d, s = d[d != skip], s[d != skip]
-        least = np.partition(s, len(s) - self.k)[len(s) - self.k] if len(s) >= self.k else 0.0
-        rest = order[FIRST:][bound[order[FIRST:]] >= least - 1e-9]
-        if len(rest):
-            d2, s2 = self._cosines(terms, q, rest)
-            d, s = np.concatenate([d, d2[d2 != skip]]), np.concatenate([s, s2[d2 != skip]])
-        best = np.lexsort((d, -np.round(s, 9)))[:self.k]
-        return d[best], s[best]
+        """(examples, cosines) of the k nearest to a text of these words, each there once, most similar first, ties by example number; cosine 0 is no
+        neighbour."""
+        doc = np.zeros(len(terms), np.int64)
+        return next(self.search(doc, terms, self.unit(doc, self.idf[terms], np.ones(len(terms)), 1), 1, None if skip < 0 else np.array([skip])))
 
     def vote(self, d: np.ndarray, s: np.ndarray) -> float:
-        """Similarity-weighted share of toxic neighbours; the nearer the heavier."""
-        w = self.weight[d] * s * s
+        """Similarity-weighted share of toxic neighbours; the nearer the heavier, an equal one far more than all others."""
+        w = self.weight[d] * s * s / (1.01 - np.minimum(s * s, 1))
         return float((w * self.label[d]).sum() / w.sum())
 
     def calibrated(self, vote: float) -> float:
         return float(self.prob[min(np.searchsorted(self.steps, vote - 1e-12), len(self.prob) - 1)])
 
+    def probability(self, d: np.ndarray, s: np.ndarray, says: float) -> float:
+        """Of toxic, from the neighbours and the words' evidence; examples with the text's own words and counts are as many observations beside this one."""
+        if not len(d):
+            return self.empty
+        same = self.label[d[s > 1 - 1e-9]]
+        return float((self.calibrated(self.mix @ [1, self.vote(d, s), says]) + same.sum()) / (1 + len(same)))
+
+
+def _odds(c1: np.ndarray, c0: np.ndarray, n1, n0) -> np.ndarray:
+    """Logarithm of how much likelier a word is in toxic examples, smoothed, less its standard error; 0 at least."""
+    p = n1 / (n1 + n0)
+    a, b = c1 + p, c0 + 1 - p
+    return np.where(c1 + c0 > 0, np.maximum(np.log(a / (n1 + p) / (b / (n0 + 1 - p))) - np.sqrt(1 / a + 1 / b), 0), 0.0)
+
+
+def _evidence(doc: np.ndarray, odds: np.ndarray, many: int) -> np.ndarray:
+    """Sum of the odds of each text's most telling words; ``doc`` ascends."""
+    order = np.lexsort((-odds, doc))
+    nth = np.arange(len(doc)) - np.searchsorted(doc, doc)
+    return np.bincount(doc, np.where(nth < TELLING, odds[order], 0), many)
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Constant and weights of a regression with a small penalty; no weight is negative."""
+    a, w = np.column_stack([np.ones(len(x)), x]), w / w.mean()
+    c = np.zeros(a.shape[1])
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(a @ c, -30, 30)))
+        step = np.linalg.solve((a * (w * p * (1 - p))[:, None]).T @ a + 0.1 * np.eye(len(c)), a.T @ (w * (y - p)) - 0.1 * c)
+        c = c + step / max(1.0, np.abs(step).max() / 4)
+    c[1:] = np.maximum(c[1:], 0)
+    return c
+
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Non-decreasing steps that fit y best (pool adjacent violators): (upper bound of each step, value)."""
@@ -153,9 +249,9 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([s[0] for s in steps]), np.array([s[1] / s[2] for s in steps])
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, toxic: int = 3000, clean: int = 3000, terms: int = 1024, k: int = 15) -> Index | None:
+def train(docs: DataFrame, labels: DataFrame, learn: Column, toxic: int = 3000, clean: int = 3000, block: int = BLOCK, k: int = 15) -> Index | None:
     """Index of at most ``toxic`` + ``clean`` labelled examples: of each class the labels with the smallest hash of doc_id, whole
-    texts. Only their word beginnings come to the driver. Labels whose class is null or ``learn`` (a condition on doc_id) is
+    texts. Only the keys and numbers of their words come to the driver. Labels whose class is null or ``learn`` (a condition on doc_id) is
     false are not read; without examples of both classes there is no index."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where(learn & F.col("label").isin(0, 1))
     total = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -165,80 +261,58 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, toxic: int = 3000,
               .where(F.col("nth") <= F.when(F.col("label") == 1, toxic).otherwise(clean)).select("doc_id", "label", "rank"))
     near = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")   # at most toxic + clean rows
     rows = near.select("doc_id", "label", "rank", "text").mapInArrow(_example_rows, T.StructType([docs.schema["doc_id"], T.StructField("label", T.IntegerType()), T.StructField("rank", T.LongType()),
-                                                                                                   T.StructField("keys", T.BinaryType()), T.StructField("levels", T.BinaryType())]))
+                                                                                                   T.StructField("keys", T.BinaryType()), T.StructField("counts", T.BinaryType())]))
     got = (rows.withColumn("nth", F.row_number().over(Window.partitionBy("label").orderBy("rank", "doc_id"))).where(F.col("nth") <= most)
            .orderBy("label", "rank", "doc_id").collect())
     if len({r["label"] for r in got}) < 2:
         return None
     return build([r["doc_id"] for r in got], np.array([r["label"] for r in got]), [np.frombuffer(r["keys"], "<u8") for r in got],
-                 [np.frombuffer(r["levels"], np.uint8) for r in got], total, terms, k)
+                 [np.frombuffer(r["counts"], "<u4") for r in got], total, block, k)
 
 
-def build(ids: list, label: np.ndarray, keys: list[np.ndarray], lev: list[np.ndarray], total: dict[int, int], terms: int, k: int) -> Index:
-    """Choose terms, weigh and index the examples, and calibrate."""
-    n, top = len(ids), len(RATES) + 1
-    every, which = np.unique(np.concatenate(keys), return_inverse=True)
+def build(ids: list, label: np.ndarray, keys: list[np.ndarray], counts: list[np.ndarray], total: dict[int, int], block: int, k: int) -> Index:
+    """Weigh and index all words of the examples, and calibrate."""
+    n = len(ids)
+    every, term = np.unique(np.concatenate(keys), return_inverse=True)
     owner = np.repeat(np.arange(n), [len(x) for x in keys])
-    level = np.concatenate(lev).astype(np.int64)
+    count = np.concatenate(counts).astype(np.int64)
+    df = np.bincount(term, minlength=len(every))
+    idf = np.log((1 + n) / (1 + df)) + 0.1
+    row = np.full(len(every), -1)
+    common = np.flatnonzero(df > COMMON * n)
+    row[common] = np.arange(len(common))
+    lead = np.full(n, len(common))                            # like examples side by side: tight block bounds
+    often = np.flatnonzero(row[term] >= 0)
+    often = often[np.lexsort((idf[term[often]] * (1 + np.log(count[often])), owner[often]))]
+    lead[owner[often]] = row[term[often]]                     # the heaviest common word comes last and stays
+    order = np.lexsort((np.arange(n), lead))
+    place = np.argsort(order)
+    label, owner = label[order], place[owner]
     size = np.bincount(label, minlength=2)
-    gain = np.zeros((len(every), top))
-    df = np.zeros((len(every), top))
-    for l in range(top):
-        has = level > l
-        c1 = np.bincount(which[has], label[owner[has]], len(every))
-        c = np.bincount(which[has], minlength=len(every)).astype(float)
-        p, p0, p1 = c / n, (c - c1) / size[0], c1 / size[1]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            g = 2 * (c1 * np.log(p1 / p) + np.where(c > c1, (c - c1) * np.log(p0 / p), 0)
-                     + np.where(p1 < 1, (size[1] - c1) * np.log((1 - p1) / (1 - p)), 0) + np.where(p0 < 1, (size[0] - c + c1) * np.log((1 - p0) / (1 - p)), 0))
-        gain[:, l] = np.where((c1 >= 5) & (p1 > p0), np.nan_to_num(g), 0)       # likelihood ratio of "the term goes with toxic"
-        df[:, l] = c
-    flat = np.argsort(-gain, axis=None, kind="stable")[:terms]
-    flat = flat[gain.ravel()[flat] > 25]                                        # far beyond chance among all candidates
-    key_at, lev_at = np.unravel_index(flat, gain.shape)
-    used = np.unique(key_at)
-    place = np.full(len(every), -1)
-    place[used] = np.arange(len(used))
-    term = np.full((len(used), top), -1)
-    term[place[key_at], lev_at] = np.arange(len(flat))
-    idf = np.log((1 + n) / (1 + df[key_at, lev_at])) + 0.1
-    cells = np.zeros((n, len(flat)), bool)
-    ok = place[which] >= 0
-    for l in range(top):
-        has = ok & (level > l)
-        t = term[place[which[has]], l]
-        cells[owner[has][t >= 0], t[t >= 0]] = True
-    lead = np.where(cells.any(1), cells.argmax(1), len(flat))                   # like examples side by side: tight block bounds
-    order = np.lexsort((np.arange(n), -cells.sum(1), lead))
-    cells, label = cells[order], label[order]
-    weight = cells * idf
-    weight /= np.maximum(np.sqrt((weight ** 2).sum(1, keepdims=True)), 1e-12)
-    blocks = -(-n // BLOCK)
-    t_at, d_at = np.nonzero(cells.T)
-    w_at = weight[d_at, t_at]
-    most, edge = np.zeros((len(flat), blocks)), np.zeros((len(flat), blocks + 1), np.int64)
-    np.maximum.at(most, (t_at, d_at // BLOCK), w_at)
-    edge[:] = np.searchsorted(t_at * (blocks + 1) + d_at // BLOCK, np.arange(len(flat))[:, None] * (blocks + 1) + np.arange(blocks + 1))
+    c1 = np.bincount(term, label[owner], len(every))
     share = np.array([total.get(0, 0) / max(size[0], 1), total.get(1, 0) / max(size[1], 1)])[label]
-    sieve = np.zeros(1 << 16, bool)
-    sieve[_slot(every[used])] = True
-    ix = Index(every[used], term, idf, d_at, w_at, edge, most, np.array(ids)[order], label, share, k, np.zeros(1), np.zeros(1), 0.0, sieve)
-    votes, has = np.zeros(n), cells.any(1)
-    for i in np.flatnonzero(has).tolist():
-        d, s = ix.nearest(np.flatnonzero(cells[i]), skip=i)
+    by = np.lexsort((owner, term))
+    bounds = np.concatenate([[0], np.cumsum(df)])
+    ix = Index(every, idf, _odds(c1, df - c1, size[1], size[0]), owner[by], np.zeros(0), np.stack([bounds[:-1], bounds[1:]], 1), row, np.array(ids)[order], label, share,
+               block, k, np.zeros(3), np.zeros(1), np.zeros(1), 0.0)
+    ix.post_weight = ix.unit(owner, idf[term], count, n)[by]
+    own = np.lexsort((term, owner))                           # each example as a text, without itself
+    o, t = owner[own], term[own]
+    y = label[o]
+    says = _evidence(o, _odds(c1[t] - y, df[t] - c1[t] - 1 + y, size[1] - y, size[0] - 1 + y), n)
+    votes, has = np.zeros(n), np.zeros(n, bool)
+    for i, (d, s) in enumerate(ix.search(o, t, ix.unit(o, idf[t], count[own], n), n, np.arange(n))):
+        has[i] = len(d) > 0
         votes[i] = ix.vote(d, s) if len(d) else 0.0
-    none = ~has
     rate = lambda m: float(((share * label)[m].sum() + 0.5 * share.mean()) / (share[m].sum() + 5 * share.mean()))
-    ix.empty = rate(none)
+    ix.empty = rate(~has)
     if has.any():
-        ix.steps, ix.prob = isotonic(votes[has], label[has].astype(float), share[has])
+        x, y = np.column_stack([votes, says])[has], label[has].astype(float)
+        ix.mix = _logistic(x, y, share[has])
+        ix.steps, ix.prob = isotonic(ix.mix[0] + x @ ix.mix[1:], y, share[has])
     return ix
 
 
-def _slot(key: np.ndarray) -> np.ndarray:
-    return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
-
-
 def scorer(ix: Index | None):
     """The batch function: (score, evidence, similarity) of each text."""
     def score(col: pa.Array) -> list[pa.Array]:
@@ -246,33 +320,21 @@ def scorer(ix: Index | None):
         n = len(offs) - 1
         if ix is None:
             return [pa.array(np.zeros(n)), pa.array([[]] * n, pa.list_(pa.int64())), pa.array([[]] * n, pa.list_(pa.float64()))]
-        words, doc_at, key_at = np.zeros(n, np.int64), [], []
-        for i, j, d, o, _, _ in X.stretches(data, offs):
-            doc, key, w = beginnings(d, o)
-            words[i:j] += w
-            maybe = ix.sieve[_slot(key)]
-            doc, key = doc[maybe], key[maybe]
-            at = np.minimum(np.searchsorted(ix.keys, key), len(ix.keys) - 1) if len(ix.keys) else np.zeros(len(key), np.int64)
+        out, evidence, near = [], [], []
+        absent = np.log(1 + len(ix.ids)) + 0.1               # idf of a word that no example holds
+        for i, j, doc, key, count in counted(data, offs):
+            at = np.minimum(np.searchsorted(ix.keys, key), max(len(ix.keys) - 1, 0))
             hit = ix.keys[at] == key if len(ix.keys) else np.zeros(len(key), bool)
-            doc_at.append(doc[hit] + i)
-            key_at.append(at[hit])
-        cell, count = np.unique(np.concatenate(doc_at or [np.zeros(0, np.int64)]) * max(len(ix.keys), 1) + np.concatenate(key_at or [np.zeros(0, np.int64)]), return_counts=True)
-        doc, key = cell // max(len(ix.keys), 1), cell % max(len(ix.keys), 1)
-        lev = levels(count, words[doc])
-        bound = np.searchsorted(doc, np.arange(n + 1))
-        out, evidence, near, seen = np.full(n, ix.empty), [[]] * n, [[]] * n, {}
-        for r in np.flatnonzero(np.diff(bound)).tolist():
-            s, e = bound[r], bound[r + 1]
-            t = ix.term[key[s:e]][np.arange(ix.term.shape[1]) < lev[s:e, None]]
-            t = np.sort(t[t >= 0])
-            if not len(t):
-                continue
-            got = seen.get(t.tobytes())
-            if got is None:                              # copies in a batch ask once
-                d, sim = ix.nearest(t)
-                got = seen[t.tobytes()] = (ix.calibrated(ix.vote(d, sim)), ix.ids[d[:5]].tolist(), sim[:5].tolist()) if len(d) else (ix.empty, [], [])
-            out[r], evidence[r], near[r] = got
-        return [pa.array(out), pa.array(evidence, pa.list_(pa.int64())), pa.array(near, pa.list_(pa.float64()))]
+            idf = np.full(len(key), absent)
+            idf[hit] = ix.idf[at[hit]]
+            q = ix.unit(doc, idf, count, j - i)[hit]
+            doc, term = doc[hit], at[hit]
+            says = _evidence(doc, ix.odds[term], j - i)
+            for (d, s), e in zip(ix.search(doc, term, q, j - i), says.tolist()):
+                out.append(ix.probability(d, s, e))
+                evidence.append(ix.ids[d[:5]].tolist())
+                near.append(np.minimum(s[:5], 1).tolist())
+        return [pa.array(out, pa.float64()), pa.array(evidence, pa.list_(pa.int64())), pa.array(near, pa.list_(pa.float64()))]
 
     return score
 
@@ -280,8 +342,8 @@ def scorer(ix: Index | None):
 def score_toxicity(docs: DataFrame, index: Index | None, keep: list[str]) -> DataFrame:
     """``keep`` columns of ``docs`` plus score (0 to 1), evidence (ids of up to five nearest examples) and their similarity.
 
-    Null and empty texts have no term and get the rate of such examples; repeated rows are scored alike; without an index every score
+    Texts without a word that an example holds, null and empty ones among them, get the rate of such examples; repeated rows are scored alike; without an index every score
     is 0; an empty table stays empty; other columns are not read.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(index)    # bounded by the numbers of examples and terms
+    sent = docs.sparkSession.sparkContext.broadcast(index)    # bounded by the words of the examples
     return X.append_columns(docs, keep, FIELDS, lambda: scorer(sent.value))

@@ -447,6 +447,56 @@ def test_block_max_search_is_exact():
         assert np.allclose(s, sim[order][sim[order] > 0]) and set(d) == set(order[sim[order] > 0])
 
 
+def test_every_word_counts_in_the_neighbour_search():
+    rng = random.Random(3)
+    common = [f"w{i}" for i in range(30)]
+    text = [" ".join(rng.choice(common) for _ in range(25)) + "".join(f" r{i * 7 + j}" for j in range(5)) + (" vile" * 2 if i % 4 == 0 else "") for i in range(240)]
+    text[5], text[9], text[40] = "one quiet page about gardens", "ordinary words, seen nowhere else", "花が咲く 静かな庭です"     # 5, 9 and 40: none of the telling words
+    label = np.array([int(i % 4 == 0 or i == 9) for i in range(240)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(240)), pa.array(label, pa.int32()), pa.array(range(240)), pa.array(text)], names=["doc_id", "label", "rank", "text"])
+    (made,) = toxicity._example_rows([batch])
+    read = lambda c, kind: [np.frombuffer(x, kind) for x in made.column(c).to_pylist()]
+    ix = toxicity.build(list(range(240)), label, read(3, "<u8"), read(4, "<u4"), {0: 179, 1: 61}, 32, 15)
+    assert (ix.row >= 0).any() and (ix.row < 0).sum() > 1000                   # words in the dense table and words with postings
+    asked = [text[9], text[5], "ordinary words", "咲く", "r50 never before", text[77], None, "neverbefore"]
+    score, evidence, near = (c.to_pylist() for c in toxicity.scorer(ix)(pa.array(asked)))
+    assert evidence[0][0] == 9 and near[0][0] == pytest.approx(1) and score[0] >= 0.3 > score[1]      # equal to a toxic example of ordinary words
+    assert [e[0] for e in evidence[1:6]] == [5, 9, 40, 7, 77] and near[5][0] == pytest.approx(1)
+    assert evidence[6] == evidence[7] == [] and score[6] == score[7] == ix.empty
+
+    idf = {}                                                                   # brute force over whole texts
+    bags = [Counter(re.findall("[a-z0-9]+", t)) for t in text]
+    for b in bags:
+        idf.update((w, idf.get(w, 0) + 1) for w in b)
+    weigh = lambda b: {w: (math.log(241 / (1 + idf.get(w, 0))) + 0.1) * (1 + math.log(c)) for w, c in b.items()}
+    length = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    for k in (0, 1, 2, 4, 5):
+        q = weigh(Counter(re.findall("[a-z0-9]+", asked[k])))
+        want = sorted((sum(q[w] * x for w, x in weigh(b).items() if w in q) / length(q) / max(length(weigh(b)), 1e-9) for b in bags), reverse=True)[:5]
+        assert near[k] == pytest.approx([x for x in want if x > 0])
+
+
+def test_a_copy_of_a_toxic_example_without_telling_words(spark):
+    tuned(spark)
+    rng = random.Random(11)
+    own = lambda i: "".join(f" {w}{i}" for w in "abcdefgh")
+    text = [(i, prose(rng, EN, 30) + own(i) + (" scumbag" * 3 if i % 5 == 0 else "")) for i in range(300)]
+    label = [(i, int(i % 5 == 0 or i == 31)) for i in range(300)]
+    docs = spark.createDataFrame(text + [(900, text[31][1])], "doc_id long, text string")
+    index = toxicity.train(docs, spark.createDataFrame(label, "doc_id long, toxic int"), F.lit(True))
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, index, ["doc_id"]).collect()}
+    assert got[900].evidence[0] == 31 and got[900].similarity[0] == pytest.approx(1) and got[900].score >= 0.3
+    assert all(r.evidence for r in got.values())
+
+
+def test_words_of_a_text_in_stretches(monkeypatch):
+    t = " ".join(f"w{i % 50}" for i in range(4000))
+    whole = list(toxicity.counted(*X.utf8(pa.array([t]))))
+    monkeypatch.setattr(X.stretches, "__defaults__", (1000,))
+    (_, _, doc, key, count), = toxicity.counted(*X.utf8(pa.array([t])))
+    assert set(zip(key.tolist(), count.tolist())) == set(zip(whole[0][3].tolist(), whole[0][4].tolist())) and set(count.tolist()) == {80} and not doc.any()
+
+
 # -- 8 ------------------------------------------------------------------------------------------------------------
 def measures(t):
     w = re.findall("[^\x20\x09-\x0d]+", t or "")
