@@ -615,6 +615,39 @@ def test_license_scan(spark, docs, nothing):
     assert license.scan(docs, license.train(docs)).count() == 0       # clashing names, odd texts, no licence
 
 
+def wrapped(text, width, lead=""):
+    lines = [lead]
+    for w in text.split(" "):
+        if len(lines[-1]) + len(w) + 1 > width and lines[-1] != lead:
+            lines.append(lead)
+        lines[-1] += (" " if lines[-1] != "" else "") + w
+    return "\n".join(lines)
+
+
+def test_wrapped_notices(spark):
+    rng = random.Random(8)
+    apache = ('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at '
+              'http://www.apache.org/licenses/LICENSE-2.0')
+    grant = ('Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software '
+             'without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit '
+             'persons to whom the Software is furnished to do so, subject to the following conditions:')
+    lesser = ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software "
+              "Foundation; either version 3 of the License, or (at your option) any later version.")
+    notice = {0: ("apache", "Licensed under the Apache\nLicense, Version 2.0."), 1: ("apache", wrapped(apache, 72, "#")), 2: ("mit", wrapped(grant, 76)), 3: ("lgpl", wrapped(lesser, 70, " *")),
+              4: ("mit", "Released under\nthe MIT\nLicense."), 5: ("apache", "Licensed under the Apache\r\nLicense, Version 2.0.\r")}
+    rows = [(i, "\n\n".join([prose(rng, EN, 30), *([notice[i][1]] if i in notice else []), prose(rng, DE, 30) + "\n" + prose(rng, EN, 9)])) for i in range(60)]
+    rows += [(100, rows[30][1].replace("\n\n", "\n" + notice[0][1] + "\n")), (101, "Licensed under the Apache\n\n" + prose(rng, DE, 12) + "\n\nversion two")]     # among other lines; in pieces
+    d = spark.createDataFrame(rows + [(0, rows[0][1])], "doc_id long, text string")
+    text, got = dict(rows), Counter()
+    for r in license.scan(d, license.train(d)).collect():
+        if r.family != "unknown":
+            got[r.doc_id, r.family, text[r.doc_id][r.start:r.start + r.length]] += 1
+            assert text[r.doc_id][:r.start].count("\n") == r.paragraph
+    want = Counter({(i, f, t): 1 + (i == 0) for i, (f, t) in notice.items()})
+    want[100, "apache", notice[0][1]] += 1
+    assert got == want
+
+
 # -- all ----------------------------------------------------------------------------------------------------------
 def test_empty_tables(spark, nothing):
     assert lm_score.score_documents(nothing, held_out("doc_id", 7, 2)).count() == 0
