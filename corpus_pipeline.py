@@ -21,6 +21,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Keep the documents whose language is determined; those without a letter (``und``) go."""
     tuned(spark)
     model = langid.train(docs.where(learnable("doc_id", 5, 0)))
+    if not model.languages:                     # no usable label: only the letter check can tell
+        model = langid.one_language()
     return langid.identify(_whole_rows(docs), model, ["__row"]).where(F.col("lang_pred") != langid.UNDETERMINED).select("__row.*")
 
 

@@ -129,6 +129,13 @@ def train(labelled: DataFrame, per_language: int = 256, margin: float = 0.5, ste
     return Model(langs, code, full, b, np.clip(right, 0.05, 1), margin)
 
 
+def one_language(margin: float = 0.0) -> Model:
+    """A model with a single language without a name: a text is in it as soon as it has a letter."""
+    code = codebook(1)
+    bits = code.shape[1]
+    return Model(["any"], code, np.zeros((BUCKETS + 1, bits), np.float32), np.zeros(bits), np.ones(bits), margin)
+
+
 def scorer(model: Model):
     """The batch function: (lang, score, ambiguous) of each text. A text without a letter, an empty one
     and null give ``und`` with score 0."""

@@ -57,3 +57,11 @@ def test_stages_on_an_empty_table(spark):
     docs = raw(spark).where("false")
     for name, f in P.STAGES[:4]:
         assert f(spark, docs, "").count() == 0, name
+
+
+@pytest.mark.parametrize("column", ["lang", "doc_id"])
+def test_language_stage_without_usable_labels(spark, column):
+    docs = raw(spark).withColumn(column, F.lit(None).cast("string" if column == "lang" else "long"))
+    out = P.identify_language(spark, docs, "")
+    want = sorted(r.text for r in docs.collect() if r.text is not None and any(map(str.isalpha, r.text)))
+    assert out.columns == docs.columns and sorted(r.text for r in out.collect()) == want and len(want) > 100
