@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, langid, license, lm_score, packing, pieces, quality, simhash, toxicity, warc
+from . import exact_dedup, html_text, langid, license, lm_score, merkle, oracle, packing, pieces, quality, simhash, toxicity, trie, warc
 from ..session import scratch_path
 from .tables import held_out, learnable, stored, table
 
@@ -91,6 +91,19 @@ def op10_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return license.scan(docs, license.train(docs))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return merkle.proofs(merkle.build(merkle.leaves(table(spark, sf, "documents"), tampered=changed)))
+
+
+def op12_conversation_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, sf, "conversations"))
+
+
+def op13_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    return html_text.extract(table(spark, sf, "pages"), ["page_id", "url"]).select("page_id", "url", "text", "n_chars", "covered")
+
+
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_warc_transactions": op2_warc_transactions,
@@ -102,9 +115,14 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_token_packing": op9_token_packing,
     "op10_license_scan": op10_license_scan,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_html_text": op13_html_text,
 }
 
 ORACLE: dict[str, str] = {
+    "op11_merkle_manifest": oracle.MERKLE,
+    "op12_conversation_trie": oracle.TRIE,
     "op2_warc_transactions": """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex,
