@@ -225,6 +225,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = dict(QUERIES)
-    from . import extra_catalog
+    from . import extra_catalog, history_catalog
     out.update(extra_catalog.QUERIES)
+    out.update(history_catalog.QUERIES)
     return out

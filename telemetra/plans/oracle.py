@@ -251,5 +251,7 @@ def oracle_sql() -> dict[str, str]:
         "etl_date_range": _etl_date_range(),
     }
     from .extra_oracle import oracle_sql as extra
+    from .history_catalog import oracle_sql as history
     out.update(extra())
+    out.update(history())
     return out
