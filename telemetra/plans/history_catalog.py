@@ -10,14 +10,16 @@ from .. import config as C
 from ..functions.columns import round_floats
 from ..operators import dimension, intervals, levels, range_frames
 from ..session import scratch_path
-from . import catalog as cat
-from .oracle import BASE, READINGS, mean, with_ctes
+from . import catalog as cat, incremental
+from .oracle import BASE, CLASSIFIED_COLS, READINGS, classified_cte, mean, with_ctes
 
 # Fixed values of these queries.
 LOAD_CUT = "2024-01-15"          # the first load ends before this day
 LATE_DEVICES = 7                 # devices whose number is a multiple of this report from the second load on
 MAINTENANCE_MINUTES = 90         # each device, each day, from the hour that is its number modulo 24
 OPEN_DEVICES = 10                # devices whose number is a multiple of this are on watch from their first day, without an end
+LATE_DAYS = ("2024-01-10", "2024-01-12")      # of these days, devices whose number is a multiple of ...
+LATE_EVERY = 5                                # ... this report in a late file
 DIMS = [C.DEVICE, C.DATE, C.HOUR]
 
 
@@ -70,7 +72,18 @@ def q_cube_device_time(spark, sf):
     return _levels(spark, sf, "cube")
 
 
+def q_late_day_store(spark, sf):
+    """The processed store after a late file: the same rows as a full run gives."""
+    r = cat.readings(spark, sf)
+    late = F.coalesce(F.to_date(C.TIMESTAMP).isin([dt.date.fromisoformat(d) for d in LATE_DAYS]) & (device_number() % LATE_EVERY == 0), F.lit(False))
+    root = scratch_path(spark, "late-store")
+    incremental.build(r.filter(~late), root)
+    incremental.add_late(spark, root, r.filter(late), "late")
+    return incremental.processed(spark, root)
+
+
 QUERIES = {
+    "late_day_store": q_late_day_store,
     "rolling_6h": q_rolling_6h,
     "dim_two_loads": q_dim_two_loads,
     "maintenance_overlap": q_maintenance_overlap,
@@ -90,6 +103,8 @@ SELECT device_id, "date", hour_of_day, CAST(grouping_id(device_id, "date", hour_
 FROM (SELECT *, CAST("timestamp" AS DATE) AS "date", CAST(hour("timestamp") AS INTEGER) AS hour_of_day FROM readings)
 GROUP BY {{}} (device_id, "date", hour_of_day)"""
     return {
+        "late_day_store": with_ctes(*BASE, classified_cte()) + f"""
+SELECT {CLASSIFIED_COLS}, CAST("timestamp" AS DATE) AS "date" FROM classified""",
         "rolling_6h": with_ctes(READINGS) + f"""
 SELECT reading_id, device_id, "timestamp", round({C.TEMPERATURE}, 9) AS {C.TEMPERATURE}, {placed.format(f'count({C.TEMPERATURE}) OVER w')} AS last_6h_count,
        {placed.format(f'round(avg({C.TEMPERATURE}) OVER w, 9)')} AS last_6h_mean, {placed.format(f'round(min({C.TEMPERATURE}) OVER w, 9)')} AS last_6h_min,

@@ -43,25 +43,46 @@ def _read(spark: SparkSession, fn, path):
 _SURPLUS = "_ragged_row"
 
 
+def _by_header(spark: SparkSession, path: str, multi_line: bool) -> dict[tuple[str, ...], list[str]]:
+    """The files of ``path`` by their header rows; one short job a file."""
+    found: dict[tuple[str, ...], list[str]] = {}
+    for f in sorted(_read(spark, lambda p: spark.read.text(p), path).inputFiles()):
+        names = spark.read.option("header", True).option("inferSchema", False).option("multiLine", multi_line).csv(f).columns
+        found.setdefault(tuple(names), []).append(f)
+    return found
+
+
 def read_readings_csv(spark: SparkSession, path: str, malformed: str = "raise",
-                      with_reading_id: bool = True, multi_line: bool = False) -> DataFrame:
+                      with_reading_id: bool = True, multi_line: bool = False, mixed_headers: bool = False) -> DataFrame:
     """Load readings from CSV file(s) with a header row.
 
     ``malformed``: ``"raise"`` fails the job on the first value that is neither missing nor parsable
     (checked while the data streams through, no extra pass); ``"null"`` turns it into NULL. A row with more or fewer fields than
-    the header always fails. ``multi_line`` reads quoted line breaks, a file then being one task.
+    the header always fails, and so does a file whose header is not that of the first one. ``mixed_headers`` reads each file by its own header:
+    columns may stand in another order, and those that a file lacks are missing there. ``multi_line`` reads quoted line breaks, a file then being one task.
     ``reading_id`` numbers rows in ingest order (within a file, increasing with the position).
     """
+    if mixed_headers:
+        parts = [_text_rows(spark, files, multi_line) for files in _by_header(spark, path, multi_line).values()]
+        raw = parts[0]
+        for p in parts[1:]:
+            raw = raw.unionByName(p, allowMissingColumns=True)
+    else:
+        raw = _text_rows(spark, path, multi_line)
+    if with_reading_id:
+        raw = raw.withColumn(C.READING_ID, F.monotonically_increasing_id())
+    return parse_readings(raw, malformed=malformed)
+
+
+def _text_rows(spark: SparkSession, path: str | list[str], multi_line: bool) -> DataFrame:
+    """The rows of files with one header, all columns as text."""
     reader = lambda: spark.read.option("header", True).option("inferSchema", False).option("multiLine", multi_line)
     names = _read(spark, lambda p: reader().csv(p), path).columns
     schema = ", ".join(f"`{c}` string" for c in [*names, _SURPLUS])
     raw = _read(spark, lambda p: reader().schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _SURPLUS)
-                .option("enforceSchema", True).csv(p), path)
+                .option("enforceSchema", False).csv(p), path)
     fields = F.when(F.col(_SURPLUS).isNotNull(), F.raise_error(F.concat(F.lit("row with another number of fields than the header: "), F.col(_SURPLUS))))
-    raw = raw.select(*[F.coalesce(fields.cast("string"), F.col(f"`{c}`")).alias(c) if c == names[0] else F.col(f"`{c}`") for c in names])
-    if with_reading_id:
-        raw = raw.withColumn(C.READING_ID, F.monotonically_increasing_id())
-    return parse_readings(raw, malformed=malformed)
+    return raw.select(*[F.coalesce(fields.cast("string"), F.col(f"`{c}`")).alias(c) if c == names[0] else F.col(f"`{c}`") for c in names])
 
 
 def read_readings_parquet(spark: SparkSession, path: str, start=None, end=None) -> DataFrame:
