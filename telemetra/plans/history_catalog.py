@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import config as C
 from ..functions.columns import round_floats
-from ..operators import dimension, intervals, levels, range_frames
+from ..operators import dimension, intervals, levels, range_frames, warehouse as wh
 from ..session import scratch_path
+from ..streaming import jobs, silence
 from . import catalog as cat, incremental
 from .oracle import BASE, CLASSIFIED_COLS, READINGS, classified_cte, mean, with_ctes
 
@@ -20,6 +21,9 @@ MAINTENANCE_MINUTES = 90         # each device, each day, from the hour that is
 OPEN_DEVICES = 10                # devices whose number is a multiple of this are on watch from their first day, without an end
 LATE_DAYS = ("2024-01-10", "2024-01-12")      # of these days, devices whose number is a multiple of ...
 LATE_EVERY = 5                                # ... this report in a late file
+RESENT_EVERY = 6                              # readings whose id is a multiple of this are sent again ...
+RESENT_SHIFT = 10**9                          # ... under an id that is larger by this
+SILENCE_FACTOR = 2                            # a device is silent after so many of its expected intervals
 DIMS = [C.DEVICE, C.DATE, C.HOUR]
 
 
@@ -82,7 +86,32 @@ def q_late_day_store(spark, sf):
     return incremental.processed(spark, root)
 
 
+def q_stream_silence(spark, sf):
+    """Alarms of devices silent for longer than twice their expected interval, as far as the watermark has come."""
+    expected = wh.dim_devices(cat.readings(spark, sf)).select(C.DEVICE, (F.col("expected_interval_seconds").cast("long") * SILENCE_FACTOR).alias("limit_seconds"))
+    silence.keyed_state(spark)
+    return jobs.run_to_parquet(spark, silence.silence_alarms(jobs.stream_readings(spark, sf), expected), "stream-silence")
+
+
+def _with_resent(readings: DataFrame) -> DataFrame:
+    again = readings.filter(F.col(C.READING_ID) % RESENT_EVERY == 0).withColumn(C.READING_ID, F.col(C.READING_ID) + RESENT_SHIFT)
+    return readings.unionByName(again)
+
+
+def q_distinct_readings(spark, sf):
+    return silence.once(_with_resent(cat.readings(spark, sf)))
+
+
+def q_stream_distinct(spark, sf):
+    """Which of two readings sent within the delay comes first is the network's choice, so only what they share is returned."""
+    stream = silence.once_on_stream(_with_resent(jobs.stream_readings(spark, sf)))
+    return jobs.run_to_parquet(spark, stream.select(C.DEVICE, C.TIMESTAMP), "stream-distinct")
+
+
 QUERIES = {
+    "stream_silence": q_stream_silence,
+    "distinct_readings": q_distinct_readings,
+    "stream_distinct": q_stream_distinct,
     "late_day_store": q_late_day_store,
     "rolling_6h": q_rolling_6h,
     "dim_two_loads": q_dim_two_loads,
@@ -102,7 +131,29 @@ SELECT device_id, "date", hour_of_day, CAST(grouping_id(device_id, "date", hour_
        {mean(C.TEMPERATURE)} AS avg_value, round(min({C.TEMPERATURE}), 9) AS min_value, round(max({C.TEMPERATURE}), 9) AS max_value
 FROM (SELECT *, CAST("timestamp" AS DATE) AS "date", CAST(hour("timestamp") AS INTEGER) AS hour_of_day FROM readings)
 GROUP BY {{}} (device_id, "date", hour_of_day)"""
+    first = """
+, ranked AS (SELECT *, row_number() OVER (PARTITION BY device_id, "timestamp" ORDER BY reading_id) AS k FROM readings WHERE device_id IS NOT NULL AND "timestamp" IS NOT NULL)"""
     return {
+        "distinct_readings": with_ctes(READINGS) + first + f"""
+SELECT * EXCLUDE (k) FROM ranked WHERE k = 1
+UNION ALL SELECT * FROM readings WHERE device_id IS NULL OR "timestamp" IS NULL
+UNION ALL SELECT * REPLACE (reading_id + {RESENT_SHIFT} AS reading_id) FROM readings WHERE (device_id IS NULL OR "timestamp" IS NULL) AND reading_id % {RESENT_EVERY} = 0""",
+        "stream_distinct": with_ctes(READINGS) + """
+SELECT DISTINCT device_id, "timestamp" FROM readings""",
+        "stream_silence": with_ctes(READINGS) + f"""
+, limits AS (
+  SELECT device_id, greatest(CAST(floor((max({seconds.format('"timestamp"')}) - min({seconds.format('"timestamp"')})) / (count("timestamp") - 1)) AS BIGINT) * {SILENCE_FACTOR}, 1) AS limit_seconds
+  FROM readings WHERE device_id IS NOT NULL GROUP BY device_id HAVING count("timestamp") > 1
+), r AS (
+  SELECT device_id, reading_id, "timestamp", epoch_us("timestamp") AS us, limit_seconds, limit_seconds * 1000000 AS lim
+  FROM readings JOIN limits USING (device_id) WHERE "timestamp" IS NOT NULL
+), marked AS (SELECT *, (SELECT max(us) // 1000 * 1000 - 86400000000 FROM r) AS mark FROM r),
+closed AS (SELECT *, (us // lim + 1) * lim <= mark AS done FROM marked),
+seq AS (SELECT *, lead("timestamp") OVER w AS next_at, lead(us) OVER w AS next_us, coalesce(lead(done) OVER w, false) AS next_done FROM closed WINDOW w AS (PARTITION BY device_id ORDER BY us, reading_id))
+SELECT device_id, reading_id, "timestamp" AS silent_after, next_at AS until, limit_seconds, 'ended' AS kind FROM seq WHERE next_done AND next_us - us > lim
+UNION ALL
+SELECT device_id, reading_id, "timestamp", CAST(NULL AS TIMESTAMP), limit_seconds, 'open' FROM seq
+WHERE done AND CASE WHEN next_done THEN next_us - us > lim ELSE mark > us + lim AND (next_us IS NULL OR next_us - us > lim) END""",
         "late_day_store": with_ctes(*BASE, classified_cte()) + f"""
 SELECT {CLASSIFIED_COLS}, CAST("timestamp" AS DATE) AS "date" FROM classified""",
         "rolling_6h": with_ctes(READINGS) + f"""
