@@ -659,3 +659,20 @@ def test_empty_tables(spark, nothing):
     assert toxicity.score_toxicity(nothing, None, ["doc_id"]).count() == 0
     assert quality.judge(quality.measure(nothing), quality.fit(quality.measure(nothing))).count() == 0
     assert pieces.encode_texts(nothing, queries.tokenizer_path("piece_bpe_32k.model"), ["doc_id"]).count() == 0
+
+
+def test_very_long_words_are_merged_in_time_that_grows_with_them():
+    import time
+    import sentencepiece
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    m, lib, rng = pieces.model(path), sentencepiece.SentencePieceProcessor(model_file=path), random.Random(9)
+    word = "".join(rng.choice("the of and ing 語文字日本中国éß".replace(" ", "")) for _ in range(pieces.LONG + 900))
+    for t in (word, "ab" * 4000, "語" * 5000, word[:3000] + "a" * 4000):
+        data, offs = X.utf8(pa.array([t]))
+        assert m.encode(data, offs, X.SpanIds())[0].tolist() == lib.encode(t)
+        symbols = list(t[:300])
+        assert m.merged_long(t[:300]) == m.merged(symbols)
+    began = time.process_time()
+    data, offs = X.utf8(pa.array(["".join(rng.choice("theandingofer") for _ in range(1_000_000))]))
+    ids, _ = m.encode(data, offs, X.SpanIds())
+    assert len(ids) > 100_000 and time.process_time() - began < 60
