@@ -22,6 +22,8 @@ BLANK = 0x2581           # the sign that stands for a blank in pieces
 UNKNOWN_PENALTY = 10.0   # fixed value: how far below the least score an unknown character lies
 _models: dict[str, "Model"] = {}
 _seen: dict[str, X.SpanIds] = {}        # spans already encoded, by model; a worker process keeps them from task to task
+PAIRS = 1 << 20                         # pairs of pieces whose merge is remembered
+LIKELY = 1 << 20                        # slots of the filter before the sorted hashes of the pieces
 LONG = 4096                             # characters from which a word is merged on its own
 RUN_BYTES = 1 << 20                     # bytes of text that are encoded together
 
@@ -54,6 +56,8 @@ class Model:
         ids = np.fromiter(self.by_text.values(), np.int64, len(self.by_text))
         order = np.argsort(h)
         self.keys, self.ids = h[order], ids[order]
+        self.likely = np.zeros(LIKELY, bool)
+        self.likely[(self.keys & np.uint64(LIKELY - 1)).astype(np.int64)] = True
         if len(np.unique(h)) != len(h):
             raise ValueError("two pieces share a hash")
         long = [t for t in self.by_text if len(t) > 1]
@@ -65,7 +69,9 @@ class Model:
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.raw_size = np.fromiter(map(len, raw), np.int64, len(raw))
         self.raw_at = np.cumsum(self.raw_size) - self.raw_size
-        self._apart: dict[int, bool] = {}
+        self.pair, self.pair_apart = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
+        self._whole: dict[int, bool] = {}
+        self._scores = self.score.tolist()
 
     # -- merges -------------------------------------------------------------------------------------------------
     def merged(self, symbols: list[str]) -> list[str]:
@@ -75,8 +81,8 @@ class Model:
             best, at = None, -1
             for k in range(len(symbols) - 1):
                 i = self.by_text.get(symbols[k] + symbols[k + 1])
-                if i is not None and (best is None or self.score[i] > best):
-                    best, at = self.score[i], k
+                if i is not None and (best is None or self._scores[i] > best):
+                    best, at = self._scores[i], k
             if at < 0:
                 break
             symbols[at:at + 2] = [symbols[at] + symbols[at + 1]]
@@ -92,7 +98,7 @@ class Model:
         def offer(k: int, j: int) -> None:
             i = self.by_text.get(symbols[k] + symbols[j])
             if i is not None:
-                heappush(heap, (-float(self.score[i]), k, len(symbols[k]) + len(symbols[j])))
+                heappush(heap, (-self._scores[i], k, len(symbols[k]) + len(symbols[j])))
 
         for k in range(n - 1):
             offer(k, k + 1)
@@ -116,18 +122,21 @@ class Model:
         return self.text[i] if i < self.size else chr(i - self.size)
 
     def apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Whether two pieces stay two when the merges run over their characters; remembered by pair."""
-        pair, which = np.unique(left * (1 << 21) + right, return_inverse=True)
-        out = np.empty(len(pair), bool)
-        for k, p in enumerate(pair.tolist()):
-            known = self._apart.get(p)
-            if known is None:
+        """Whether two pieces stay two when the merges run over their characters; remembered by pair, in a table of fixed size where a
+        newer pair may take an older one's place."""
+        pair = left * (1 << 21) + right
+        slot = (X.mix(pair.astype(np.uint64)) % np.uint64(PAIRS)).astype(np.int64)
+        out, new = self.pair_apart[slot], np.flatnonzero(self.pair[slot] != pair)
+        if len(new):
+            which, first, back = np.unique(pair[new], return_index=True, return_inverse=True)
+            found = np.empty(len(which), bool)
+            for k, p in enumerate(which.tolist()):
                 a, b = self._string(p >> 21), self._string(p & ((1 << 21) - 1))
-                if len(self._apart) > 1 << 20:
-                    self._apart.clear()
-                self._apart[p] = known = self.merged(list(a + b)) == [a, b]
-            out[k] = known
-        return out[which]
+                found[k] = self.merged(list(a + b)) == [a, b]
+            out[new] = found[back]
+            at = slot[new][first]
+            self.pair[at], self.pair_apart[at] = which, found
+        return out
 
     # -- encoding -----------------------------------------------------------------------------------------------
     def lattice(self, words: np.ndarray) -> list[list[int]]:
@@ -146,9 +155,12 @@ class Model:
             first = max(0, end - self.longest)
             start = np.arange(first, end)
             h = X.mix((total[:, [end]] - total[:, first:end]) * inverse[first:end] + (end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            found = self.keys[at] == h
-            piece = np.where(found, self.ids[at], -1)
+            found = self.likely[(h & np.uint64(LIKELY - 1)).astype(np.int64)]     # few substrings are pieces: probe those that may be
+            some = h[found]
+            at = np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)
+            found[found] = true = self.keys[at] == some
+            piece = np.full(h.shape, -1, np.int64)
+            piece[found] = self.ids[at[true]]
             alone = ~found[:, -1]                          # a character that is no piece is a candidate all the same
             piece[alone, -1] = self.size + words[alone, end - 1]
             gain = np.full(piece.shape, -np.inf)
@@ -181,10 +193,10 @@ class Model:
         own, which = np.unique(piece, return_inverse=True)
         out = np.empty(len(own), bool)
         for k, p in enumerate(own.tolist()):
-            known = self._apart.get(-1 - p)
+            known = self._whole.get(p)
             if known is None:
                 s = self._string(p)
-                self._apart[-1 - p] = known = len(self.merged(list(s))) == 1
+                self._whole[p] = known = len(self.merged(list(s))) == 1
             out[k] = known
         return out[which]
 
