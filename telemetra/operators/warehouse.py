@@ -199,3 +199,13 @@ def reporting_gaps(transformed: DataFrame, dim: DataFrame, factor: float = 2.0)
                      gap.alias("gap_seconds"), "expected_interval_seconds")
             .filter(F.col("gap_seconds") > F.col("expected_interval_seconds") * F.lit(factor)))
 
+
+def silences(transformed: DataFrame, dim: DataFrame, factor: float = 2.0) -> DataFrame:
+    """As ``reporting_gaps``, with the silence that has not ended: from a device's last reading to the last reading of any device
+    (``still_silent``, ``valid_until`` NULL). Devices seen once have no expected interval and no silence."""
+    ts_type = transformed.schema[C.TIMESTAMP].dataType
+    over = transformed.agg(F.max(epoch_seconds(C.TIMESTAMP, ts_type))).first()[0]
+    d = join_dimension(transformed, dim.select(C.DEVICE, "device_key", "expected_interval_seconds"))
+    gap = F.coalesce(epoch_seconds(C.VALID_UNTIL, ts_type), F.lit(over)) - epoch_seconds(C.TIMESTAMP, ts_type)
+    return (d.select(C.READING_ID, "device_key", C.DEVICE, C.TIMESTAMP, C.VALID_UNTIL, gap.alias("gap_seconds"), "expected_interval_seconds", F.col(C.VALID_UNTIL).isNull().alias("still_silent"))
+            .filter(F.col("gap_seconds") > F.col("expected_interval_seconds") * F.lit(factor)))

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import config as C
 from ..functions.columns import round_floats
-from ..operators import dimension, intervals, levels, range_frames, warehouse as wh
+from ..operators import dimension, intervals, levels, range_frames, reconcile, top, warehouse as wh
 from ..session import scratch_path
+from ..sources import events as ev
+from ..sources.readers import coercion_report
 from ..streaming import jobs, silence
 from . import catalog as cat, incremental
 from .oracle import BASE, CLASSIFIED_COLS, READINGS, classified_cte, mean, with_ctes
@@ -24,6 +26,11 @@ LATE_EVERY = 5                                # ... this report in a late file
 RESENT_EVERY = 6                              # readings whose id is a multiple of this are sent again ...
 RESENT_SHIFT = 10**9                          # ... under an id that is larger by this
 SILENCE_FACTOR = 2                            # a device is silent after so many of its expected intervals
+HOTTEST = 10
+# A copy of the readings with defects: ids with this remainder are missing, sent twice, and one degree too warm.
+DEFECTS = {"missing": (50, 0), "twice": (70, 1), "warmer": (90, 2)}
+# Text that does not parse, by reading id: column, modulus, remainder, text put before the value.
+MALFORMED = [(C.TEMPERATURE, 17, 4, "x"), (C.BATTERY, 29, 8, "about "), (C.TIMESTAMP, 101, 9, "day ")]
 DIMS = [C.DEVICE, C.DATE, C.HOUR]
 
 
@@ -108,7 +115,38 @@ def q_stream_distinct(spark, sf):
     return jobs.run_to_parquet(spark, stream.select(C.DEVICE, C.TIMESTAMP), "stream-distinct")
 
 
+def q_silences(spark, sf):
+    """Silences longer than twice the expected interval, the one at the end of each device's history included."""
+    t = cat.transformed(spark, sf)
+    return wh.silences(t, wh.dim_devices(t))
+
+
+def q_hottest_readings(spark, sf):
+    r = cat.readings(spark, sf).filter(F.col(C.TEMPERATURE).isNotNull()).select(C.DEVICE, C.READING_ID, C.TIMESTAMP, C.TEMPERATURE)
+    return top.top_k(r, HOTTEST, [F.col(C.TEMPERATURE).desc(), F.col(C.READING_ID).asc()], C.DEVICE)
+
+
+def q_reconciliation(spark, sf):
+    r = cat.readings(spark, sf)
+    hit = {k: F.col(C.READING_ID) % m == n for k, (m, n) in DEFECTS.items()}
+    kept = r.filter(~hit["missing"]).withColumn(C.TEMPERATURE, F.when(hit["warmer"], F.col(C.TEMPERATURE) + 1).otherwise(F.col(C.TEMPERATURE)))
+    return reconcile.reconciliation(r, kept.unionByName(kept.filter(hit["twice"])), [C.READING_ID])
+
+
+def q_coercion_malformed(spark, sf):
+    """The coercion report of text in which some values do not parse."""
+    cat.tune(spark)
+    r = ev.load_text_readings(spark, sf)
+    for c, m, n, before in MALFORMED:
+        r = r.withColumn(c, F.when((F.col(C.READING_ID) % m == n) & (F.col(c) != "null"), F.concat(F.lit(before), c)).otherwise(F.col(c)))
+    return coercion_report(r)
+
+
 QUERIES = {
+    "silences": q_silences,
+    "hottest_readings": q_hottest_readings,
+    "reconciliation": q_reconciliation,
+    "coercion_malformed": q_coercion_malformed,
     "stream_silence": q_stream_silence,
     "distinct_readings": q_distinct_readings,
     "stream_distinct": q_stream_distinct,
@@ -133,7 +171,35 @@ FROM (SELECT *, CAST("timestamp" AS DATE) AS "date", CAST(hour("timestamp") AS I
 GROUP BY {{}} (device_id, "date", hour_of_day)"""
     first = """
 , ranked AS (SELECT *, row_number() OVER (PARTITION BY device_id, "timestamp" ORDER BY reading_id) AS k FROM readings WHERE device_id IS NOT NULL AND "timestamp" IS NOT NULL)"""
+    from .extra_oracle import DIM
+    wrong = {k: f"reading_id % {m} = {n}" for k, (m, n) in DEFECTS.items()}
+    cols = [*C.READING_COLUMNS, C.READING_ID]
+    warm = f"CASE WHEN {wrong['warmer']} THEN {C.TEMPERATURE} + 1 ELSE {C.TEMPERATURE} END"
+    copy = "SELECT " + ", ".join(f"{warm} AS {C.TEMPERATURE}" if c == C.TEMPERATURE else f'"{c}"' for c in cols) + f" FROM readings WHERE NOT ({wrong['missing']})"
+    names = ", ".join(f'"{c}"' for c in cols)
+    changed = "".join(f"""
+UNION ALL SELECT 'changed', '{c}', count(*) FILTER (l."{c}" IS DISTINCT FROM r."{c}") FROM pairs JOIN less l USING (reading_id) JOIN more r USING (reading_id)""" for c in C.READING_COLUMNS)
+    bad = {c: f"(reading_id % {m} = {n})" for c, m, n, _ in MALFORMED}
     return {
+        "silences": with_ctes(*BASE, DIM) + f"""
+, ends AS (SELECT max("timestamp") AS over FROM transformed)
+SELECT t.reading_id, d.device_key, t.device_id, t."timestamp", t.valid_until,
+       {seconds.format('coalesce(t.valid_until, over)')} - {seconds.format('t."timestamp"')} AS gap_seconds, d.expected_interval_seconds, t.valid_until IS NULL AS still_silent
+FROM transformed t LEFT JOIN dim d ON t.device_id = d.device_id CROSS JOIN ends
+WHERE {seconds.format('coalesce(t.valid_until, over)')} - {seconds.format('t."timestamp"')} > d.expected_interval_seconds * 2.0""",
+        "hottest_readings": with_ctes(READINGS) + f"""
+SELECT * FROM (SELECT device_id, reading_id, "timestamp", {C.TEMPERATURE}, CAST(row_number() OVER (PARTITION BY device_id ORDER BY {C.TEMPERATURE} DESC, reading_id) AS INTEGER) AS rank
+FROM readings WHERE {C.TEMPERATURE} IS NOT NULL) WHERE rank <= {HOTTEST}""",
+        "reconciliation": with_ctes(READINGS) + f"""
+, copy AS ({copy}), twice AS (SELECT * FROM copy UNION ALL SELECT * FROM copy WHERE {wrong['twice']}),
+less AS (SELECT {names} FROM readings EXCEPT ALL SELECT {names} FROM twice), more AS (SELECT {names} FROM twice EXCEPT ALL SELECT {names} FROM readings),
+nl AS (SELECT reading_id, count(*) AS n FROM less GROUP BY reading_id), nm AS (SELECT reading_id, count(*) AS n FROM more GROUP BY reading_id),
+pairs AS (SELECT reading_id FROM nl JOIN nm USING (reading_id) WHERE nl.n = 1 AND nm.n = 1)
+SELECT 'missing' AS finding, CAST(NULL AS VARCHAR) AS column_name, count(*) AS "rows" FROM less WHERE reading_id NOT IN (SELECT reading_id FROM pairs)
+UNION ALL SELECT 'extra', NULL, count(*) FROM more WHERE reading_id NOT IN (SELECT reading_id FROM pairs)""" + changed,
+        "coercion_malformed": with_ctes(READINGS) + "\n" + " UNION ALL ".join(
+            f"""SELECT '{c}' AS column_name, count("{c}") FILTER (NOT {bad.get(c, 'false')}) AS n_ok, count(*) FILTER ("{c}" IS NULL) AS n_missing,
+       count("{c}") FILTER ({bad.get(c, 'false')}) AS n_malformed FROM readings""" for c in C.READING_COLUMNS),
         "distinct_readings": with_ctes(READINGS) + first + f"""
 SELECT * EXCLUDE (k) FROM ranked WHERE k = 1
 UNION ALL SELECT * FROM readings WHERE device_id IS NULL OR "timestamp" IS NULL
