@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import config as C
 from ..functions.columns import round_floats
-from ..operators import dimension, intervals, levels, range_frames, reconcile, top, warehouse as wh
+from ..operators import dimension, intervals, levels, payloads, range_frames, reconcile, sketches, top, warehouse as wh
 from ..session import scratch_path
 from ..sources import events as ev
 from ..sources.readers import coercion_report
@@ -31,6 +31,7 @@ HOTTEST = 10
 DEFECTS = {"missing": (50, 0), "twice": (70, 1), "warmer": (90, 2)}
 # Text that does not parse, by reading id: column, modulus, remainder, text put before the value.
 MALFORMED = [(C.TEMPERATURE, 17, 4, "x"), (C.BATTERY, 29, 8, "about "), (C.TIMESTAMP, 101, 9, "day ")]
+CUT_PAYLOADS = (23, 6)        # event ids with this remainder have a payload without its last character
 DIMS = [C.DEVICE, C.DATE, C.HOUR]
 
 
@@ -142,7 +143,30 @@ def q_coercion_malformed(spark, sf):
     return coercion_report(r)
 
 
+def q_monthly_sketches(spark, sf):
+    """Months from daily sketches, held against the exact figures: distinct values within 5 % (and one), the median within 3 % of the ranks."""
+    r = cat.readings(spark, sf)
+    month = F.trunc(C.DATE, "month").alias("month")
+    est = sketches.estimates(sketches.merge_sketches(sketches.daily_sketches(r), C.DEVICE, month), {"median": 0.5})
+    rows = r.filter(F.col(C.DEVICE).isNotNull() & F.col(C.TIMESTAMP).isNotNull()).select(C.DEVICE, F.trunc(F.to_date(C.TIMESTAMP), "month").alias("month"), F.col(C.TEMPERATURE).alias("v"))
+    exact = rows.join(est, [C.DEVICE, "month"]).groupBy(C.DEVICE, "month", "n_values", "n_distinct", "median").agg(
+        F.countDistinct("v").alias("d"), F.count_if(F.col("v") < F.col("median")).alias("lo"), F.count_if(F.col("v") <= F.col("median")).alias("hi"))
+    n = F.col("n_values")
+    return exact.select(C.DEVICE, "month", "n_values", (F.abs(F.col("n_distinct") - F.col("d")) <= 0.05 * F.col("d") + 1).alias("distinct_within"),
+                        ((n == 0) | ((F.col("lo") / n - 0.03 <= 0.5) & (F.col("hi") / n + 0.03 >= 0.5))).alias("median_within"))
+
+
+def q_payload_values(spark, sf):
+    """All keys of the events' payloads as typed rows; some payloads are cut and do not parse."""
+    cat.tune(spark)
+    m, n = CUT_PAYLOADS
+    cut = F.when(F.col("event_id") % m == n, F.expr("substr(props, 1, length(props) - 1)")).otherwise(F.col("props"))
+    return payloads.typed_values(spark.read.parquet(ev.events_path(sf)).select("event_id", cut.alias("props")), "props", ["event_id"])
+
+
 QUERIES = {
+    "monthly_sketches": q_monthly_sketches,
+    "payload_values": q_payload_values,
     "silences": q_silences,
     "hottest_readings": q_hottest_readings,
     "reconciliation": q_reconciliation,
@@ -181,6 +205,15 @@ GROUP BY {{}} (device_id, "date", hour_of_day)"""
 UNION ALL SELECT 'changed', '{c}', count(*) FILTER (l."{c}" IS DISTINCT FROM r."{c}") FROM pairs JOIN less l USING (reading_id) JOIN more r USING (reading_id)""" for c in C.READING_COLUMNS)
     bad = {c: f"(reading_id % {m} = {n})" for c, m, n, _ in MALFORMED}
     return {
+        "monthly_sketches": with_ctes(READINGS) + f"""
+SELECT device_id, CAST(date_trunc('month', "timestamp") AS DATE) AS month, count({C.TEMPERATURE}) AS n_values, true AS distinct_within, true AS median_within
+FROM readings WHERE device_id IS NOT NULL AND "timestamp" IS NOT NULL GROUP BY ALL""",
+        "payload_values": f"""
+WITH e AS (SELECT event_id, CASE WHEN event_id % {CUT_PAYLOADS[0]} = {CUT_PAYLOADS[1]} THEN substr(props, 1, length(props) - 1) ELSE props END AS p FROM events),
+keys AS (SELECT event_id, p, unnest(json_keys(p)) AS key FROM e WHERE json_valid(p))
+SELECT event_id, key, CASE json_type(p, '$.' || key) WHEN 'UBIGINT' THEN 'BIGINT' WHEN 'VARCHAR' THEN 'STRING' ELSE json_type(p, '$.' || key) END AS value_type,
+       json_extract_string(p, '$.' || key) AS value FROM keys
+UNION ALL SELECT event_id, NULL, 'MALFORMED', p FROM e WHERE p IS NOT NULL AND NOT json_valid(p)""",
         "silences": with_ctes(*BASE, DIM) + f"""
 , ends AS (SELECT max("timestamp") AS over FROM transformed)
 SELECT t.reading_id, d.device_key, t.device_id, t."timestamp", t.valid_until,
