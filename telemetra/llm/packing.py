@@ -101,6 +101,16 @@ class ByteLevelEncoder:
         return ids, total[np.searchsorted(starts, doc)]
 
 
+_encoders: dict[str, ByteLevelEncoder] = {}
+
+
+def encoder(path: str) -> ByteLevelEncoder:
+    """The encoder of a tokenizer file and the spans it has met, kept by a worker process from task to task."""
+    if path not in _encoders:
+        _encoders[path] = ByteLevelEncoder(path)
+    return _encoders[path]
+
+
 def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """Pieces of every row of ``docs`` (doc_id, text): doc_id, start, length, ids (little-endian unsigned 32-bit),
     doc_tokens, and source, nth: the n-th piece of its length in that source partition.
@@ -114,7 +124,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int =
                            T.StructField("source", T.IntegerType()), T.StructField("nth", T.LongType())])
 
     def run(batches):
-        enc, source, seen = ByteLevelEncoder(tokenizer), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
+        enc, source, seen = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
         for b in batches:
             pa.default_memory_pool().release_unused()
             data, offs = X.utf8(b.column(1))
