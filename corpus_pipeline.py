@@ -60,7 +60,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Fingerprints, trained models and token ids are not expressible in SQL; the tests hold run() against brute force.
+#: Fingerprints, trained models and token ids are not expressible in SQL; the tests hold each stage against brute force or its operator.
 ORACLE_SQL = None
 
 
