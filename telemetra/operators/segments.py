@@ -2,7 +2,7 @@
 
 A plain ``Window.partitionBy(device)`` sends every reading of a device to one task, so a device that
 owns a third of the data would own a third of the cluster's work in one task. Instead each device's
-history is cut into time segments: rows are windowed by ``(device, segment)``, and whatever has to
+history is cut into time segments of about equal numbers of rows: rows are windowed by ``(device, segment)``, and whatever has to
 cross a segment edge (row offsets, last/next known values, the rows just before or after) travels
 through a *summary* with one row per ``(device, segment)``. The summary is scanned by a small window
 per device and joined back on ``(device, segment)``.
@@ -31,6 +31,9 @@ SEG = "_seg"
 LPOS = "_lpos"
 # Rows without a timestamp sort after all others: their segments follow this one.
 LAST_SEGMENT = 2 ** 62
+# Cuts of a key at most, and the accuracy of a quantile: a segment holds 1 / 512 of its key's rows, give or take 1 / 2500.
+QUANTILES = 512
+QUANTILE_ACCURACY = 5000
 
 
 _held: list[list[DataFrame]] = []
@@ -54,26 +57,40 @@ def _kept(df: DataFrame) -> DataFrame:
     return df
 
 
-def segment_widths(df: DataFrame, key: str = C.DEVICE, ts: str = C.TIMESTAMP,
+def segment_bounds(df: DataFrame, key: str = C.DEVICE, ts: str = C.TIMESTAMP,
                    target_rows: int | None = None) -> DataFrame:
-    """Per key, the segment width (microseconds) that puts about ``target_rows`` rows in a segment: the time that the middle
-    nine tenths of its rows span, divided by their number, so that a few stray times do not widen it. A sparse device gets one
-    segment, a device that owns a large share of the data gets many. One aggregate by key, combined map-side."""
+    """Per key, the times (microseconds, ascending) at which its history is cut, so that each segment holds at most about
+    ``target_rows`` rows however unevenly they lie in time: every so many of its ``QUANTILES`` quantiles. A sparse device has no
+    cut, a burst gets as many as its rows ask for. ``_parts``: into how many even stretches of time a segment is cut further, 1 up
+    to ``QUANTILES`` times the target. One aggregate by key, combined map-side; all cuts together are at most rows / target * 2.
+    """
     target_rows = target_rows or C.TARGET_SEGMENT_ROWS
     micros = epoch_micros(ts, df.schema[ts].dataType)
+    share = [q / QUANTILES for q in range(1, QUANTILES)]
     stats = (df.filter(F.col(key).isNotNull() & F.col(ts).isNotNull())
-             .groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(micros, [0.05, 0.95], 1000).alias("_p"),
+             .groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(micros, share, QUANTILE_ACCURACY).alias("_p"),
                                F.min(micros).alias("_lo"), F.max(micros).alias("_hi")))
-    middle = F.ceil((F.col("_p")[1] - F.col("_p")[0] + 1) * F.lit(target_rows) / (F.col("_n") * 0.9))
-    width = F.when(F.col("_n") <= target_rows, F.col("_hi") - F.col("_lo") + 1).otherwise(F.greatest(F.lit(1), middle))
-    return stats.select(key, width.cast("long").alias("_segw"), F.when(F.col("_n") <= target_rows, F.col("_lo")).otherwise(0).alias("_sego"))
+    wanted = F.ceil(F.col("_n") / F.lit(target_rows))
+    step = F.greatest(F.lit(1), F.floor(QUANTILES / wanted)).cast("int")
+    cuts = F.transform(F.sequence(F.lit(1), F.floor((QUANTILES - 1) / step).cast("int")), lambda i: F.get("_p", (i * step - 1).cast("int")))
+    return stats.select(key, F.when(wanted > 1, F.array_distinct(cuts)).alias("_cuts"), F.ceil(wanted / QUANTILES).alias("_parts"), "_lo", "_hi")
+
+
+def _number(micros: Column) -> Column:
+    """The segment of a time, from its key's row of ``segment_bounds``: the number of cuts at or before it, by halving."""
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(QUANTILES.bit_length()))])
+    at = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(F.aggregate(
+        steps, F.lit(0), lambda n, s: F.when(F.get("_cuts", n + s - 1) <= micros, n + s).otherwise(n)))
+    low, high = F.coalesce(F.get("_cuts", at - 1), F.col("_lo")), F.coalesce(F.get("_cuts", at), F.col("_hi") + 1)
+    part = F.least(F.col("_parts") - 1, F.floor((micros - low).cast("double") / (high - low) * F.col("_parts")))
+    return at.cast("long") * F.col("_parts") + F.when(F.col("_parts") > 1, part).otherwise(0)
 
 
 def add_segment(df: DataFrame, ts: str = C.TIMESTAMP, seconds: int | None = C.DEFAULT_SEGMENT_SECONDS,
                 key: str = C.DEVICE) -> DataFrame:
     """Add the segment number unless the frame already has one.
 
-    ``seconds``: a fixed width for every key, or ``None`` for per-key widths (``segment_widths``), joined to the rows without a
+    ``seconds``: a fixed width for every key, or ``None`` for cuts by counted rows (``segment_bounds``), joined to the rows without a
     hint: the same method for any number of keys, the engine choosing how to join by measured bytes. Rows without a time come last,
     in order of the tie column: they are cut by ranges of it.
     """
@@ -85,8 +102,8 @@ def add_segment(df: DataFrame, ts: str = C.TIMESTAMP, seconds: int | None = C.DE
         late = late + F.coalesce(F.floor(F.col(C.READING_ID) / C.TARGET_SEGMENT_ROWS), F.lit(LAST_SEGMENT // 2))
     if seconds is not None:
         return df.withColumn(SEG, F.coalesce(F.floor(micros / F.lit(seconds * 1_000_000)), late))
-    d = df.join(segment_widths(df, key, ts), key, "left")
-    return d.withColumn(SEG, F.coalesce(F.floor((micros - F.col("_sego")) / F.col("_segw")), late)).select(*df.columns, SEG)
+    d = df.join(segment_bounds(df, key, ts), key, "left")
+    return d.withColumn(SEG, F.coalesce(F.when(micros.isNotNull(), _number(micros)), late)).select(*df.columns, SEG)
 
 
 def _asc(order: list[str]) -> list[Column]:
