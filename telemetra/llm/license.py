@@ -2,7 +2,7 @@
 
 A paragraph ends at a blank line; what is classified is a line of it or several neighbouring ones, since notices are wrapped. The classifier is trained here, on variants of short public notices and on a bounded sample of
 lines from the documents as the unknown class; an L1 penalty leaves few n-grams with weight. Its probabilities are scaled by a temperature
-fitted on variants it was not trained on. A span is scored in full only if the most that its words could speak for a family outweighs the
+fitted on variants and background lines it was not trained on. A span is scored in full only if the most that its words could speak for a family outweighs the
 unknown class; this upper bound leaves out no span that could be reported. Predictions are confirmed by how much of a template of that family the span holds (or the template of the span).
 
 Everything runs as DataFrame functions and Spark's own regression: no Python on the executors, no shuffle of text.
@@ -76,6 +76,8 @@ SLOTS = 4096
 #: Lines of a span, and characters in those between its first and last: half as much again as the words and characters of the longest notice.
 SPAN_LINES = 3 * max(len(text.split()) for _, text in NOTICES) // 2
 SPAN_CHARS = 3 * max(len(text) for _, text in NOTICES) // 2
+#: Lines of a block: long texts are looked at block by block, each with the lines that a span from it may reach.
+BLOCK = 256
 
 
 def words_of(line: Column) -> Column:
@@ -123,18 +125,19 @@ def _variants(rows: DataFrame, first: int, many: int) -> DataFrame:
 
 
 def background(docs: DataFrame, documents: int, lines: int) -> DataFrame:
-    """Lines of at most ``documents`` documents, those with the smallest hash of doc_id; at most ``lines``. Lines that hold
-    most of a notice are no example of the unknown class and are left out."""
+    """Lines of at most ``documents`` documents, those with the smallest hash of doc_id; at most ``lines``, those with the smallest
+    hash, whatever the files' order. ``part`` deals them into four. Lines that hold most of a notice are no example of the unknown class and are left out."""
     d = docs.select(F.xxhash64("doc_id").alias("h"), F.col("text").cast("string").alias("text")).where("text is not null")
     edge = d.select("h").orderBy("h").limit(documents).agg(F.max("h")).first()[0]
-    sample = d.where(F.col("h") <= F.lit(edge if edge is not None else -(1 << 63))).limit(documents)
-    w = sample.select(F.explode(F.split("text", "\n")).alias("line")).limit(lines).select(words_of(F.col("line")).alias("words"))
+    sample = d.where(F.col("h") <= F.lit(edge if edge is not None else -(1 << 63))).orderBy("h", F.xxhash64("text")).limit(documents)
+    each = sample.select("h", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("g", F.xxhash64("line", "h", "pos"))
+    w = each.orderBy("g", "line").limit(lines).select(F.pmod(F.xxhash64("line"), F.lit(4)).alias("part"), words_of(F.col("line")).alias("words"))
     like = F.lit(False)
     for family, text in NOTICES:
         if family != UNKNOWN:
             t = F.array_distinct(words_of(F.lit(text)))
             like = like | (F.size(F.array_intersect("words", t)) >= 0.7 * F.size(t))
-    return w.where(~like & (F.size("words") > 0)).select(F.lit(UNKNOWN).alias("family"), "words")
+    return w.where(~like & (F.size("words") > 0)).select(F.lit(UNKNOWN).alias("family"), "words", "part")
 
 
 def _log_loss(t: float) -> Column:
@@ -146,7 +149,8 @@ def _log_loss(t: float) -> Column:
 
 def train(docs: DataFrame, documents: int = 400, lines: int = 4000, variants: int = 60) -> Model:
     """The classifier, from ``variants`` variants of every notice and a sample of ``lines`` lines of ``docs`` at most (both bounds on the
-    labelled rows, whatever the corpus). An empty corpus leaves the notices alone as examples."""
+    labelled rows, whatever the corpus). The temperature is fitted on further variants and on a quarter of the lines, which the regression does
+    not see (equal lines are in the same quarter). An empty corpus leaves the notices alone as examples."""
     spark = docs.sparkSession
     own = notices(spark)
     vocabulary = sorted(r["g"] for r in own.where(F.col("family") != UNKNOWN).select(F.explode(grams_of(F.col("words"))).alias("g")).distinct().collect())
@@ -155,9 +159,9 @@ def train(docs: DataFrame, documents: int = 400, lines: int = 4000, variants: in
     ready = lambda d: d.select(label.alias("label"), grams_of(F.col("words")).alias("grams"))
     count = CountVectorizerModel.from_vocabulary(vocabulary, "grams", "features").setBinary(True)
     rest = background(docs, documents, lines).cache()
-    fit = count.transform(ready(_variants(own, 0, variants).unionByName(rest))).coalesce(1).cache()   # a few thousand short rows
+    fit = count.transform(ready(_variants(own, 0, variants).unionByName(rest.where("part < 3").drop("part")))).coalesce(1).cache()   # a few thousand short rows
     lr = LogisticRegression(family="multinomial", regParam=0.002, elasticNetParam=0.5, standardization=False, maxIter=60).fit(fit)
-    fresh = lr.transform(count.transform(ready(_variants(own, variants, variants // 3).unionByName(rest)))).select("label", vector_to_array("rawPrediction").alias("z"))
+    fresh = lr.transform(count.transform(ready(_variants(own, variants, variants // 3).unionByName(rest.where("part = 3").drop("part"))))).select("label", vector_to_array("rawPrediction").alias("z"))
     grid = [0.25, 0.35, 0.5, 0.7, 1.0, 1.4]
     loss = fresh.coalesce(1).agg(*[_log_loss(t) for t in grid]).first()
     own_words = [g for g in vocabulary if " " not in g]
@@ -198,28 +202,38 @@ def scan(docs: DataFrame, model: Model, probability: float = 0.5, similarity: fl
     with at least ``probability``, those most like a template are taken, the best first, as far as they do not overlap; spans of the same family
     that follow each other without a line between are one notice. Where no template of that family is as similar as ``similarity``, family is ``unknown`` and
     predicted tells what the classifier said. A span's lines between its first and last hold at most ``SPAN_CHARS`` characters, more than any template.
-    Null and empty texts give no row; repeated rows give their findings each; an empty table gives an empty result; other columns are not read.
+    Words are runs of a-z and 0-9 after lower-casing; all other characters, letters of other scripts among them, only separate words. Long texts are cut
+    into blocks of ``BLOCK`` lines with the lines ahead that a span may reach, so time grows with a text's notices. Null and empty texts give no row; repeated rows give their findings each; an empty table gives an empty result; other columns are not read.
     """
     bits = F.array(*[F.lit(b) for b in model.gate])
     licence_word = lambda w: F.get(bits, F.shiftright(_slot(w), 6)).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), _slot(w).bitwiseAND(F.lit(63)))) != 0
-    rows = docs.select("doc_id", F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n").alias("lines"))
-    gains = F.from_json(F.lit(json.dumps({w: max(g) for w, g in model.most.items()})), "map<string,double>")
-    by_family = F.from_json(F.lit(json.dumps(model.most)), "map<string,array<double>>")
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n").alias("lines"))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / BLOCK).cast("int")), lambda j: F.struct(
+        (j * BLOCK).alias("base"), F.least(F.size("lines") - j * BLOCK, F.lit(BLOCK)).alias("own"), F.slice("lines", j * BLOCK + 1, BLOCK + SPAN_LINES).alias("lines")))
+    chars = F.transform("blocks", lambda b: F.when(F.size("blocks") > 1, F.aggregate(F.slice(b["lines"], 1, BLOCK), F.lit(0), lambda s, x: s + F.length(x) + 1)).otherwise(0))
+    # the outer form: for the other one Spark would put a filter on the array below, and compute it again for every reference
+    blocks = (rows.select("doc_id", "row", cut.alias("blocks")).select("doc_id", "row", "blocks", chars.alias("chars"))
+              .select("doc_id", "row", F.explode_outer(F.transform("blocks", lambda b, j: F.struct(
+                  b["base"].alias("base"), b["own"].alias("size"), b["lines"].alias("lines"), F.aggregate(F.slice("chars", F.lit(1), j), F.lit(0), lambda s, x: s + x).alias("before")))).alias("b"))
+              .select("doc_id", "row", "b.*"))
+    numbers = F.from_json(F.lit(json.dumps({w: k for k, w in enumerate(model.most)})), "map<string,int>")       # a word is looked up once
+    gains = F.from_json(F.lit(json.dumps([max(g) for g in model.most.values()])), "array<double>")
+    by_family = F.from_json(F.lit(json.dumps(list(model.most.values()))), "array<array<double>>")
     zeros = F.array(*[F.lit(0.0) for _ in model.bias])
     least = min(model.needed) - 1e-9
     needed = F.array(*[F.lit(min(x, 1e9) - 1e-9) for x in model.needed])
 
-    reach = lambda words: F.aggregate(words, F.lit(0.0), lambda s, w: s + w["gain"])
+    reach = lambda words: F.aggregate(words, F.lit(0.0), lambda s, w: s + F.get(gains, w))
 
     def passes(words: Column) -> Column:
         """Whether distinct words can make a family more probable than unknown."""
-        sums = F.aggregate(words, zeros, lambda s, w: F.zip_with(s, F.coalesce(F.try_element_at(by_family, w["word"]), zeros), lambda a, b: a + b))
+        sums = F.aggregate(words, zeros, lambda s, w: F.zip_with(s, F.get(by_family, w), lambda a, b: a + b))
         return F.when(reach(words) >= least, F.exists(F.zip_with(sums, needed, lambda a, b: a >= b), lambda x: x)).otherwise(False)
 
-    each = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), "lines", F.transform("lines", lambda l: F.struct(
-        F.filter(F.transform(F.array_distinct(F.filter(F.split(F.lower(l), "[^a-z0-9]+"), licence_word)), lambda w: F.struct(w.alias("word"), F.try_element_at(gains, w).alias("gain"))),
-                 lambda w: w["gain"].isNotNull()).alias("words"), F.length(F.btrim(l, F.lit(" \t\r\x0b\x0c"))).alias("size"))).alias("each"))
-    each = each.select("doc_id", "row", "lines", F.col("each.words").alias("words"), F.transform("each", lambda e: F.struct(
+    place = ["doc_id", "row", "base", "size", "before"]
+    each = blocks.select(*place, "lines", F.transform("lines", lambda l: F.struct(
+        F.filter(F.transform(F.array_distinct(F.filter(F.split(F.lower(l), "[^a-z0-9]+"), licence_word)), lambda w: F.try_element_at(numbers, w)), lambda w: w.isNotNull()).alias("words"), F.length(F.btrim(l, F.lit(" \t\r\x0b\x0c"))).alias("size"))).alias("each"))
+    each = each.select(*place, "lines", F.col("each.words").alias("words"), F.transform("each", lambda e: F.struct(
         reach(e["words"]).alias("reach"), e["size"].alias("size"))).alias("each"))
     # the longest span from a line: what its lines reach together bounds every shorter one
     ahead = lambda i: F.aggregate(
@@ -228,13 +242,13 @@ def scan(docs: DataFrame, model: Model, probability: float = 0.5, similarity: fl
             (s["reach"] + x["reach"]).alias("reach"), (s["inner"] + F.when(s["lines"] > 0, x["size"]).otherwise(0)).alias("inner"), (s["lines"] + 1).alias("lines"), F.lit(True).alias("open")))
         .otherwise(F.struct(s["reach"].alias("reach"), s["inner"].alias("inner"), s["lines"].alias("lines"), F.lit(False).alias("open"))))
     together = lambda words, first, many: F.array_distinct(F.flatten(F.slice(words, first, many)))
-    hits = each.select("doc_id", "row", "lines", "words", F.filter(
-        F.transform(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.struct(i.alias("i"), ahead(i).alias("a"))),
+    hits = each.select(*place, "lines", "words", F.filter(
+        F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.struct(i.alias("i"), ahead(i).alias("a"))),
         lambda h: F.when((h["a"]["lines"] > 0) & (h["a"]["reach"] >= least), passes(together("words", h["i"] + 1, h["a"]["lines"]))).otherwise(False)).alias("hits"))
-    # the outer form: for the other one Spark would put a filter on the array below, and compute it again for every reference
     block = hits.select("doc_id", "row", F.explode_outer(F.transform("hits", lambda h: F.struct(
-        h["i"].alias("first"), F.slice("lines", h["i"] + 1, h["a"]["lines"]).alias("block"), F.slice("words", h["i"] + 1, h["a"]["lines"]).alias("own"),
-        F.aggregate(F.slice("lines", 1, h["i"]), F.lit(0), lambda s, x: s + F.length(x) + 1).alias("start")))).alias("h")).where("h is not null").select("doc_id", "row", "h.*")
+        (F.col("base") + h["i"]).alias("first"), F.slice("lines", h["i"] + 1, h["a"]["lines"]).alias("block"), F.slice("words", h["i"] + 1, h["a"]["lines"]).alias("own"),
+        (F.col("before") + F.aggregate(F.slice("lines", 1, h["i"]), F.lit(0), lambda s, x: s + F.length(x) + 1)).alias("start")))).alias("h")).where("h is not null").select("doc_id", "row", "h.*")
+    block = block.repartition("row", "first")         # the few lines with a hit: those of one text are spread over tasks
     spans = F.filter(F.sequence(F.lit(1), F.size("block")), lambda k: passes(together("own", F.lit(1), k)))
     span = (block.select("doc_id", "row", "first", "start", "block", F.explode_outer(spans).alias("many")).where("many is not null")
             .withColumn("span", F.array_join(F.slice(F.col("block"), F.lit(1), F.col("many")), "\n"))
@@ -257,14 +271,22 @@ def scan(docs: DataFrame, model: Model, probability: float = 0.5, similarity: fl
             t = F.split(F.lit("|".join(notice_grams(text))), "[|]")
             both = F.size(F.array_intersect("grams", t))
             held = F.greatest(both / F.size(t), F.when(F.col("n_words") >= 5, both / F.col("n_grams")).otherwise(0.0))
-            likeness.append(F.struct(F.when(F.col("predicted") == family, held).otherwise(-1.0).alias("s"), (2 * both / (F.size(t) + F.col("n_grams"))).alias("alike"), F.lit(-k).alias("k")))
+            likeness.append(F.when(F.col("predicted") == family, F.struct(held.alias("s"), (2 * both / (F.size(t) + F.col("n_grams"))).alias("alike"), F.lit(-k).alias("k"))))
     scored = scored.withColumn("near", F.greatest(*likeness))
-    order = F.struct((-F.col("near.alike")).alias("unlike"), "n_words", "first", "last", "start", (F.col("start") + F.col("length")).alias("end"),
+    order = F.struct((-F.col("near.alike")).alias("unlike"), "n_words", (F.col("last") - F.col("first")).alias("further"), "first", "last", "start", (F.col("start") + F.col("length")).alias("end"),
                      "probability", "predicted", F.col("near.s").alias("similarity"), (-F.col("near.k")).alias("template"))
-    found = scored.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(order)).alias("spans"))
-    free = lambda taken, x: ~F.exists(taken, lambda y: (y["first"] <= x["last"]) & (x["first"] <= y["last"]))
-    chosen = F.aggregate("spans", F.filter("spans", lambda x: F.lit(False)), lambda taken, x: F.when(free(taken, x), F.concat(taken, F.array(x))).otherwise(taken))
-    chosen = found.select("row", "doc_id", F.explode(chosen).alias("c")).select("row", "doc_id", "c.*")
+    # spans between which no other one reaches are chosen apart; what is taken is kept by stretches of SPAN_LINES lines, as a span meets only those of its own and the two beside it
+    above = Window.partitionBy("row").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
+    apart = scored.withColumn("alone", F.coalesce(F.col("first") > F.max("last").over(above), F.lit(True)).cast("int"))
+    apart = apart.withColumn("cluster", F.sum("alone").over(Window.partitionBy("row").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, 0)))
+    found = apart.groupBy("row", "doc_id", "cluster").agg(F.min("first").alias("top"), F.max("first").alias("low"), F.sort_array(F.collect_list(order)).alias("spans"))
+    stretch = lambda x: F.floor((x["first"] - F.col("top")) / SPAN_LINES).cast("int")
+    meets = lambda taken, x: F.coalesce(F.exists(taken, lambda y: (y["first"] <= x["last"]) & (x["first"] <= y["last"])), F.lit(False))
+    free = lambda taken, x: ~(meets(F.get(taken, stretch(x)), x) | meets(F.get(taken, stretch(x) - 1), x) | meets(F.get(taken, stretch(x) + 1), x))
+    none = F.transform(F.sequence(F.lit(0), F.floor((F.col("low") - F.col("top")) / SPAN_LINES).cast("int")), lambda _: F.filter("spans", lambda x: F.lit(False)))
+    chosen = F.flatten(F.aggregate("spans", none, lambda taken, x: F.when(free(taken, x), F.transform(
+        taken, lambda t, k: F.when(k == stretch(x), F.concat(t, F.array(x))).otherwise(t))).otherwise(taken)))
+    chosen = found.select("row", "doc_id", F.explode_outer(chosen).alias("c")).where("c is not null").select("row", "doc_id", "c.*")
     line = Window.partitionBy("row").orderBy("first")
     follows = (F.lag("last").over(line) + 1 == F.col("first")) & (F.lag("predicted").over(line) == F.col("predicted"))
     notice = F.sum(F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1)).over(line.rowsBetween(Window.unboundedPreceding, 0))

@@ -648,6 +648,32 @@ def test_wrapped_notices(spark):
     assert got == want
 
 
+def test_many_notices_in_one_text(spark):
+    """Time grows with a text's notices; lines and starts are right beyond the first block, and across its edge."""
+    import time
+    rng = random.Random(14)
+    kinds = [("mit", "Released under the MIT License."), ("apache", "Licensed under the Apache License, Version 2.0.")]
+    sides = "\n".join([prose(rng, EN, 6)] * (license.BLOCK - 1) + ["Licensed under the Apache", "License, Version 2.0."] + [prose(rng, DE, 6)] * license.BLOCK + ["É" * 9 + "\n" + kinds[0][1]])
+    text = {1: sides, 2: "\n".join(kinds[i % 2][1] for i in range(500)), 3: "\n".join(kinds[i % 2][1] for i in range(4000))}
+    model = license.train(spark.createDataFrame([(1, prose(rng, EN, 400))], "doc_id long, text string"))
+    took, got = {}, {}
+    for i in text:
+        d = spark.createDataFrame([(i, text[i])], "doc_id long, text string")
+        began = time.time()
+        got[i] = sorted((r.start, r.length, r.family, r.paragraph) for r in license.scan(d, model).collect())
+        took[i] = time.time() - began
+    lines = text[1].split("\n")
+    at = license.BLOCK - 1
+    assert [(text[1][a:a + n], f, p) for a, n, f, p in got[1]] == [("\n".join(lines[at:at + 2]), "apache", at), (kinds[0][1], "mit", len(lines) - 1)]
+    for i in (2, 3):
+        want, start = [], 0
+        for k, l in enumerate(text[i].split("\n")):
+            want.append((start, len(l), kinds[k % 2][0], k))
+            start += len(l) + 1
+        assert got[i] == want
+    assert took[3] < 8 * took[2]                           # eight times the notices
+
+
 # -- all ----------------------------------------------------------------------------------------------------------
 def test_empty_tables(spark, nothing):
     assert lm_score.score_documents(nothing, held_out("doc_id", 7, 2)).count() == 0
