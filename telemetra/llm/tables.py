@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..session import scratch_path, shared_dir, ship_package
 
 #: Arrow batches of bounded size, whatever the lengths of the texts (runtime settings; no result depends on them).
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
+           "spark.sql.optimizer.windowGroupLimitThreshold": "4096"}      # first few thousand of a group: cut before the shuffle
 
 
 def tuned(spark: SparkSession) -> SparkSession:

@@ -4,9 +4,12 @@ Every word of the examples is a term, weighted by inverse document frequency and
 vector of all its words; a word that no example holds counts in a text's length. In scripts written without blanks, neighbouring
 characters stand for words. Rare words keep postings and are summed for all examples; words of many examples are held as
 blocks of a dense table and, for each word and block, the largest weight. A text sums the blocks with the highest upper bounds, then those
-whose bound could still change its nearest neighbours, which are therefore exact. Neighbours vote by similarity. The vote and what
-the text's words say about the classes are weighed against each other and calibrated on the examples themselves, each left out in
-turn. Examples with just the text's words count by their labels.
+whose bound could still change its nearest neighbours, which are therefore exact. Neighbours vote by similarity.
+
+A few words among hundreds move a whole text's cosines little, so a text is searched twice: as a whole, and word by word. The nearest examples of a
+word alone are those with its largest weights; they vote by similarity too, as a fixed number per word, and a text takes the words voted most
+toxic. Both votes are weighed against each other and calibrated on the examples themselves, each left out in turn. Nothing but neighbours'
+labels enters a score. Examples with just the text's words count by their labels.
 """
 
 from __future__ import annotations
@@ -24,7 +27,9 @@ BLOCK = 64
 FIRST = 4              # blocks summed before any is ruled out
 COMMON = 0.05          # share of the examples from which on a word is held in the dense table
 RUN, POSTINGS = 64, 1 << 20            # texts searched together, and about the most postings they sum at once
-TELLING = 3            # words that speak for toxic in a text's evidence
+SLOT_BITS = 10         # hash slots in which labels are counted to find the last one that can be chosen
+TELLING = 3            # words of a text, those voted most toxic, that count
+WORD_K, PRIOR = 50, 3  # nearest examples of one word, and votes at the general rate that stand beside theirs
 LETTER = np.zeros(256, bool)
 LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 FIELDS = [T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.LongType())), T.StructField("similarity", T.ArrayType(T.DoubleType()))]
@@ -102,7 +107,7 @@ def _example_rows(batches):
 class Index:
     keys: np.ndarray       # sorted keys of all words of the examples
     idf: np.ndarray
-    odds: np.ndarray       # what a word says for toxic
+    says: np.ndarray       # vote of a word's own nearest examples, in logits above the general rate
     post_doc: np.ndarray   # postings of all words, by word, then example
     post_weight: np.ndarray
     edge: np.ndarray       # word -> bounds of its postings
@@ -112,7 +117,7 @@ class Index:
     weight: np.ndarray     # of an example in the vote: its class's share in all labels over that in the sample
     block: int
     k: int
-    mix: np.ndarray        # constant and weights of neighbours' vote and words' evidence
+    mix: np.ndarray        # constant and weights of the whole text's vote and its words' votes
     steps: np.ndarray      # calibration: mixed vote (ascending) -> probability
     prob: np.ndarray
     empty: float           # probability of a text without neighbours
@@ -165,22 +170,21 @@ class Index:
         sim = sim.reshape(m, self.blocks, self.block)
         table = np.zeros((m, self.dense.shape[1]))
         table[doc[~rare], row[~rare]] = q[~rare]
-        bound = sim.max(2) + table @ self.most
-        summed = np.zeros(self.blocks, bool)
-        summed[np.argsort(-bound, axis=1, kind="stable")[:, :FIRST]] = True
-        for b in np.flatnonzero(summed):
-            sim[:, b] += table @ self.dense[b]
+        bound = sim.max(2) + table @ self.most                # rare words are summed already, common ones by their block maxima
         own = () if skip is None else (np.arange(m), skip // self.block, skip % self.block)
+        first = np.argsort(-bound, axis=1, kind="stable")[:, :FIRST]
+        summed = np.zeros((m, self.blocks), bool)
+        np.put_along_axis(summed, first, True, 1)
+        self._add(sim, table, summed)
         if skip is not None:
             sim[own] = 0
-        have = sim[:, summed].reshape(m, -1)
+        have = np.take_along_axis(sim, first[:, :, None], 1).reshape(m, -1)
         least = np.partition(have, have.shape[1] - self.k, axis=1)[:, have.shape[1] - self.k] if have.shape[1] >= self.k else np.zeros(m)
-        for b in np.flatnonzero(~summed & (bound >= np.maximum(least, 1e-12)[:, None] - 1e-9).any(0)):
-            sim[:, b] += table @ self.dense[b]
-            summed[b] = True
+        more = ~summed & (bound >= np.maximum(least, 1e-12)[:, None] - 1e-9)
+        self._add(sim, table, more)
         if skip is not None:
             sim[own] = 0
-        sim[:, ~summed] = 0
+        sim[~(summed | more)] = 0
         sim = sim.reshape(m, wide)
         last = np.partition(sim, wide - self.k, axis=1)[:, wide - self.k] if wide >= self.k else np.zeros(m)
         for r in range(m):
@@ -189,6 +193,12 @@ class Index:
             best = np.lexsort((d, -np.round(s, 9)))[:self.k]
             yield d[best], s[best]
 
+    def _add(self, sim: np.ndarray, table: np.ndarray, wanted: np.ndarray) -> None:
+        """Sum the common words of each text over its wanted blocks."""
+        for b in np.flatnonzero(wanted.any(0)):
+            r = np.flatnonzero(wanted[:, b])
+            sim[r, b] += table[r] @ self.dense[b]
+
     def nearest(self, terms: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest to a text of these words, each there once, most similar first, ties by example number; cosine 0 is no
         neighbour."""
@@ -204,25 +214,41 @@ class Index:
         return float(self.prob[min(np.searchsorted(self.steps, vote - 1e-12), len(self.prob) - 1)])
 
     def probability(self, d: np.ndarray, s: np.ndarray, says: float) -> float:
-        """Of toxic, from the neighbours and the words' evidence; examples with the text's own words and counts are as many observations beside this one."""
+        """Of toxic, from the neighbours of the text and of its words; examples with the text's own words and counts are as many observations beside this one."""
         if not len(d):
             return self.empty
         same = self.label[d[s > 1 - 1e-9]]
         return float((self.calibrated(self.mix @ [1, self.vote(d, s), says]) + same.sum()) / (1 + len(same)))
 
 
-def _odds(c1: np.ndarray, c0: np.ndarray, n1, n0) -> np.ndarray:
-    """Logarithm of how much likelier a word is in toxic examples, smoothed, less its standard error; 0 at least."""
-    p = n1 / (n1 + n0)
-    a, b = c1 + p, c0 + 1 - p
-    return np.where(c1 + c0 > 0, np.maximum(np.log(a / (n1 + p) / (b / (n0 + 1 - p))) - np.sqrt(1 / a + 1 / b), 0), 0.0)
-
-
-def _evidence(doc: np.ndarray, odds: np.ndarray, many: int) -> np.ndarray:
-    """Sum of the odds of each text's most telling words; ``doc`` ascends."""
-    order = np.lexsort((-odds, doc))
+def word_votes(word: np.ndarray, weight: np.ndarray, toxic: np.ndarray, share: np.ndarray, df: np.ndarray, rate: float, k: int = WORD_K) -> tuple[np.ndarray, np.ndarray]:
+    """(by word, by posting without the posting's own example): vote of the k examples with the largest weights of the word, which are the nearest
+    to it alone; ties by posting. ``word`` ascends; ``toxic`` and ``share`` are label and vote weight of the postings' examples. The similarity-weighted share
+    of toxic is shrunk by PRIOR votes at ``rate``, and given in logits above that; 0 at least."""
+    by = np.lexsort((-weight, word))
+    edge = np.concatenate([[0], np.cumsum(df)])
+    t, w = word[by], (weight * share)[by]
+    bad = w * toxic[by]
+    head = np.arange(len(by)) - edge[t] < k
+
+    def logit(bad, all_, n):
+        v = (np.where(n > 0, bad / np.maximum(all_, 1e-24), 0) * n + PRIOR * rate) / (n + PRIOR)
+        return np.maximum(np.log(v / (1 - v) / (rate / (1 - rate))), 0)
+
+    votes, against = np.bincount(t[head], w[head], len(df)), np.bincount(t[head], bad[head], len(df))
+    spare = np.minimum(edge[:-1] + k, len(by) - 1)            # who comes in where one of the k is left out
+    more = (df > k)[t] & head
+    left, left_bad = votes[t] - w * head + np.where(more, w[spare[t]], 0), against[t] - bad * head + np.where(more, bad[spare[t]], 0)
+    without = np.empty(len(by))
+    without[by] = logit(left_bad, left, np.minimum(df[t] - 1, k))
+    return logit(against, votes, np.minimum(df, k)), without
+
+
+def _evidence(doc: np.ndarray, says: np.ndarray, many: int) -> np.ndarray:
+    """Sum of the votes of each text's most telling words; ``doc`` ascends."""
+    order = np.lexsort((-says, doc))
     nth = np.arange(len(doc)) - np.searchsorted(doc, doc)
-    return np.bincount(doc, np.where(nth < TELLING, odds[order], 0), many)
+    return np.bincount(doc, np.where(nth < TELLING, says[order], 0), many)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -254,16 +280,23 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, toxic: int = 3000,
     texts. Only the keys and numbers of their words come to the driver. Labels whose class is null or ``learn`` (a condition on doc_id) is
     false are not read; without examples of both classes there is no index."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where(learn & F.col("label").isin(0, 1))
-    total = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    nth = F.row_number().over(Window.partitionBy("label").orderBy("rank", "doc_id"))
+    known = known.withColumn("rank", F.xxhash64("doc_id")).withColumn("slot", F.shiftright("rank", 64 - SLOT_BITS))
+    wanted, total, last = {0: clean, 1: toxic}, {}, {}
+    for r in known.groupBy("label", "slot").agg(F.count(F.lit(1)).alias("n")).orderBy("label", "slot").collect():    # at most 2 * 2 ** SLOT_BITS rows
+        if total.get(r["label"], 0) < wanted[r["label"]]:
+            last[r["label"]] = r["slot"]
+        total[r["label"]] = total.get(r["label"], 0) + r["n"]
+    if len(total) < 2:
+        return None
+    of = lambda by: F.when(F.col("label") == 1, by[1]).otherwise(by[0])
+    first = F.row_number().over(Window.partitionBy("label").orderBy("rank", "doc_id"))      # cut to ``most`` in every partition, then over all
     most = max(toxic, clean)
-    chosen = (known.withColumn("rank", F.xxhash64("doc_id")).withColumn("nth", nth).where(F.col("nth") <= most)
-              .where(F.col("nth") <= F.when(F.col("label") == 1, toxic).otherwise(clean)).select("doc_id", "label", "rank"))
+    chosen = (known.where(F.col("slot") <= of(last)).withColumn("nth", first).where(F.col("nth") <= most).where(F.col("nth") <= of(wanted))
+              .select("doc_id", "label", "rank"))
     near = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")   # at most toxic + clean rows
     rows = near.select("doc_id", "label", "rank", "text").mapInArrow(_example_rows, T.StructType([docs.schema["doc_id"], T.StructField("label", T.IntegerType()), T.StructField("rank", T.LongType()),
                                                                                                    T.StructField("keys", T.BinaryType()), T.StructField("counts", T.BinaryType())]))
-    got = (rows.withColumn("nth", F.row_number().over(Window.partitionBy("label").orderBy("rank", "doc_id"))).where(F.col("nth") <= most)
-           .orderBy("label", "rank", "doc_id").collect())
+    got = rows.withColumn("nth", first).where(F.col("nth") <= most).orderBy("label", "rank", "doc_id").collect()
     if len({r["label"] for r in got}) < 2:
         return None
     return build([r["doc_id"] for r in got], np.array([r["label"] for r in got]), [np.frombuffer(r["keys"], "<u8") for r in got],
@@ -289,19 +322,22 @@ def build(ids: list, label: np.ndarray, keys: list[np.ndarray], counts: list[np.
     place = np.argsort(order)
     label, owner = label[order], place[owner]
     size = np.bincount(label, minlength=2)
-    c1 = np.bincount(term, label[owner], len(every))
     share = np.array([total.get(0, 0) / max(size[0], 1), total.get(1, 0) / max(size[1], 1)])[label]
     by = np.lexsort((owner, term))
     bounds = np.concatenate([[0], np.cumsum(df)])
-    ix = Index(every, idf, _odds(c1, df - c1, size[1], size[0]), owner[by], np.zeros(0), np.stack([bounds[:-1], bounds[1:]], 1), row, np.array(ids)[order], label, share,
+    ix = Index(every, idf, np.zeros(0), owner[by], np.zeros(0), np.stack([bounds[:-1], bounds[1:]], 1), row, np.array(ids)[order], label, share,
                block, k, np.zeros(3), np.zeros(1), np.zeros(1), 0.0)
-    ix.post_weight = ix.unit(owner, idf[term], count, n)[by]
+    weight = ix.unit(owner, idf[term], count, n)
+    ix.post_weight = weight[by]
+    general = float((share * label).sum() / share.sum())
+    ix.says, without = word_votes(term[by], ix.post_weight, label[owner[by]], share[owner[by]], df, general)
+    alone = np.empty(len(by))
+    alone[by] = without
     own = np.lexsort((term, owner))                           # each example as a text, without itself
     o, t = owner[own], term[own]
-    y = label[o]
-    says = _evidence(o, _odds(c1[t] - y, df[t] - c1[t] - 1 + y, size[1] - y, size[0] - 1 + y), n)
+    says = _evidence(o, alone[own], n)
     votes, has = np.zeros(n), np.zeros(n, bool)
-    for i, (d, s) in enumerate(ix.search(o, t, ix.unit(o, idf[t], count[own], n), n, np.arange(n))):
+    for i, (d, s) in enumerate(ix.search(o, t, weight[own], n, np.arange(n))):
         has[i] = len(d) > 0
         votes[i] = ix.vote(d, s) if len(d) else 0.0
     rate = lambda m: float(((share * label)[m].sum() + 0.5 * share.mean()) / (share[m].sum() + 5 * share.mean()))
@@ -329,7 +365,7 @@ def scorer(ix: Index | None):
             idf[hit] = ix.idf[at[hit]]
             q = ix.unit(doc, idf, count, j - i)[hit]
             doc, term = doc[hit], at[hit]
-            says = _evidence(doc, ix.odds[term], j - i)
+            says = _evidence(doc, ix.says[term], j - i)
             for (d, s), e in zip(ix.search(doc, term, q, j - i), says.tolist()):
                 out.append(ix.probability(d, s, e))
                 evidence.append(ix.ids[d[:5]].tolist())

@@ -476,6 +476,72 @@ def test_every_word_counts_in_the_neighbour_search():
         assert near[k] == pytest.approx([x for x in want if x > 0])
 
 
+def test_toxicity_score_against_plain_python():
+    """The whole way to a score, calibration included, over bags of words."""
+    rng = random.Random(13)
+    some = [f"w{i}" for i in range(40)]
+    text = [" ".join(rng.choice(some[15:] if i % 3 == 0 else some[:30]) for _ in range(rng.randint(8, 40))) + "".join(f" r{rng.randrange(300)}" for _ in range(4))
+            + (" vile" * rng.randint(1, 3) if i % 3 == 0 or i % 17 == 0 else "") + (" grim" if i % 5 == 0 else "") for i in range(220)]
+    text[7], text[21] = "a toxic one without any of them", "alone"
+    label = np.array([int(i % 3 == 0 and i % 4 != 0 or i == 7) for i in range(220)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(220)), pa.array(label, pa.int32()), pa.array(range(220)), pa.array(text)], names=["doc_id", "label", "rank", "text"])
+    (made,) = toxicity._example_rows([batch])
+    read = lambda c, kind: [np.frombuffer(x, kind) for x in made.column(c).to_pylist()]
+    ix = toxicity.build(list(range(220)), label, read(3, "<u8"), read(4, "<u4"), {0: 900, 1: 70}, 32, 15)
+
+    bag = lambda t: Counter(re.findall("[a-z0-9]+", t or ""))
+    df = Counter(w for t in text for w in bag(t))
+    def unit(b):
+        v = {w: (math.log(221 / (1 + df[w])) + 0.1) * (1 + math.log(c)) for w, c in b.items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+    order = ix.ids.tolist()                                                    # ties go by example number
+    vec, bad = [unit(bag(text[i])) for i in order], [int(label[i]) for i in order]
+    weight = [70 / sum(bad) if y else 900 / (220 - sum(bad)) for y in bad]
+    rate = 70 / 970
+
+    def votes(q, out):
+        """(whole text's neighbours, their vote, sum of the three highest votes of single words), example ``out`` left out."""
+        near = []
+        for e, v in enumerate(vec):
+            cos = sum(x * v[w] for w, x in q.items() if w in v)
+            if e != out and cos > 1e-12:
+                near.append((-round(cos, 9), e, cos))
+        near = sorted(near)[:15]
+        w = [weight[e] * c * c / (1.01 - min(c * c, 1)) for _, e, c in near]
+        word = []
+        for t in q:
+            head = sorted((-v[t], e) for e, v in enumerate(vec) if t in v and e != out)[:50]
+            share = sum(-x * weight[e] * bad[e] for x, e in head) / sum(-x * weight[e] for x, e in head) if head else 0
+            p = (share * len(head) + 3 * rate) / (len(head) + 3)
+            word.append(max(math.log(p / (1 - p)) - math.log(rate / (1 - rate)), 0) if head else 0)
+        return near, sum(x * bad[e] for x, (_, e, _) in zip(w, near)) / sum(w) if near else 0.0, sum(sorted(word)[-3:])
+
+    own = [votes(v, e) for e, v in enumerate(vec)]
+    used = [e for e in range(220) if own[e][0]]
+    y, sw = np.array([bad[e] for e in used], float), np.array([weight[e] for e in used])
+    x = np.array([own[e][1:] for e in used])
+    mix = toxicity._logistic(x, y, sw)
+    assert mix == pytest.approx(ix.mix) and min(mix[1:]) > 0
+    z = np.round(mix[0] + x @ mix[1:], 9)
+    at = np.unique(z)                                                          # the best non-decreasing fit by its max-min formula
+    a, b = (np.concatenate([[0], np.cumsum([c[z == v].sum() for v in at])]) for c in (sw * y, sw))
+    fit = [max(min((a[j] - a[i]) / (b[j] - b[i]) for j in range(k + 1, len(at) + 1)) for i in range(k + 1)) for k in range(len(at))]
+
+    asked = [text[7], text[21], text[3], text[4], "vile", "vile grim w1 w2", "grim w3 w4 w5 unseen", "w1 w2 w3", None, "unseen"] + [
+        " ".join(rng.choice(some) for _ in range(20)) + rng.choice(["", " vile", " grim", " vile vile r7"]) for _ in range(40)]
+    got = toxicity.scorer(ix)(pa.array(asked))[0].to_pylist()
+    for t, s in zip(asked, got):
+        near, vote, says = votes(unit(bag(t)), -1) if bag(t) else ([], 0, 0)
+        if not near:
+            assert s == ix.empty
+            continue
+        k = min(int(np.searchsorted(at, mix @ [1, vote, says] - 1e-8)), len(at) - 1)
+        equal = [bad[e] for _, e, c in near if c > 1 - 1e-9]
+        assert s == pytest.approx((fit[k] + sum(equal)) / (1 + len(equal)), abs=1e-6), t
+    assert len(set(got)) > 4
+
+
 def test_a_copy_of_a_toxic_example_without_telling_words(spark):
     tuned(spark)
     rng = random.Random(11)
