@@ -42,8 +42,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, the one with the smallest id, of each component of near-duplicates."""
     tuned(spark)
-    chosen = simhash.near_duplicates(docs, shingle=4, distance=4)
-    return keep_rows(docs, chosen.where("kept").dropDuplicates(["doc_id", "text_hash"]))
+    return keep_rows(docs, simhash.near_duplicates(docs, shingle=4, distance=4))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +59,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Fingerprints, trained models and token ids are not expressible in SQL; the tests hold each stage against brute force or its operator.
+#: Fingerprints, trained models and token ids are not expressible in SQL; the tests hold each stage, and run() as a whole, against plain Python.
 ORACLE_SQL = None
 
 
