@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path, shared_dir, ship_package
 
@@ -67,14 +67,22 @@ def fixed_bitmap(members: DataFrame) -> Bitmap:
 
 
 def keep_rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``verdicts`` (doc_id, text_hash, kept) keeps, all columns as they were.
+    """The rows of ``docs`` that ``verdicts`` (doc_id, text_hash, kept; a row for each of ``docs``) keeps, all columns as they were.
 
     Rows are matched by id and text, so ids that are null or used twice for different texts are told apart; of rows that agree in
-    both, as many stay as were kept.
+    both, one stays where any is kept. Rows outside a bitmap of what is dropped or repeated pass as they are; only the others cross the network,
+    repeated ones combined beforehand. Beyond some ten million dropped rows the bitmap lets all through to the shuffle.
     """
-    kept = verdicts.where("kept").groupBy(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).agg(F.count(F.lit(1)).alias("__n"))
+    votes = verdicts.groupBy(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).agg(F.count(F.lit(1)).alias("__n"), F.max("kept").alias("__k"))
+    changed = stored(votes.where("__n > 1 or not __k"), "changed")
+    bits = fixed_bitmap(changed.select(F.xxhash64("__d", "__h").alias("h")))
+    flags = docs.sparkSession.createDataFrame([(i, int(w)) for i, w in enumerate(bits.words.tolist()) if w], "__at long, __word long")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("doc_id").alias("__id"),
                        F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("__t"))
-    both = rows.join(kept, F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__h")))
-    nth = F.row_number().over(Window.partitionBy("__id", "__t").orderBy("__t"))
-    return both.withColumn("__k", nth).where("__k <= __n").select("__row.*")
+    rows = rows.withColumn("__slot", F.pmod(F.xxhash64("__id", "__t"), F.lit(Bitmap.BITS)))
+    rows = rows.join(F.broadcast(flags), F.shiftright("__slot", 6) == F.col("__at"), "left")                # at most 131,072 rows
+    maybe = F.coalesce(F.expr("shiftrightunsigned(__word, cast(__slot & 63 as int)) & 1") == 1, F.lit(False))
+    one = rows.where(maybe).groupBy("__id", "__t").agg(F.any_value("__row").alias("__row"))
+    dropped = changed.where("not __k")
+    left = one.join(dropped, F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__h")), "left_anti")
+    return rows.where(~maybe).select("__row.*").unionByName(left.select("__row.*"))

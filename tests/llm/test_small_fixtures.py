@@ -245,6 +245,22 @@ def test_keep_rows_keeps_columns_and_counts(docs, rows):
     assert Counter(r.doc_id for r in got.collect()) == want
 
 
+def test_keep_rows_drops_repeats_and_carries_the_rest(spark):
+    tuned(spark)
+    rows = [(i % 40 if i % 3 else None, f"text {i % 50}", i, "x") for i in range(400)] + [(None, None, 900, None), (None, "", 901, None), (7, None, 902, "y")] + [(None, "hot", i, "z") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept int, `a.b` string")
+    keep = lambda i, t: zlib.crc32(f"{i} {t or ''}".encode()) % 3 > 0
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r[0], r[1] or ""].append(r)
+    verdicts = [(i, t, keep(i, t) and k == 0) for (i, t), g in groups.items() for k in range(len(g))]
+    seen = spark.createDataFrame(verdicts, "doc_id long, text string, kept boolean").withColumn("text_hash", F.xxhash64("text"))
+    got = [tuple(r) for r in keep_rows(docs, seen).collect()]
+    assert Counter((r[0], r[1] or "") for r in got) == Counter(k for k in groups if keep(*k)) and set(got) <= set(rows)
+    none = keep_rows(docs.where("false"), seen.where("false"))
+    assert none.columns == docs.columns and none.count() == 0
+
+
 # -- 4 ------------------------------------------------------------------------------------------------------------
 def odd_texts():
     rng = random.Random(3)
