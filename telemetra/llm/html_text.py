@@ -1,17 +1,16 @@
 """Main text of web pages by suffix arrays of their hosts.
 
-A page is cut into blocks in page order. What stands in an ``article`` (or ``main``) element is the text that the page is about; the
-words of all other blocks are the page's token stream. The streams of a host are concatenated and their suffixes sorted: neighbours that share
-at least ``run`` leading words and come from distinct pages are repeated substrings, and the words that those cover are boilerplate. A block goes when
-most of its words are covered; unique runs stay. An exact check follows: blocks that the markup itself names as menus, headers, footers,
-sidebars, notices, adverts, forms or reader comments go too, also where a host has one page only.
-
-Repeats inside an article are not boilerplate: articles are copied, and quote each other. They are kept, so their words stay out of the streams.
-Pages whose whole visible text is equal count as one page, so copies of a page without an article do not cover each other.
-
-Scale. Equal streams of a host (the usual case: one menu, one footer) are one stream with the smallest and largest page in it, so a host that holds most pages
-has few suffixes. Suffixes are dealt by ranges of (host, leading words, stream), which is the order of the array; a run of equal leading words that
-spans tasks is one summary row a task. No host, run or page set is collected in one place.
+A page is cut into blocks in page order; the words of all its blocks, the article's too, are its token stream. The streams of a host are taken together and their
+suffixes sorted: neighbours that share at least ``run`` leading words and come from distinct pages are repeated substrings, and the words that those cover are
+boilerplate. A block goes when most of its words are covered; unique runs stay. An exact check follows, by what the markup itself says: covered blocks of an ``article``
+(or ``main``) come back, as articles are copied and quote each other, and what is named as menus, headers, footers, sidebars, notices, adverts, forms or reader
+comments goes, also where a host has one page only. Pages of a host whose whole visible text is equal count as one page, so copies do not cover each other.
+
+Scale. Most suffixes have no neighbour that shares their leading words, so these are found first: each suffix sends three bytes of a hash of its host and leading words to
+one of 4096 buckets, and hashes that come twice are marked in a bitmap of fixed size. Suffixes that are not marked occur once and need no sorting; no repeated one is
+missed, and one that is marked by chance is told apart by the sort. The others are dealt by ranges of (leading words, stream), which is the order of the array. Runs
+of equal leading words that end or begin an Arrow batch are compared by one summary row a batch. No host, run or page set is collected in one place. The bitmap lets
+more through as more is repeated: 268 million marks, so beyond some hundred million distinct repeated substrings most suffixes are sorted.
 
 Defined results: null or empty html has an empty text. Character references are decoded as in HTML 5, unknown ones stay as written. White
 space inside a block, ``br`` included, is one space; empty blocks do not count. Unclosed comments, scripts and tags end with the page. Pages without
@@ -31,9 +30,11 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .tables import stored
 
 RUN = 6                                 # words that a repeated substring has at least
-WORD = 4                                # bytes of a word's code in a suffix
-KEY = 8 + RUN * WORD                    # bytes of a suffix: code of the host, then of the leading words
-SPREAD = 64                             # parts that the pages of one stream are dealt to
+WORD = 4                                # bytes of a word's code in a suffix, which the host's name enters
+KEY = RUN * WORD                        # bytes of a suffix: codes of the leading words
+BUCKETS = 1 << 12                       # of hashes of suffixes; the rest of a hash is 24 bits, of which
+MARKS = 1 << 16                         # the first 16 have a mark in the bucket's part of the bitmap
+FLUSH = 1 << 22                         # hashes that a task holds at once
 
 # Fixed values of HTML: elements that begin a block, that have no end tag, and whose content is no markup.
 BLOCKS = frozenset(("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -168,159 +169,186 @@ def blocks(page: str) -> list[tuple[str, int]]:
     return [(text, main if kind == 3 else kind) for text, kind in out]
 
 
-def stream(host: str, cut: list[tuple[str, int]]) -> tuple[bytes, bytes, list[int], list[int], bytes]:
-    """(id, words' codes, words of each block, kinds, code of the host) of what stands outside the article. A block of 0 words marks where an
-    article parts the stream; there codes of no substring meet."""
-    codes, sizes, kinds = [], [], []
-    for text, kind in cut:
-        if kind == ARTICLE:
-            if sizes and sizes[-1]:
-                sizes.append(0)
-                kinds.append(ARTICLE)
-            continue
-        words = text.split(" ")
-        codes += [xxhash.xxh32_digest(w) for w in words]
-        sizes.append(len(words))
-        kinds.append(kind)
-    joined, site = b"".join(codes), xxhash.xxh64_digest(host)
-    name = xxhash.xxh3_128_digest(site + joined + np.array(sizes + kinds, "<i4").tobytes())
-    return name, joined, sizes, kinds, site
-
-
-def _page_streams(batches):
-    for b in batches:
-        rows = []
-        for url, page, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            cut = blocks(page or "")
-            whole = xxhash.xxh3_64_intdigest("\n".join(t for t, _ in cut)) - (1 << 63)
-            rows.append((*stream(host_of(url), cut), part, whole))
-        if rows:
-            kinds = (pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["sid", "codes", "sizes", "kinds", "site", "part", "page"])
+def stream(host: str, cut: list[tuple[str, int]]) -> tuple[int, np.ndarray, list[int]]:
+    """(id, words' codes, words of each block) of a page's whole visible text. Pages of a host with equal text have one id."""
+    site = xxhash.xxh64_intdigest(host)
+    words = [text.split(" ") for text, _ in cut]
+    codes = np.array([xxhash.xxh64_intdigest(w, site) & 0xFFFFFFFF for block in words for w in block], "<u4")
+    return xxhash.xxh3_64_intdigest("\n".join(t for t, _ in cut), site) - (1 << 63), codes, [len(block) for block in words]
 
 
-def _stretches(sizes: list[int]):
-    """The stretches of words between articles: (first, last + 1)."""
-    first = at = 0
-    for n in [*sizes, 0]:
-        if n == 0:
-            yield first, at
-            first = at
-        at += n
+def hashes(codes: np.ndarray) -> np.ndarray:
+    """36 bits of a hash of each suffix's leading words; none where fewer than RUN words go on."""
+    n = max(len(codes) - RUN + 1, 0)
+    h = np.zeros(n, np.uint64)
+    for j in range(RUN):
+        h = (h ^ codes[j:n + j]) * np.uint64(0x9E3779B185EBCA87)
+        h ^= h >> np.uint64(29)
+    return h >> np.uint64(28)
 
 
-def _suffixes(batches):
-    """Every place of a stream from which at least RUN words go on: (suffix, sid, at, lo, hi)."""
+def _distinct_streams(batches):
+    """(id, codes) of the task's pages (url, html), each text once."""
+    seen = set()
     for b in batches:
-        for r in range(b.num_rows):
-            sid, codes, sizes, site, lo, hi = (b.column(i)[r].as_py() for i in range(6))
-            at = np.concatenate([np.arange(s, e - RUN + 1) for s, e in _stretches(sizes)] or [np.zeros(0, int)]).astype(np.int64)
+        for url, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            sid, codes, _ = stream(host_of(url), blocks(page or ""))
+            if sid not in seen:
+                seen.add(sid)
+                yield sid, codes
+
+
+def _bucketed(held: list[np.ndarray]):
+    """One row a bucket: the last three bytes of its hashes, at most two of a kind."""
+    h = np.sort(np.concatenate(held))
+    h = h[np.concatenate([[True, True], h[2:] != h[:-2]])[:len(h)]]
+    cuts = np.searchsorted(h, np.arange(1, BUCKETS, dtype=np.uint64) << np.uint64(24))
+    parts = np.split(h.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3], cuts)
+    rows = [(k, part.tobytes()) for k, part in enumerate(parts) if len(part)]
+    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "low"])
+
+
+def _page_hashes(batches):
+    """Hashes of all suffixes of the pages (url, html), a page's repeats once."""
+    held, n = [], 0
+    for _, codes in _distinct_streams(batches):
+        own = np.unique(hashes(codes))
+        held.append(own)
+        n += len(own)
+        if n >= FLUSH:
+            yield from _bucketed(held)
+            held, n = [], 0
+    if n:
+        yield from _bucketed(held)
+
+
+def _marked(batches):
+    """Rows in the order of buckets: each bucket's part of the bitmap, with a mark for hashes that come twice."""
+    def marks(bucket, held):
+        low = np.zeros((sum(map(len, held)) // 3, 4), np.uint8)
+        low[:, :3] = np.frombuffer(b"".join(held), np.uint8).reshape(-1, 3)
+        h = np.sort(low.view("<u4").ravel())
+        bits = np.zeros(MARKS, bool)
+        bits[h[1:][h[1:] == h[:-1]] >> 8] = True
+        if bits.any():
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bucket", "bits"])
+
+    now, held = None, []
+    for b in batches:
+        for bucket, low in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if bucket != now and held:
+                yield from marks(now, held)
+                held = []
+            now = bucket
+            held.append(low)
+    if held:
+        yield from marks(now, held)
+
+
+def marked_bits(pages: DataFrame) -> np.ndarray:
+    """The bitmap of suffixes' hashes that come twice, 32 MB whatever the number of pages."""
+    found = pages.mapInArrow(_page_hashes, "bucket int, low binary")
+    rows = found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_marked, "bucket int, bits binary")
+    bits = np.zeros((BUCKETS, MARKS // 8), np.uint8)
+    for r in rows.toLocalIterator():
+        bits[r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
+    return bits.ravel()
+
+
+def _suffixes(bits):
+    """Every marked place of a stream from which at least RUN words go on: (suffix, sid, at)."""
+    def of(batches):
+        marks = bits.value
+        for sid, codes in _distinct_streams(batches):
+            h = hashes(codes) >> np.uint64(8)
+            at = np.flatnonzero(marks[h >> np.uint64(3)] >> (7 - (h & np.uint64(7)).astype(np.uint8)) & 1)
             for part in np.array_split(at, len(at) // 20000 + 1):
                 if len(part):
-                    words = np.frombuffer(codes, np.uint8).reshape(-1, WORD)
-                    keys = np.concatenate([np.broadcast_to(np.frombuffer(site, np.uint8), (len(part), 8)), words[part[:, None] + np.arange(RUN)].reshape(len(part), -1)], axis=1)
-                    flat = pa.Array.from_buffers(pa.binary(KEY), len(part), [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([flat, pa.array([sid] * len(part), pa.binary()), pa.array(part.astype(np.int32)),
-                                                      pa.array(np.full(len(part), lo)), pa.array(np.full(len(part), hi))], names=["suffix", "sid", "at", "lo", "hi"])
+                    keys = codes[part[:, None] + np.arange(RUN)].tobytes()
+                    flat = pa.Array.from_buffers(pa.binary(KEY), len(part), [None, pa.py_buffer(keys)]).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([flat, pa.array(np.full(len(part), sid)), pa.array(part.astype(np.int32))], names=["suffix", "sid", "at"])
+    return of
 
 
 def _runs(batches):
-    """Sorted suffixes: one row (suffix, lo, hi) for each run of neighbours that share their leading words, where it comes from distinct
-    pages or may go on in another task (the first and the last run)."""
-    held, first = None, True
-
-    def batch(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.binary(), pa.int64(), pa.int64()))], names=["suffix", "lo", "hi"])
-
+    """Sorted suffixes: (sid, at) of those in a run of neighbours that share their leading words and come from distinct pages. The first and the last run of a
+    batch may go on in another: they give a row (suffix, lo, hi) too, and places with their suffix where one page is known of so far."""
     for b in batches:
         n = b.num_rows
         if not n:
             continue
-        flat = b.column(0)
+        flat, sid, at = b.column(0), b.column(1).to_numpy(), b.column(2).to_numpy()
         keys = np.frombuffer(flat.buffers()[2], np.uint8)[flat.offset * KEY:(flat.offset + n) * KEY].reshape(n, KEY)
-        lo, hi = b.column(1).to_numpy(), b.column(2).to_numpy()
         starts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1])
-        low, high = np.minimum.reduceat(lo, starts), np.maximum.reduceat(hi, starts)
-        rows = []
-        for k in range(len(starts)):
+        ends = np.append(starts[1:], n)
+        several = sid[starts] != sid[ends - 1]
+        sure = np.repeat(several, ends - starts)
+        rows = [(s, a, None, None, None) for s, a in zip(sid[sure].tolist(), at[sure].tolist())]
+        for k in sorted({0, len(starts) - 1}):
             key = keys[starts[k]].tobytes()
-            if held is not None and held[0] == key:
-                held = (key, min(held[1], int(low[k])), max(held[2], int(high[k])))
-                continue
-            if held is not None and (first or held[1] != held[2]):
-                rows.append(held)
-            first = first and held is None
-            held = (key, int(low[k]), int(high[k]))
-        if rows:
-            yield batch(rows)
-    if held is not None:
-        yield batch([held])
+            rows.append((None, None, key, int(sid[starts[k]]), int(sid[ends[k] - 1])))
+            if not several[k]:
+                rows += [(s, a, key, None, None) for s, a in zip(sid[starts[k]:ends[k]].tolist(), at[starts[k]:ends[k]].tolist())]
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["sid", "at", "suffix", "lo", "hi"])
 
 
-def _verdicts(batches):
-    """(sid, keep, covered): for each entry of a stream whether its block stays, and how many words repeated substrings cover."""
+def _covers(batches):
+    """(sid, cover): the stretches of words, as (first, last + 1), that repeated substrings beginning at ``at`` cover."""
     for b in batches:
-        rows = []
-        for r in range(b.num_rows):
-            sid, sizes, kinds, at = (b.column(i)[r].as_py() for i in range(4))
-            ends = np.cumsum(sizes, dtype=np.int64)
-            depth = np.zeros(int(ends[-1]) + 1 if len(ends) else 1, np.int64)
-            if at:
-                np.add.at(depth, np.array(at), 1)
-                np.add.at(depth, np.array(at) + RUN, -1)
-            total = np.concatenate([[0], np.cumsum(np.cumsum(depth[:-1]) > 0)])
-            keep = []
-            for n, end, kind in zip(sizes, ends.tolist(), kinds):
-                covered = int(total[end] - total[end - n])
-                keep.append(kind == OPEN and 2 * covered <= n)       # unique runs stay, named surroundings do not
-            rows.append((sid, keep, int(total[-1])))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.binary(), pa.list_(pa.bool_()), pa.int64()))], names=["sid", "keep", "covered"])
+        covers = []
+        for places in b.column(1).to_pylist():
+            at = np.unique(np.array(places, np.int64))
+            parts = np.flatnonzero(at[1:] > at[:-1] + RUN) + 1
+            firsts, lasts = at[np.concatenate([[0], parts])], at[np.append(parts - 1, len(at) - 1)] + RUN
+            covers.append([{"first": f, "end": e} for f, e in zip(firsts.tolist(), lasts.tolist())])
+        kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(covers, kind)], names=["sid", "cover"])
 
 
 def _page_texts(batches):
-    """Blocks of the article and open ones, each with its place in the stream (-1: of the article)."""
+    """Blocks but for named surroundings, each with its place in the stream."""
     for b in batches:
         rows = []
         for url, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             cut = blocks(page or "")
-            sid, _, sizes, _, _ = stream(host_of(url), cut)
-            entries = iter([i for i, n in enumerate(sizes) if n])
-            texts = [{"text": t, "entry": -1 if kind == ARTICLE else next(entries), "open": kind != SURROUNDINGS} for t, kind in cut]
-            rows.append((sid, [{"text": x["text"], "entry": x["entry"]} for x in texts if x["open"]]))
+            sid, _, sizes = stream(host_of(url), cut)
+            firsts = np.cumsum([0, *sizes]).tolist()
+            rows.append((sid, [{"text": t, "first": f, "n": n, "article": kind == ARTICLE} for (t, kind), f, n in zip(cut, firsts, sizes) if kind != SURROUNDINGS]))
         if rows:
-            texts = pa.list_(pa.struct([("text", pa.string()), ("entry", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(2, b.num_columns)), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], texts)],
+            texts = pa.list_(pa.struct([("text", pa.string()), ("first", pa.int32()), ("n", pa.int32()), ("article", pa.bool_())]))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(2, b.num_columns)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], texts)],
                                              names=[*b.schema.names[2:], "sid", "texts"])
 
 
-def repeats(streams: DataFrame) -> DataFrame:
-    """The suffixes' leading words that distinct pages of a host share: (suffix)."""
-    rows = streams.select("sid", "codes", "sizes", "site", "lo", "hi").mapInArrow(_suffixes, "suffix binary, sid binary, at int, lo long, hi long")
-    order = rows.repartitionByRange("suffix", "sid", "at").sortWithinPartitions("suffix").select("suffix", "lo", "hi")
-    runs = order.mapInArrow(_runs, "suffix binary, lo long, hi long")
-    return runs.groupBy("suffix").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("suffix")
+def repeats(pages: DataFrame) -> DataFrame:
+    """The stretches of each stream that substrings repeated on other pages of the host cover: (sid, cover). ``pages``: url, html."""
+    bits = pages.sparkSession.sparkContext.broadcast(marked_bits(pages))
+    rows = pages.mapInArrow(_suffixes(bits), "suffix binary, sid long, at int")
+    order = rows.repartitionByRange("suffix", "sid").sortWithinPartitions("suffix", "sid")
+    found = stored(order.mapInArrow(_runs, "sid long, at int, suffix binary, lo long, hi long"), "repeats")
+    several = found.where("lo is not null").groupBy("suffix").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("suffix")
+    more = found.where("sid is not null and suffix is not null").join(several, "suffix")
+    places = found.where("sid is not null and suffix is null").select("sid", "at").unionByName(more.select("sid", "at"))
+    return places.groupBy("sid").agg(F.collect_set("at").alias("at")).mapInArrow(_covers, "sid long, cover array<struct<first:int,end:int>>")    # at most the words of one page
 
 
 def extract(pages: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``pages`` (url, html) plus ``text``, the main text, ``n_chars`` and ``covered``, the words outside
-    the article that substrings repeated on other pages of the host cover."""
+    """``keep`` columns of ``pages`` (url, html) plus ``text``, the main text, ``n_chars`` and ``covered``, the page's words
+    that substrings repeated on other pages of the host cover."""
     held = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]
-    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in keep]), F.lit(SPREAD)).cast("int").alias("part")
-    source = pages.select(F.col("url").cast("string").alias("__url"), F.col("html").cast("string").alias("__html"), part, *held)
-    found = source.select("__url", "__html", "part").mapInArrow(_page_streams, "sid binary, codes binary, sizes array<int>, kinds array<int>, site binary, part int, page long")
-    once = [F.any_value(c).alias(c) for c in ("codes", "sizes", "kinds", "site")]
-    parts = stored(found.groupBy("sid", "part").agg(*once, F.min("page").alias("lo"), F.max("page").alias("hi")), "stream-parts")
-    streams = stored(parts.groupBy("sid").agg(*once, F.min("lo").alias("lo"), F.max("hi").alias("hi")), "streams")
-    shared = stored(repeats(streams), "repeats")
-    places = streams.select("sid", "codes", "sizes", "site", "lo", "hi").mapInArrow(_suffixes, "suffix binary, sid binary, at int, lo long, hi long").select("suffix", "sid", "at")
-    covered = places.join(shared, "suffix").groupBy("sid").agg(F.collect_list("at").alias("at"))       # at most the words of one stream
-    verdicts = streams.select("sid", "sizes", "kinds").join(covered, "sid", "left").mapInArrow(_verdicts, "sid binary, keep array<boolean>, covered long")
-    dealt = stored(parts.select("sid", "part").join(verdicts, "sid"), "verdicts")
-    fields = [T.StructField("part", T.IntegerType())] + [T.StructField(f"k{i}", pages.schema[c].dataType) for i, c in enumerate(keep)]
-    texts = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("entry", T.IntegerType())]))
-    cut = source.mapInArrow(_page_texts, T.StructType(fields + [T.StructField("sid", T.BinaryType()), T.StructField("texts", texts)]))
-    both = cut.join(dealt, ["sid", "part"])
-    stays = F.filter("texts", lambda x: (x["entry"] < 0) | F.element_at(F.col("keep"), F.greatest(x["entry"], F.lit(0)) + 1))
+    source = pages.select(F.col("url").cast("string").alias("__url"), F.col("html").cast("string").alias("__html"), *held)
+    covers = stored(repeats(source.select("__url", "__html")), "covers")
+    fields = [T.StructField(f"k{i}", pages.schema[c].dataType) for i, c in enumerate(keep)]
+    block = T.StructType([T.StructField("text", T.StringType()), T.StructField("first", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("article", T.BooleanType())])
+    cut = source.mapInArrow(_page_texts, T.StructType(fields + [T.StructField("sid", T.LongType()), T.StructField("texts", T.ArrayType(block))]))
+    both = cut.join(covers, "sid", "left").withColumn("cover", F.coalesce("cover", F.expr("cast(array() as array<struct<first:int,end:int>>)")))
+
+    def words(first, end):
+        return F.aggregate("cover", F.lit(0), lambda n, c: n + F.greatest(F.lit(0), F.least(c["end"], end) - F.greatest(c["first"], first)))
+
+    # unique runs stay; so does the article, covered or not
+    stays = F.filter("texts", lambda x: x["article"] | (2 * words(x["first"], x["first"] + x["n"]) <= x["n"]))
     text = F.array_join(F.transform(stays, lambda x: x["text"]), "\n")
-    return both.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], text.alias("text"), "covered").withColumn("n_chars", F.length("text").cast("long"))
+    covered = F.aggregate("cover", F.lit(0).cast("long"), lambda n, c: n + c["end"] - c["first"])
+    return both.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], text.alias("text"), covered.alias("covered")).withColumn("n_chars", F.length("text").cast("long"))

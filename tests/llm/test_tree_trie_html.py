@@ -309,6 +309,18 @@ def test_covered_words_equal_brute_force(spark):
     assert {r.page_id: r.covered for r in got} == plain_cover(streams)
 
 
+def test_articles_are_part_of_the_streams(spark):
+    words = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    quote, menu = words("q", 7), words("m", 4)
+    # menu and advert are too short to repeat by themselves, but go on into the article
+    rows = [(i, "http://a.example/%d" % i, f"<div>{menu}</div><article><p>{quote}</p><p>{words(i, 9)}</p></article>") for i in range(5)]
+    rows += [(9, "http://b.example/", rows[0][2]), (10, "http://a.example/copy", rows[0][2]), (11, "http://a.example/0", rows[0][2])]
+    got = {r.page_id: r for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4), ["page_id"]).collect()}
+    for i in (0, 1, 2, 3, 4, 10, 11):
+        assert (got[i].covered, got[i].text) == (11, f"{quote}\n{words(0 if i > 4 else i, 9)}")
+    assert (got[9].covered, got[9].text) == (0, f"{menu}\n{quote}\n{words(0, 9)}")
+
+
 CASES = [
     (None, ""), ("", ""), ("  \n ", ""), ("plain &amp; simple", "plain & simple"), ("<p>a<p>b", "a\nb"), ("a &lt;b&gt; &#x41;&nbsp;&eacute; &nosuch; &am", "a <b> A é &nosuch; &am"),
     ("<article><p>wor<b>d</b> one<br>two\n\tthree</p></article>", "word one two three"), ("<nav>menu</nav><article>t</article><footer>f</footer>", "t"),
