@@ -169,12 +169,15 @@ def blocks(page: str) -> list[tuple[str, int]]:
     return [(text, main if kind == 3 else kind) for text, kind in out]
 
 
-def stream(host: str, cut: list[tuple[str, int]]) -> tuple[int, np.ndarray, list[int]]:
-    """(id, words' codes, words of each block) of a page's whole visible text. Pages of a host with equal text have one id."""
+def stream_id(host: str, cut: list[tuple[str, int]]) -> int:
+    """Names a page's whole visible text. Pages of a host with equal text have one id."""
+    return xxhash.xxh3_64_intdigest("\n".join(t for t, _ in cut), xxhash.xxh64_intdigest(host)) - (1 << 63)
+
+
+def stream(host: str, cut: list[tuple[str, int]]) -> np.ndarray:
+    """The codes of all words of a page."""
     site = xxhash.xxh64_intdigest(host)
-    words = [text.split(" ") for text, _ in cut]
-    codes = np.array([xxhash.xxh64_intdigest(w, site) & 0xFFFFFFFF for block in words for w in block], "<u4")
-    return xxhash.xxh3_64_intdigest("\n".join(t for t, _ in cut), site) - (1 << 63), codes, [len(block) for block in words]
+    return np.frombuffer(b"".join([xxhash.xxh64_digest(w, site) for text, _ in cut for w in text.split(" ")]), ">u8").astype("<u4")
 
 
 def hashes(codes: np.ndarray) -> np.ndarray:
@@ -192,10 +195,11 @@ def _distinct_streams(batches):
     seen = set()
     for b in batches:
         for url, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            sid, codes, _ = stream(host_of(url), blocks(page or ""))
+            host, cut = host_of(url), blocks(page or "")
+            sid = stream_id(host, cut)
             if sid not in seen:
                 seen.add(sid)
-                yield sid, codes
+                yield sid, stream(host, cut)
 
 
 def _bucketed(held: list[np.ndarray]):
@@ -312,9 +316,9 @@ def _page_texts(batches):
         rows = []
         for url, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             cut = blocks(page or "")
-            sid, _, sizes = stream(host_of(url), cut)
+            sizes = [text.count(" ") + 1 for text, _ in cut]
             firsts = np.cumsum([0, *sizes]).tolist()
-            rows.append((sid, [{"text": t, "first": f, "n": n, "article": kind == ARTICLE} for (t, kind), f, n in zip(cut, firsts, sizes) if kind != SURROUNDINGS]))
+            rows.append((stream_id(host_of(url), cut), [{"text": t, "first": f, "n": n, "article": kind == ARTICLE} for (t, kind), f, n in zip(cut, firsts, sizes) if kind != SURROUNDINGS]))
         if rows:
             texts = pa.list_(pa.struct([("text", pa.string()), ("first", pa.int32()), ("n", pa.int32()), ("article", pa.bool_())]))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(2, b.num_columns)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], texts)],
