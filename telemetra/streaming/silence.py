@@ -9,10 +9,11 @@ its limit, by a timer, without a further reading.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+import numpy as np
+from pyspark.sql import DataFrame, Row, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .. import config as C
@@ -22,66 +23,96 @@ from ..operators.warehouse import join_dimension
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OPEN, ENDED = "open", "ended"
+CHUNK = 256                             # buckets of a state entry
+AT_ONCE = 20_000                        # readings of a device that are looked at together
+NO_ID = (1 << 63) - 1                   # stands for a missing id, after all others
 ALARM = T.StructType([T.StructField(C.DEVICE, T.StringType()), T.StructField(C.READING_ID, T.LongType()), T.StructField("silent_after", T.LongType()),
                       T.StructField("until", T.LongType()), T.StructField("limit", T.LongType()), T.StructField("kind", T.StringType())])
 
 
+def _merged(parts: list):
+    """First and last readings of several lists of buckets, each bucket once and ascending."""
+    if not parts:
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
+    bucket, t0, i0, t1, i1 = (np.concatenate(c) for c in zip(*parts))
+    first, last = np.lexsort((i0, t0, bucket)), np.lexsort((i1, t1, bucket))
+    edge = np.flatnonzero(np.diff(bucket[first]))
+    a, b = first[np.concatenate([[0], edge + 1])], last[np.append(edge, len(last) - 1)]
+    return bucket[a], t0[a], i0[a], t1[b], i1[b]
+
+
 class SilenceProcessor(StatefulProcessor):
-    """Rows (device, micros, limit_micros, reading_id), times in microseconds. Emits ``open`` when a silence passes the limit and ``ended`` when a reading ends it."""
+    """Rows (device, micros, limit_micros, reading_id), times in microseconds. Emits ``open`` when a silence passes the limit and ``ended`` when a reading ends it.
+
+    Each call on the state is a message to the store, so buckets wait in chunks of ``CHUNK``: one entry each, four numbers (first and last time and id) a bucket."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "t long, id long, limit long, alarmed boolean")
-        self.buckets = handle.getMapState("buckets", "bucket long", "t0 long, id0 long, t1 long, id1 long")
+        self.last = handle.getValueState("last", "t long, id long, limit long, alarmed boolean, wake long")
+        self.chunks = handle.getMapState("chunks", "chunk long", "bucket array<long>, t0 array<long>, id0 array<long>, t1 array<long>, id1 array<long>")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        limit = self.last.get()[2] if self.last.exists() else None
-        for part in rows:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        state = self.last.get() if self.last.exists() else None
+        limit, fresh = state[2] if state else None, []
+        while part := [(r["micros"], r[C.READING_ID], r["limit_micros"]) for r in itertools.islice(rows, AT_ONCE)]:
             if limit is None:
-                limit = int(part["limit_micros"].iloc[0])
-                self.last.update((None, None, limit, False))
-            part = part.sort_values(["micros", C.READING_ID])
-            for bucket, held in part.groupby(part["micros"] // limit, sort=False):
-                a, b = held.iloc[0], held.iloc[-1]
-                new = [(int(a["micros"]), int(a[C.READING_ID])), (int(b["micros"]), int(b[C.READING_ID]))]
-                if self.buckets.containsKey((int(bucket),)):
-                    t0, i0, t1, i1 = self.buckets.getValue((int(bucket),))
-                    new = [min(new[0], (t0, i0)), max(new[1], (t1, i1))]
-                self.buckets.updateValue((int(bucket),), (*new[0], *new[1]))
-        yield from self._settle(key, timerValues)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._settle(key, timerValues)
-
-    def _settle(self, key, timerValues) -> Iterator[pd.DataFrame]:
-        """Compare what the watermark has passed, and wake up when it next passes something."""
+                limit = part[0][2]
+            t, i, _ = np.array(part, np.int64).T
+            fresh = [_merged([*fresh, (t // limit, t, i, t, i)])]         # two readings a bucket are held, however many there are
+        old = self._chunks() if state else {}
+        held = _merged([*old.values(), *fresh])
+        yield from self._settle(key, timerValues, state or (None, None, limit, False, None), old, held)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        old = self._chunks()
+        yield from self._settle(key, timerValues, self.last.get(), old, _merged(list(old.values())))
+
+    def _chunks(self) -> dict:
+        return {k[0]: tuple(np.array(c, np.int64) for c in v) for k, v in self.chunks.iterator()}
+
+    def _settle(self, key, timerValues, state, old, held) -> Iterator[Row]:
+        """Compare what the watermark has passed, keep the rest and wake up when the watermark next passes something."""
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        t, i, limit, alarmed = self.last.get()
-        waiting = sorted((k[0], v) for k, v in self.buckets.iterator())
+        t, i, limit, alarmed, woken = state
+        bucket, t0, i0, t1, i1 = held
+        done = int(np.searchsorted(bucket, now // limit))         # those whose end, (bucket + 1) * limit, has passed
         out = []
-        for bucket, (t0, i0, t1, i1) in waiting:
-            if (bucket + 1) * limit > now:
-                break
-            if t is not None and t0 - t > limit:
-                if not alarmed:
-                    out.append((key[0], i, t, None, limit, OPEN))
-                out.append((key[0], i, t, t0, limit, ENDED))
-            t, i, alarmed = t1, i1, False
-            self.buckets.removeKey((bucket,))
-        left = [b for b in waiting if (b[0] + 1) * limit > now]
+        if done:
+            before = np.concatenate([[t0[0] if t is None else t], t1[:done - 1]])
+            for k in np.flatnonzero(t0[:done] - before > limit).tolist():
+                after, who = (int(t1[k - 1]), int(i1[k - 1])) if k else (t, i)
+                if k or not alarmed:
+                    out.append((key[0], who, after, None, limit, OPEN))
+                out.append((key[0], who, after, int(t0[k]), limit, ENDED))
+            t, i, alarmed = int(t1[done - 1]), int(i1[done - 1]), False
+        left = tuple(c[done:] for c in held)
         # silent as far as is known: no reading waits that the limit would cover
-        if t is not None and not alarmed and now > t + limit and (not left or left[0][1][0] - t > limit):
+        if t is not None and not alarmed and now > t + limit and (not len(left[0]) or int(left[1][0]) - t > limit):
             out.append((key[0], i, t, None, limit, OPEN))
             alarmed = True
-        self.last.update((t, i, limit, alarmed))
-        for wake in self.handle.listTimers():
-            self.handle.deleteTimer(wake)
-        wakes = [(b[0] + 1) * limit for b in left[:1]] + ([t + limit + 1] if t is not None and not alarmed else [])
-        if wakes:
-            self.handle.registerTimer(max(-(-min(wakes) // 1000), now // 1000 + 1))
-        if out:
-            # whole numbers that may be missing
-            yield pd.DataFrame(out, columns=ALARM.names).astype({C.READING_ID: "Int64", "silent_after": "Int64", "until": "Int64", "limit": "Int64"})
+        self._keep(old, left)
+        wakes = [(int(left[0][0]) + 1) * limit] if len(left[0]) else []
+        wakes += [t + limit + 1] if t is not None and not alarmed else []
+        wake = max(-(-min(wakes) // 1000), now // 1000 + 1) if wakes else None
+        if wake != woken:
+            if woken is not None and woken > now // 1000:         # one that has fired is gone
+                self.handle.deleteTimer(woken)
+            if wake is not None:
+                self.handle.registerTimer(wake)
+        self.last.update((t, i, limit, alarmed, wake))
+        alarm = Row(*ALARM.names)
+        yield from (alarm(*r) for r in out)
+
+    def _keep(self, old, left) -> None:
+        """Write the chunks that differ from the stored ones; those of which nothing waits go."""
+        chunk = left[0] // CHUNK
+        starts = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]])) if len(chunk) else np.zeros(0, np.int64)
+        waiting = {int(chunk[a]): tuple(c[a:b] for c in left) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(chunk)])}
+        for k in old.keys() - waiting.keys():
+            self.chunks.removeKey((k,))
+        for k, v in waiting.items():
+            if k not in old or not all(np.array_equal(x, y) for x, y in zip(v, old[k])):
+                self.chunks.updateValue((k,), tuple(c.tolist() for c in v))
 
     def close(self) -> None:
         pass
@@ -98,14 +129,14 @@ def silence_alarms(readings: DataFrame, limits: DataFrame, default_seconds: int
     dtype = readings.schema[C.TIMESTAMP].dataType
     limit = F.coalesce("limit_seconds", F.lit(default_seconds).cast("long"))
     micros = epoch_micros(C.TIMESTAMP, dtype)
-    rows = (join_dimension(readings.select(C.DEVICE, C.TIMESTAMP, F.col(C.READING_ID).cast("long").alias(C.READING_ID)), limits.select(C.DEVICE, "limit_seconds"))
+    rows = (join_dimension(readings.select(C.DEVICE, C.TIMESTAMP, F.coalesce(F.col(C.READING_ID).cast("long"), F.lit(NO_ID)).alias(C.READING_ID)), limits.select(C.DEVICE, "limit_seconds"))
             .select(C.DEVICE, F.timestamp_micros(micros).alias("event_time"), micros.alias("micros"), F.when(limit.isNotNull(), F.greatest(limit, F.lit(1)) * 1_000_000).cast("long").alias("limit_micros"), C.READING_ID)
             .filter(F.col(C.DEVICE).isNotNull() & F.col("micros").isNotNull() & F.col("limit_micros").isNotNull())
             .withWatermark("event_time", delay))
-    alarms = rows.groupBy(C.DEVICE).transformWithStateInPandas(SilenceProcessor(), ALARM, "Append", "EventTime")
+    alarms = rows.groupBy(C.DEVICE).transformWithState(SilenceProcessor(), ALARM, "Append", "EventTime")
     wall = "timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(cast({0} as decimal(20,0)) / 1000000 as decimal(18,6)))"
     time = lambda c: F.expr(wall.format(c)) if dtype == T.TimestampNTZType() else F.timestamp_micros(c)
-    return alarms.select(C.DEVICE, C.READING_ID, time("silent_after").alias("silent_after"), time("until").alias("until"), F.floor(F.col("limit") / 1_000_000).alias("limit_seconds"), "kind")
+    return alarms.select(C.DEVICE, F.nullif(F.col(C.READING_ID), F.lit(NO_ID)).alias(C.READING_ID), time("silent_after").alias("silent_after"), time("until").alias("until"), F.floor(F.col("limit") / 1_000_000).alias("limit_seconds"), "kind")
 
 
 def keyed_state(spark) -> None:

@@ -76,3 +76,69 @@ def test_readings_sent_again(spark, tmp_out):
     want = sorted((min(i for u, e, i in rows if (u, e) == k), *k) for k in keys)
     assert sorted((r.reading_id, r.timestamp, r.device_id) for r in S.once(batch).filter("timestamp IS NOT NULL AND device_id IS NOT NULL").collect()) == want
     assert S.once(batch).count() == len(keys) + 3
+
+
+class Store:
+    """The state of one device, and the messages sent to it."""
+
+    def __init__(self):
+        self.value, self.map, self.timers, self.calls = {}, {}, set(), 0
+
+    def __getattr__(self, name):
+        return {"getValueState": lambda k, *_: Part(self, self.value, k), "getMapState": lambda k, *_: Part(self, self.map, None)}[name]
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.discard(at)
+
+    def listTimers(self):
+        self.calls += 1
+        return iter(sorted(self.timers))
+
+
+class Part:
+    def __init__(self, store, held, key):
+        self.store, self.held, self.key = store, held, key
+
+    def __getattr__(self, name):
+        self.store.calls += 1
+        h, k = self.held, self.key
+        return {"exists": lambda: k in h, "get": lambda: h.get(k), "update": lambda v: h.update({k: v}), "containsKey": lambda x: x in h, "getValue": lambda x: h.get(x),
+                "updateValue": lambda x, v: h.update({x: v}), "removeKey": lambda x: h.pop(x), "iterator": lambda: iter(list(h.items()))}[name]
+
+
+class Clock:
+    def __init__(self, millis):
+        self.millis = millis
+
+    def getCurrentWatermarkInMs(self):
+        return self.millis
+
+
+def test_messages_to_the_store_do_not_grow_with_the_buckets():
+    from pyspark.sql import Row
+    store, limit, n = Store(), 10**6, 3000
+    p = S.SilenceProcessor()
+    p.init(store)
+    rows = [Row(device_id="d", micros=k * limit + (k % 7) * 1000 + 10 * r, limit_micros=limit, reading_id=2 * k + r) for k in range(n) for r in range(2) if k % 10]
+    want = [(a.reading_id, a.micros, b.micros) for a, b in zip(rows, rows[1:]) if b.micros - a.micros > limit]
+    random.Random(1).shuffle(rows)
+    assert list(p.handleInputRows(("d",), iter(rows), Clock(0))) == []
+    out = list(p.handleExpiredTimer(("d",), Clock(n * 1000), None))
+    assert [(r.reading_id, r.silent_after, r.until) for r in out if r.kind == S.ENDED] == want and len(out) == 2 * len(want) and len(want) > 299
+    assert store.calls < 60 and not store.map
+
+
+def test_readings_without_an_id(spark, tmp_out):
+    S.keyed_state(spark)
+    rows = [(T0, "d", None), (T0 + dt.timedelta(hours=1), "d", 5), (T0 + dt.timedelta(hours=2), "d", None), (T0 + dt.timedelta(days=3), "e", 7)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_out}/in")
+    stream = spark.readStream.schema(spark.createDataFrame(rows[:1], SCHEMA).schema).parquet(f"{tmp_out}/in")
+    limits = spark.createDataFrame([("d", 600), ("e", 600)], LIMITS)
+    got = run_to_parquet(spark, S.silence_alarms(stream, limits), "x", work=f"{tmp_out}/work").collect()
+    assert sorted((r.reading_id or 0, r.silent_after, r.until) for r in got if r.kind == S.ENDED) == [(0, T0, rows[1][0]), (5, rows[1][0], rows[2][0])]
+    assert [(r.reading_id, r.silent_after) for r in got if r.kind == S.OPEN and r.silent_after == rows[2][0]] == [(None, rows[2][0])]
