@@ -11,6 +11,7 @@ one of 4096 buckets, and hashes that come twice are marked in a bitmap of fixed
 missed, and one that is marked by chance is told apart by the sort. The others are dealt by ranges of (leading words, stream), which is the order of the array. Runs
 of equal leading words that end or begin an Arrow batch are compared by one summary row a batch. No host, run or page set is collected in one place. The bitmap lets
 more through as more is repeated: 268 million marks, so beyond some hundred million distinct repeated substrings most suffixes are sorted.
+The page's text goes to its covers as one compressed value a page, with the places of the blocks that they decide on.
 
 Defined results: null or empty html has an empty text. Character references are decoded as in HTML 5, unknown ones stay as written. White
 space inside a block, ``br`` included, is one space; empty blocks do not count. Unclosed comments, scripts and tags end with the page. Pages without
@@ -21,6 +22,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,8 @@ KEY = RUN * WORD                        # bytes of a suffix: codes of the leadin
 BUCKETS = 1 << 12                       # of hashes of suffixes; the rest of a hash is 24 bits, of which
 MARKS = 1 << 16                         # the first 16 have a mark in the bucket's part of the bitmap
 FLUSH = 1 << 22                         # hashes that a task holds at once
+PART = 1 << 16                          # bytes of a text whose words are hashed together
+CHARS = 1 << 22                         # characters of texts in a batch of results
 
 # Fixed values of HTML: elements that begin a block, that have no end tag, and whose content is no markup.
 BLOCKS = frozenset(("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -55,7 +60,7 @@ HEADS = frozenset("header head".split())             # in an article a header ma
 PREFIXES = frozenset("has with without no is js".split())        # "has-sidebar" is said of what stands beside one
 UNNAMED = frozenset("html body main h1 h2 h3 h4 h5 h6".split())  # their class says nothing of the kind
 
-_ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+"
+_ATTRIBUTES = r"(?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+"
 _MARK = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<({RAW})(?=[\s/>]){_ATTRIBUTES}>(?:.*?</\1(?=[\s/>])[^>]*+(?:>|\Z)|.*\Z)"
                    rf"|<(/?)([a-z][^\s/>]*+)({_ATTRIBUTES})>|<[!?/][^>]*+(?:>|\Z)|<[a-z][^>]*+\Z", re.S | re.I)
 _ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -89,6 +94,8 @@ def is_named(element: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+_is_named = lru_cache(1 << 14)(is_named)
+
 ARTICLE, SURROUNDINGS, OPEN = 0, 1, 2
 
 
@@ -101,6 +108,8 @@ def blocks(page: str) -> list[tuple[str, int]]:
     named = 0
 
     def flush():
+        if not held:
+            return
         text = " ".join(entities.unescape("".join(held)).split())
         held.clear()
         if text:
@@ -131,15 +140,17 @@ def blocks(page: str) -> list[tuple[str, int]]:
 
     at = 0
     for m in _MARK.finditer(page):
-        if m.start() > at:
-            held.append(page[at:m.start()])
-        at = m.end()
-        if m.group(3) is None:
+        start, stop = m.span()
+        if start > at:
+            held.append(page[at:start])
+        at = stop
+        _, closes, element, attributes = m.groups()
+        if element is None:
             continue
-        element, attributes = m.group(3).lower(), m.group(4)
+        element = element.lower()
         if element in BLOCKS:
             flush()
-        if m.group(2):
+        if closes:
             end(element)
             continue
         if element == "br":
@@ -156,7 +167,7 @@ def blocks(page: str) -> list[tuple[str, int]]:
             if k >= 0 and (stack[k][0] == "p" or stack[k][0] in SIBLINGS.get(element, ())):
                 while len(stack) > k:
                     pop()
-        surrounds = is_named(element, attributes, bool(count.get("article")))
+        surrounds = (_is_named if len(attributes) < 256 else is_named)(element, attributes, bool(count.get("article")))
         if surrounds:
             flush()
         stack.append((element, surrounds))
@@ -174,10 +185,44 @@ def stream_id(host: str, cut: list[tuple[str, int]]) -> int:
     return xxhash.xxh3_64_intdigest("\n".join(t for t, _ in cut), xxhash.xxh64_intdigest(host)) - (1 << 63)
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """64-bit numbers, well spread."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _weights(n: int) -> np.ndarray:
+    """A factor for each byte of a word."""
+    return _mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+_WEIGHTS = _weights(256)
+
+
+def _word_hashes(text: bytes) -> np.ndarray:
+    """Sums of each word's bytes by the factors of their places; words are parted by one space."""
+    b = np.frombuffer(text, np.uint8)
+    ends = np.append(np.flatnonzero(b == 32), len(b))
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    sizes = ends - starts
+    place = np.arange(len(b)) - np.repeat(starts, sizes + 1)[:-1]
+    longest = int(sizes.max()) + 1
+    terms = (_WEIGHTS if longest <= len(_WEIGHTS) else _weights(longest))[place] * (b.astype(np.uint64) + np.uint64(1))
+    terms[ends[:-1]] = 0
+    return np.add.reduceat(terms, starts)
+
+
 def stream(host: str, cut: list[tuple[str, int]]) -> np.ndarray:
     """The codes of all words of a page."""
-    site = xxhash.xxh64_intdigest(host)
-    return np.frombuffer(b"".join([xxhash.xxh64_digest(w, site) for text, _ in cut for w in text.split(" ")]), ">u8").astype("<u4")
+    text = " ".join([t for t, _ in cut]).encode()
+    site, at, out = np.uint64(xxhash.xxh64_intdigest(host)), 0, [np.zeros(0, np.uint64)]
+    while at < len(text):
+        stop = text.find(b" ", at + PART)
+        stop = len(text) if stop < 0 else stop
+        out.append(_word_hashes(text[at:stop]))
+        at = stop + 1
+    return (_mixed(np.concatenate(out) ^ site) >> np.uint64(32)).astype("<u4")
 
 
 def hashes(codes: np.ndarray) -> np.ndarray:
@@ -216,7 +261,10 @@ def _page_hashes(batches):
     """Hashes of all suffixes of the pages (url, html), a page's repeats once."""
     held, n = [], 0
     for _, codes in _distinct_streams(batches):
-        own = np.unique(hashes(codes))
+        own = np.sort(hashes(codes))
+        if not len(own):
+            continue
+        own = own[np.concatenate([[True], own[1:] != own[:-1]])]
         held.append(own)
         n += len(own)
         if n >= FLUSH:
@@ -249,31 +297,76 @@ def _marked(batches):
         yield from marks(now, held)
 
 
-def marked_bits(pages: DataFrame) -> np.ndarray:
+class Bits:
+    """The bitmap. Few marks are set where little is repeated, so it travels compressed."""
+
+    def __init__(self, marks: np.ndarray):
+        self.marks = marks
+
+    def __reduce__(self):
+        return _unpacked, (zlib.compress(self.marks, 1),)
+
+
+def _unpacked(packed: bytes) -> Bits:
+    return Bits(np.frombuffer(zlib.decompress(packed, bufsize=BUCKETS * MARKS // 8), np.uint8))
+
+
+def marked_bits(pages: DataFrame) -> Bits:
     """The bitmap of suffixes' hashes that come twice, 32 MB whatever the number of pages."""
     found = pages.mapInArrow(_page_hashes, "bucket int, low binary")
     rows = found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_marked, "bucket int, bits binary")
     bits = np.zeros((BUCKETS, MARKS // 8), np.uint8)
     for r in rows.toLocalIterator():
         bits[r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
-    return bits.ravel()
+    return Bits(bits.ravel())
 
 
-def _suffixes(bits):
-    """Every marked place of a stream from which at least RUN words go on: (suffix, sid, at)."""
+def _stretch_words(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ascending places from which RUN words are needed: all those words' places, each once, and where each place is among them."""
+    gaps = np.diff(at, prepend=at[0])
+    where = np.cumsum(np.minimum(gaps, RUN))
+    words = np.empty(where[-1] + RUN, np.int64)
+    for j in range(RUN):
+        words[where + j] = at + j
+    return words, where
+
+
+def _stretches(bits):
+    """The marked places of each stream from which at least RUN words go on, as bits, and the codes of the words from there."""
     def of(batches):
-        marks = bits.value
+        marks, rows, size = bits.value.marks, [], 0
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], names=["sid", "places", "codes"])
+
         for sid, codes in _distinct_streams(batches):
             h = hashes(codes) >> np.uint64(8)
-            at = np.flatnonzero(marks[h >> np.uint64(3)] >> (7 - (h & np.uint64(7)).astype(np.uint8)) & 1)
-            for part in np.array_split(at, len(at) // 20000 + 1):
-                if len(part):
-                    keys = codes[part[:, None] + np.arange(RUN)].tobytes()
-                    flat = pa.Array.from_buffers(pa.binary(KEY), len(part), [None, pa.py_buffer(keys)]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([flat, pa.array(np.full(len(part), sid)), pa.array(part.astype(np.int32))], names=["suffix", "sid", "at"])
+            there = marks[h >> np.uint64(3)] >> (7 - (h & np.uint64(7)).astype(np.uint8)) & 1
+            if there.any():
+                words, _ = _stretch_words(np.flatnonzero(there))
+                rows.append((sid, np.packbits(there).tobytes(), codes[words].tobytes()))
+                size += len(codes)
+                if size >= FLUSH >> 3:
+                    yield batch()
+                    rows, size = [], 0
+        if rows:
+            yield batch()
     return of
 
 
+def _suffixes(batches):
+    """Every marked place as (suffix, sid, at)."""
+    for b in batches:
+        for sid, places, codes in zip(*(c.to_pylist() for c in b.columns)):
+            at = np.flatnonzero(np.unpackbits(np.frombuffer(places, np.uint8)))
+            codes, (_, where) = np.frombuffer(codes, "<u4"), _stretch_words(at)
+            for k in range(0, len(at), 20000):
+                part = at[k:k + 20000]
+                keys = codes[where[k:k + 20000, None] + np.arange(RUN)].tobytes()
+                flat = pa.Array.from_buffers(pa.binary(KEY), len(part), [None, pa.py_buffer(keys)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([flat, pa.array(np.full(len(part), sid)), pa.array(part.astype(np.int32))], names=["suffix", "sid", "at"])
+
+
 def _runs(batches):
     """Sorted suffixes: (sid, at) of those in a run of neighbours that share their leading words and come from distinct pages. The first and the last run of a
     batch may go on in another: they give a row (suffix, lo, hi) too, and places with their suffix where one page is known of so far."""
@@ -311,24 +404,70 @@ def _covers(batches):
 
 
 def _page_texts(batches):
-    """Blocks but for named surroundings, each with its place in the stream."""
+    """Blocks but for named surroundings, as lines of one compressed text, and the places in the stream of those that are not the article's."""
     for b in batches:
         rows = []
         for url, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             cut = blocks(page or "")
-            sizes = [text.count(" ") + 1 for text, _ in cut]
-            firsts = np.cumsum([0, *sizes]).tolist()
-            rows.append((stream_id(host_of(url), cut), [{"text": t, "first": f, "n": n, "article": kind == ARTICLE} for (t, kind), f, n in zip(cut, firsts, sizes) if kind != SURROUNDINGS]))
+            lines, undecided, first = [], [], 0
+            for text, kind in cut:
+                n = text.count(" ") + 1
+                if kind == OPEN:
+                    undecided.append({"line": len(lines), "first": first, "n": n})
+                if kind != SURROUNDINGS:
+                    lines.append(text)              # white space is single spaces: no line feed in a block
+                first += n
+            rows.append((stream_id(host_of(url), cut), zlib.compress("\n".join(lines).encode(), 1), undecided))
         if rows:
-            texts = pa.list_(pa.struct([("text", pa.string()), ("first", pa.int32()), ("n", pa.int32()), ("article", pa.bool_())]))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(2, b.num_columns)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], texts)],
-                                             names=[*b.schema.names[2:], "sid", "texts"])
+            places = pa.list_(pa.struct([("line", pa.int32()), ("first", pa.int32()), ("n", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(2, b.num_columns)), *(pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), places)))],
+                                             names=[*b.schema.names[2:], "sid", "lines", "undecided"])
+
+
+def _mostly_covered(undecided: list[dict], cover: list[dict]) -> set[int]:
+    """Lines of which more than half of the words are covered."""
+    line, first, n = (np.array([u[k] for u in undecided], np.int64) for k in ("line", "first", "n"))
+    starts, ends = (np.array([c[k] for c in cover], np.int64) for k in ("first", "end"))    # apart and ascending
+    before = np.concatenate([[0], np.cumsum(ends - starts)])
+
+    def covered(at):
+        k = np.searchsorted(starts, at, "right")
+        return before[k] - np.where(k > 0, np.maximum(ends[np.maximum(k, 1) - 1] - at, 0), 0)
+
+    return set(line[2 * (covered(first + n) - covered(first)) > n].tolist())
+
+
+def _left(batches):
+    """Columns kept, ``text`` and ``covered``. Unique runs stay; so does the article, covered or not."""
+    for b in batches:
+        keep, begin, texts, covered, size = b.num_columns - 3, 0, [], [], 0
+
+        def batch():
+            return pa.RecordBatch.from_arrays([*(b.column(i).slice(begin, len(texts)) for i in range(keep)), pa.array(texts, pa.string()), pa.array(covered, pa.int64())],
+                                              names=[*b.schema.names[:keep], "text", "covered"])
+
+        for packed, undecided, cover in zip(*(b.column(keep + i).to_pylist() for i in range(3))):
+            text = zlib.decompress(packed).decode()
+            if undecided and cover:
+                gone = _mostly_covered(undecided, cover)
+                text = "\n".join([t for i, t in enumerate(text.split("\n")) if i not in gone])
+            texts.append(text)
+            covered.append(sum([c["end"] - c["first"] for c in cover or []]))
+            size += len(text)
+            if size >= CHARS:
+                yield batch()
+                begin, texts, covered, size = begin + len(texts), [], [], 0
+        if texts:
+            yield batch()
 
 
 def repeats(pages: DataFrame) -> DataFrame:
     """The stretches of each stream that substrings repeated on other pages of the host cover: (sid, cover). ``pages``: url, html."""
     bits = pages.sparkSession.sparkContext.broadcast(marked_bits(pages))
-    rows = pages.mapInArrow(_suffixes(bits), "suffix binary, sid long, at int")
+    # stored, as the ranges of the array are counted before its suffixes are dealt
+    stretches = stored(pages.mapInArrow(_stretches(bits), "sid long, places binary, codes binary"), "stretches")
+    bits.destroy()
+    rows = stretches.mapInArrow(_suffixes, "suffix binary, sid long, at int")
     order = rows.repartitionByRange("suffix", "sid").sortWithinPartitions("suffix", "sid")
     found = stored(order.mapInArrow(_runs, "sid long, at int, suffix binary, lo long, hi long"), "repeats")
     several = found.where("lo is not null").groupBy("suffix").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("suffix")
@@ -344,15 +483,8 @@ def extract(pages: DataFrame, keep: list[str]) -> DataFrame:
     source = pages.select(F.col("url").cast("string").alias("__url"), F.col("html").cast("string").alias("__html"), *held)
     covers = stored(repeats(source.select("__url", "__html")), "covers")
     fields = [T.StructField(f"k{i}", pages.schema[c].dataType) for i, c in enumerate(keep)]
-    block = T.StructType([T.StructField("text", T.StringType()), T.StructField("first", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("article", T.BooleanType())])
-    cut = source.mapInArrow(_page_texts, T.StructType(fields + [T.StructField("sid", T.LongType()), T.StructField("texts", T.ArrayType(block))]))
-    both = cut.join(covers, "sid", "left").withColumn("cover", F.coalesce("cover", F.expr("cast(array() as array<struct<first:int,end:int>>)")))
-
-    def words(first, end):
-        return F.aggregate("cover", F.lit(0), lambda n, c: n + F.greatest(F.lit(0), F.least(c["end"], end) - F.greatest(c["first"], first)))
-
-    # unique runs stay; so does the article, covered or not
-    stays = F.filter("texts", lambda x: x["article"] | (2 * words(x["first"], x["first"] + x["n"]) <= x["n"]))
-    text = F.array_join(F.transform(stays, lambda x: x["text"]), "\n")
-    covered = F.aggregate("cover", F.lit(0).cast("long"), lambda n, c: n + c["end"] - c["first"])
-    return both.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], text.alias("text"), covered.alias("covered")).withColumn("n_chars", F.length("text").cast("long"))
+    places = T.ArrayType(T.StructType([T.StructField("line", T.IntegerType()), T.StructField("first", T.IntegerType()), T.StructField("n", T.IntegerType())]))
+    cut = source.mapInArrow(_page_texts, T.StructType(fields + [T.StructField("sid", T.LongType()), T.StructField("lines", T.BinaryType()), T.StructField("undecided", places)]))
+    both = cut.join(covers, "sid", "left").select(*[f.name for f in fields], "lines", "undecided", "cover")
+    out = both.mapInArrow(_left, T.StructType(fields + [T.StructField("text", T.StringType()), T.StructField("covered", T.LongType())]))
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "text", "covered").withColumn("n_chars", F.length("text").cast("long"))

@@ -2,12 +2,16 @@
 import hashlib
 import html
 import math
+import pickle
 import random
 import re
+import uuid
 import zlib
 from collections import Counter, defaultdict
 from html.parser import HTMLParser
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -321,6 +325,63 @@ def test_articles_are_part_of_the_streams(spark):
     assert (got[9].covered, got[9].text) == (0, f"{menu}\n{quote}\n{words(0, 9)}")
 
 
+def test_codes_of_words():
+    words = ["a", "aa", "b", "ab", "ba", "é", "x" * 300, "x" * 301, "x" * 70_000, *("w%d" % i for i in range(40_000))]
+    codes = html_text.stream("h", [(" ".join(words[:4]), 0), (" ".join(words[4:]), 1)])
+    assert len(codes) == len(words) and len(np.unique(codes)) >= len(words) - 3
+    again = html_text.stream("h", [(" ".join(reversed(words)), 2)])
+    assert (again[::-1] == codes).all() and (html_text.stream("g", [(" ".join(words), 0)]) != codes).mean() > 0.99
+    assert len(html_text.stream("h", [])) == 0
+
+
+def test_pages_are_cut_no_more_than_three_times(spark, tmp_path):
+    def counted(batches):
+        for b in batches:
+            (tmp_path / uuid.uuid4().hex).write_text(str(b.num_rows))
+            yield b
+
+    rows = [(i, "http://a.example/", f"<p>{' '.join('w%d' % (i % 7 + k) for k in range(30))}</p>") for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = html_text.extract(df.mapInArrow(counted, df.schema), ["page_id"]).collect()
+    assert len(got) == 40 and sum(int(p.read_text()) for p in tmp_path.iterdir()) <= 3 * 40
+
+
+@pytest.mark.parametrize("at", [[0], [5], [0, 1, 2], [3, 8, 9, 15, 16, 40], [0, 6, 12], [2, 9, 30]])
+def test_words_of_stretches(at):
+    at, codes = np.array(at), np.arange(100, 200)
+    words, where = html_text._stretch_words(at)
+    assert len(set(words.tolist())) == len(words)
+    assert (codes[words][where[:, None] + np.arange(html_text.RUN)] == codes[at[:, None] + np.arange(html_text.RUN)]).all()
+
+
+def test_what_travels_is_small():
+    # a bitmap with few marks, sent to every executor
+    marks = np.zeros(html_text.BUCKETS * html_text.MARKS // 8, np.uint8)
+    marks[::100_000] = 3
+    sent = pickle.dumps(html_text.Bits(marks))
+    assert len(sent) < 1 << 20 and (pickle.loads(sent).marks == marks).all()
+    # what a page's text is joined with its covers by
+    line = "Some words of a story that goes on with the same few words of a story "
+    page = "<nav>menu</nav>" + f"<article><p>{line * 20}</p></article>" + "<div>more of it</div>" * 3
+    rows = pa.RecordBatch.from_pydict({"url": ["http://a.example/"] * 50, "html": [page] * 50, "k0": list(range(50))})
+    out = list(html_text._page_texts([rows]))
+    assert sum(b.nbytes for b in out) < rows.nbytes / 4
+
+
+def test_texts_in_several_batches(monkeypatch):
+    monkeypatch.setattr(html_text, "CHARS", 30)
+    pages = [f"<div>one two three</div><article>story {i}</article><div>four five six seven</div><div>eight</div>" for i in range(20)]
+    cut = next(html_text._page_texts([pa.RecordBatch.from_pydict({"url": [None] * 20, "html": pages, "k0": list(range(20))})]))
+    covers = [None, [], [{"first": 1, "end": 3}], [{"first": 0, "end": 1}, {"first": 2, "end": 3}, {"first": 5, "end": 7}], [{"first": 4, "end": 9}, {"first": 9, "end": 10}]] * 4
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
+    both = pa.RecordBatch.from_arrays([cut["k0"], cut["lines"], cut["undecided"], pa.array(covers, kind)], names=["k0", "lines", "undecided", "cover"])
+    got = [r for b in html_text._left([both]) for r in b.to_pylist()]
+    a, f, e = "one two three", "four five six seven", "eight"
+    left = [(a, f, e), (a, f, e), (f, e), (f, e), (a,)]             # half of the words covered: it stays
+    want = [(i, "\n".join([*left[i % 5][:left[i % 5].count(a)], f"story {i}", *left[i % 5][left[i % 5].count(a):]]), [0, 0, 2, 4, 6][i % 5]) for i in range(20)]
+    assert [(r["k0"], r["text"], r["covered"]) for r in got] == want
+
+
 CASES = [
     (None, ""), ("", ""), ("  \n ", ""), ("plain &amp; simple", "plain & simple"), ("<p>a<p>b", "a\nb"), ("a &lt;b&gt; &#x41;&nbsp;&eacute; &nosuch; &am", "a <b> A é &nosuch; &am"),
     ("<article><p>wor<b>d</b> one<br>two\n\tthree</p></article>", "word one two three"), ("<nav>menu</nav><article>t</article><footer>f</footer>", "t"),
