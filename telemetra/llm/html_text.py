@@ -38,6 +38,8 @@ KEY = RUN * WORD                        # bytes of a suffix: codes of the leadin
 BUCKETS = 1 << 12                       # of hashes of suffixes; the rest of a hash is 24 bits, of which
 MARKS = 1 << 16                         # the first 16 have a mark in the bucket's part of the bitmap
 FLUSH = 1 << 22                         # hashes that a task holds at once
+PLACES = 1 << 18                        # suffixes in a batch
+GROUP = 1 << 18                         # characters of pages whose words are hashed together, to the last one's end
 PART = 1 << 16                          # bytes of a text whose words are hashed together
 CHARS = 1 << 22                         # characters of texts in a batch of results
 
@@ -213,20 +215,22 @@ def _word_hashes(text: bytes) -> np.ndarray:
     return np.add.reduceat(terms, starts)
 
 
-def stream(host: str, cut: list[tuple[str, int]]) -> np.ndarray:
-    """The codes of all words of a page."""
-    text = " ".join([t for t, _ in cut]).encode()
-    site, at, out = np.uint64(xxhash.xxh64_intdigest(host)), 0, [np.zeros(0, np.uint64)]
+def streams(pages: list[tuple[str, list[tuple[str, int]]]]) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of all words of pages (host, blocks), one page after the other, and where each page's begin and the last one's end."""
+    lines = [" ".join([t for t, _ in cut]) for _, cut in pages]
+    sizes = [line.count(" ") + 1 if line else 0 for line in lines]
+    sites = np.repeat(np.array([xxhash.xxh64_intdigest(host) for host, _ in pages], np.uint64), sizes)
+    text, at, out = " ".join([line for line in lines if line]).encode(), 0, [np.zeros(0, np.uint64)]
     while at < len(text):
         stop = text.find(b" ", at + PART)
         stop = len(text) if stop < 0 else stop
         out.append(_word_hashes(text[at:stop]))
         at = stop + 1
-    return (_mixed(np.concatenate(out) ^ site) >> np.uint64(32)).astype("<u4")
+    return (_mixed(np.concatenate(out) ^ sites) >> np.uint64(32)).astype("<u4"), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
 def hashes(codes: np.ndarray) -> np.ndarray:
-    """36 bits of a hash of each suffix's leading words; none where fewer than RUN words go on."""
+    """36 bits of a hash of the RUN codes from each place on; none where fewer go on."""
     n = max(len(codes) - RUN + 1, 0)
     h = np.zeros(n, np.uint64)
     for j in range(RUN):
@@ -236,15 +240,30 @@ def hashes(codes: np.ndarray) -> np.ndarray:
 
 
 def _distinct_streams(batches):
-    """(id, codes) of the task's pages (url, html), each text once."""
-    seen = set()
+    """(ids, codes, bounds, hashes, page) of some of the task's pages (url, html), each text once; hashes of their suffixes, and which page each is of (-1 where
+    fewer than RUN of its words go on)."""
+    def group():
+        codes, bounds = streams([p[1:] for p in held])
+        h = hashes(codes)
+        page = np.full(len(codes), -1)
+        for k, (first, end) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+            page[first:max(first, end - RUN + 1)] = k
+        return [p[0] for p in held], codes, bounds, h, page[:len(h)]
+
+    seen, held, size = set(), [], 0
     for b in batches:
         for url, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             host, cut = host_of(url), blocks(page or "")
             sid = stream_id(host, cut)
             if sid not in seen:
                 seen.add(sid)
-                yield sid, stream(host, cut)
+                held.append((sid, host, cut))
+                size += len(page or "") + 16
+                if size >= GROUP:
+                    yield group()
+                    held, size = [], 0
+    if held:
+        yield group()
 
 
 def _bucketed(held: list[np.ndarray]):
@@ -260,11 +279,11 @@ def _bucketed(held: list[np.ndarray]):
 def _page_hashes(batches):
     """Hashes of all suffixes of the pages (url, html), a page's repeats once."""
     held, n = [], 0
-    for _, codes in _distinct_streams(batches):
-        own = np.sort(hashes(codes))
+    for *_, h, page in _distinct_streams(batches):
+        own = np.sort(page[page >= 0].astype(np.uint64) << np.uint64(36) | h[page >= 0])        # no 2 ** 28 pages in a group
         if not len(own):
             continue
-        own = own[np.concatenate([[True], own[1:] != own[:-1]])]
+        own = own[np.concatenate([[True], own[1:] != own[:-1]])] & np.uint64((1 << 36) - 1)
         held.append(own)
         n += len(own)
         if n >= FLUSH:
@@ -339,16 +358,18 @@ def _stretches(bits):
         def batch():
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], names=["sid", "places", "codes"])
 
-        for sid, codes in _distinct_streams(batches):
-            h = hashes(codes) >> np.uint64(8)
-            there = marks[h >> np.uint64(3)] >> (7 - (h & np.uint64(7)).astype(np.uint8)) & 1
-            if there.any():
-                words, _ = _stretch_words(np.flatnonzero(there))
-                rows.append((sid, np.packbits(there).tobytes(), codes[words].tobytes()))
-                size += len(codes)
-                if size >= FLUSH >> 3:
-                    yield batch()
-                    rows, size = [], 0
+        for ids, codes, bounds, h, page in _distinct_streams(batches):
+            h >>= np.uint64(8)
+            there = (marks[h >> np.uint64(3)] >> (7 - (h & np.uint64(7)).astype(np.uint8)) & 1) * (page >= 0)
+            for sid, first, end in zip(ids, bounds[:-1].tolist(), bounds[1:].tolist()):
+                own = there[first:end]
+                if own.any():
+                    words, _ = _stretch_words(np.flatnonzero(own))
+                    rows.append((sid, np.packbits(own).tobytes(), codes[first:end][words].tobytes()))
+                    size += end - first
+                    if size >= FLUSH >> 3:
+                        yield batch()
+                        rows, size = [], 0
         if rows:
             yield batch()
     return of
@@ -356,15 +377,27 @@ def _stretches(bits):
 
 def _suffixes(batches):
     """Every marked place as (suffix, sid, at)."""
+    def batch(held):
+        keys, sids, places = (np.concatenate(x) for x in zip(*held))
+        alike = np.argsort(np.ascontiguousarray(keys[:, :2]).view(np.uint64).ravel())       # side by side, equal suffixes take less of the shuffle
+        keys, sids, places = keys[alike], sids[alike], places[alike]
+        flat = pa.Array.from_buffers(pa.binary(KEY), len(places), [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary())
+        return pa.RecordBatch.from_arrays([flat, pa.array(sids), pa.array(places.astype(np.int32))], names=["suffix", "sid", "at"])
+
+    held, n = [], 0
     for b in batches:
         for sid, places, codes in zip(*(c.to_pylist() for c in b.columns)):
             at = np.flatnonzero(np.unpackbits(np.frombuffer(places, np.uint8)))
             codes, (_, where) = np.frombuffer(codes, "<u4"), _stretch_words(at)
-            for k in range(0, len(at), 20000):
-                part = at[k:k + 20000]
-                keys = codes[where[k:k + 20000, None] + np.arange(RUN)].tobytes()
-                flat = pa.Array.from_buffers(pa.binary(KEY), len(part), [None, pa.py_buffer(keys)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([flat, pa.array(np.full(len(part), sid)), pa.array(part.astype(np.int32))], names=["suffix", "sid", "at"])
+            for k in range(0, len(at), PLACES):
+                part = at[k:k + PLACES]
+                held.append((codes[where[k:k + PLACES, None] + np.arange(RUN)], np.full(len(part), sid), part))
+                n += len(part)
+                if n >= PLACES:
+                    yield batch(held)
+                    held, n = [], 0
+    if held:
+        yield batch(held)
 
 
 def _runs(batches):
@@ -380,14 +413,15 @@ def _runs(batches):
         ends = np.append(starts[1:], n)
         several = sid[starts] != sid[ends - 1]
         sure = np.repeat(several, ends - starts)
-        rows = [(s, a, None, None, None) for s, a in zip(sid[sure].tolist(), at[sure].tolist())]
+        rows = []
         for k in sorted({0, len(starts) - 1}):
             key = keys[starts[k]].tobytes()
             rows.append((None, None, key, int(sid[starts[k]]), int(sid[ends[k] - 1])))
             if not several[k]:
                 rows += [(s, a, key, None, None) for s, a in zip(sid[starts[k]:ends[k]].tolist(), at[starts[k]:ends[k]].tolist())]
         kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["sid", "at", "suffix", "lo", "hi"])
+        known = [pa.array(sid[sure]), pa.array(at[sure]), *(pa.nulls(int(sure.sum()), t) for t in kinds[2:])]
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([k, pa.array(c, t)]) for k, c, t in zip(known, zip(*rows), kinds)], names=["sid", "at", "suffix", "lo", "hi"])
 
 
 def _covers(batches):

@@ -327,11 +327,14 @@ def test_articles_are_part_of_the_streams(spark):
 
 def test_codes_of_words():
     words = ["a", "aa", "b", "ab", "ba", "é", "x" * 300, "x" * 301, "x" * 70_000, *("w%d" % i for i in range(40_000))]
-    codes = html_text.stream("h", [(" ".join(words[:4]), 0), (" ".join(words[4:]), 1)])
-    assert len(codes) == len(words) and len(np.unique(codes)) >= len(words) - 3
-    again = html_text.stream("h", [(" ".join(reversed(words)), 2)])
-    assert (again[::-1] == codes).all() and (html_text.stream("g", [(" ".join(words), 0)]) != codes).mean() > 0.99
-    assert len(html_text.stream("h", [])) == 0
+    whole = [(" ".join(words[:4]), 0), (" ".join(words[4:]), 1)]
+    codes, bounds = html_text.streams([("h", whole)])
+    assert len(codes) == len(words) and len(np.unique(codes)) >= len(words) - 3 and bounds.tolist() == [0, len(words)]
+    n = len(words)
+    more, bounds = html_text.streams([("h", []), ("h", [(" ".join(reversed(words)), 2)]), ("g", whole), ("h", []), ("h", [("ab", 0)])])
+    assert bounds.tolist() == [0, 0, n, 2 * n, 2 * n, 2 * n + 1]
+    assert (more[:n][::-1] == codes).all() and (more[n:2 * n] != codes).mean() > 0.99 and more[-1] == codes[3]
+    assert len(html_text.streams([("h", [])])[0]) == 0
 
 
 def test_pages_are_cut_no_more_than_three_times(spark, tmp_path):
