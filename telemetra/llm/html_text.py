@@ -379,8 +379,6 @@ def _suffixes(batches):
     """Every marked place as (suffix, sid, at)."""
     def batch(held):
         keys, sids, places = (np.concatenate(x) for x in zip(*held))
-        alike = np.argsort(np.ascontiguousarray(keys[:, :2]).view(np.uint64).ravel())       # side by side, equal suffixes take less of the shuffle
-        keys, sids, places = keys[alike], sids[alike], places[alike]
         flat = pa.Array.from_buffers(pa.binary(KEY), len(places), [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary())
         return pa.RecordBatch.from_arrays([flat, pa.array(sids), pa.array(places.astype(np.int32))], names=["suffix", "sid", "at"])
 
