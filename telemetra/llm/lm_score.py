@@ -28,6 +28,8 @@ BITS_PER_ENTRY = 10
 PROBES = 7
 CHUNK = 2 << 20                         # bytes of text in a chunk
 FLUSH = 1 << 21                         # n-grams that a task gathers before it hands them on
+SLICES = 16                             # hash ranges' groups in which it does, so that little is sorted at once
+PROBE = 1 << 16                         # n-grams probed at once
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -98,6 +100,9 @@ class Filter:
         self.data = np.concatenate(segments) if segments else np.zeros(0, np.uint8)
 
     def levels(self, h: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.int64), *[self._levels(h[k:k + PROBE]) for k in range(0, len(h), PROBE)]])
+
+    def _levels(self, h: np.ndarray) -> np.ndarray:
         own = (((h >> np.uint64(32)) * np.uint64(self.buckets)) >> np.uint64(32)).astype(np.int64) - self.first
         bits, start = self.bits[own], self.start[own]
         out, alive, k = np.zeros(len(h), np.int64), np.arange(len(h)), 0
@@ -112,6 +117,17 @@ class Filter:
         return out
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the words of ``data``, lower-cased, some at a time: memory follows ``CHUNK_BYTES`` or the longest word."""
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        first = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, first + X.CHUNK_BYTES, "right")))
+        out[i:j] = X.span_hashes(X.BYTE_CODE[X.LOWER[data[first:ends[j - 1]]]], starts[i:j] - first, ends[i:j] - first)
+        i = j
+    return out
+
+
 def chunked(docs: DataFrame, held_out: Column) -> DataFrame:
     """Documents as chunks of tokens: one row per chunk of about 2 MB of text, or per stretch of a longer document.
 
@@ -151,7 +167,7 @@ def chunked(docs: DataFrame, held_out: Column) -> DataFrame:
                     part = d[s0:s1]
                     po = o if j - i > 1 else np.array([0, len(part)])
                     starts, ends, doc = X.words(part, po)
-                    h = X.span_hashes(X.BYTE_CODE[X.LOWER[part]], starts, ends)
+                    h = word_hashes(part, starts, ends)
                     sizes = np.bincount(doc, minlength=j - i) + (1 if last else 0)
                     if last:
                         at = np.cumsum(sizes) - 1
@@ -207,8 +223,18 @@ def word_requests(chunks: DataFrame, buckets: int) -> DataFrame:
     return chunks.select("chunk", "held", "sizes", "vocab", "tokens", "before").mapInArrow(run, "bucket int, chunk long, words binary, counts binary")
 
 
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes, ascending, and the sums of their counts."""
+    every = np.concatenate([h for h, _ in parts])
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])[:len(every)])
+    n = np.concatenate([n for _, n in parts])[order]
+    return every[first], np.add.reduceat(n, first, dtype=np.uint64) if len(first) else n
+
+
 class Totals:
-    """Counts by hash, summed as they come: ``FLUSH`` entries wait at most, so memory follows the distinct hashes."""
+    """Counts by hash, summed as they come: no more entries wait than there are distinct hashes (or ``FLUSH`` / 8), so memory follows these."""
 
     def __init__(self):
         self.h, self.n, self.waiting, self.size = np.zeros(0, np.uint64), np.zeros(0, np.uint64), [], 0
@@ -216,17 +242,12 @@ class Totals:
     def add(self, h: np.ndarray, n: np.ndarray) -> None:
         self.waiting.append((h, n.astype(np.uint64)))
         self.size += len(h)
-        if self.size > FLUSH:
+        if self.size > max(FLUSH >> 3, len(self.h)):
             self.settle()
 
     def settle(self) -> None:
         """Sum what waits into ``h`` (ascending) and ``n``."""
-        every = np.concatenate([self.h, *[h for h, _ in self.waiting]])
-        order = np.argsort(every, kind="stable")
-        every = every[order]
-        first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])[:len(every)])
-        n = np.concatenate([self.n, *[n for _, n in self.waiting]])[order]
-        self.h, self.n = every[first], np.add.reduceat(n, first) if len(first) else n
+        self.h, self.n = summed([(self.h, self.n), *self.waiting])
         self.waiting, self.size = [], 0
 
 
@@ -257,28 +278,30 @@ def word_counts(requests: DataFrame) -> DataFrame:
 def ngram_counts(chunks: DataFrame, buckets: int) -> DataFrame:
     """(bucket, grams, counts): training n-grams summed within a task, by hash range."""
     def run(batches):
-        held_h, held_c, size = [], [], 0
+        held, size = [], 0
 
         def flush():
-            h, which = np.unique(np.concatenate(held_h), return_inverse=True)
-            c = np.bincount(which, np.concatenate(held_c), len(h)).astype(np.uint32)
-            e = bucket_edges(h, buckets)
-            at = np.flatnonzero(e[1:] > e[:-1])
-            return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([pack_sorted(h[e[k]:e[k + 1]]) for k in at], pa.binary()),
-                                               pa.array([pack(c[e[k]:e[k + 1]]) for k in at], pa.binary())], names=["bucket", "grams", "counts"])
+            edges, step = [bucket_edges(h, buckets) for h, _ in held], -(-buckets // SLICES)
+            for low in range(0, buckets, step):
+                high = min(low + step, buckets)
+                h, c = summed([(h[e[low]:e[high]], n[e[low]:e[high]]) for (h, n), e in zip(held, edges)])
+                e, c = bucket_edges(h, buckets), c.astype(np.uint32)
+                at = np.flatnonzero(e[1:] > e[:-1])
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([pack_sorted(h[e[k]:e[k + 1]]) for k in at], pa.binary()),
+                                                      pa.array([pack(c[e[k]:e[k + 1]]) for k in at], pa.binary())], names=["bucket", "grams", "counts"])
         for b in batches:
             for r in b.to_pylist():
                 c = _chunk_of(r)
                 for h in (c.bigrams[c.train], c.unigrams[c.tokens[c.train]]):
                     u, n = np.unique(h, return_counts=True)
-                    held_h.append(u)
-                    held_c.append(n)
+                    held.append((u, n.astype(np.uint32)))
                     size += len(u)
                 if size > FLUSH:
-                    yield flush()
-                    held_h, held_c, size = [], [], 0
+                    yield from flush()
+                    held, size = [], 0
         if size:
-            yield flush()
+            yield from flush()
 
     return chunks.select("chunk", "held", "sizes", "vocab", "tokens", "before").mapInArrow(run, "bucket int, grams binary, counts binary")
 

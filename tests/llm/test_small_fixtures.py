@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -152,6 +153,62 @@ def test_totals_settle_at_any_flush(monkeypatch):
     assert len(empty.h) == len(empty.n) == 0
 
 
+class Handed:
+    """Stands for a frame: gives the function that would run in its tasks."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_memory_of_a_task_that_counts_ngrams():
+    rng, want, rows = np.random.RandomState(6), [], []
+    for k in range(6):
+        vocab = np.unique(rng.randint(0, 1 << 62, 200_000, dtype=np.uint64) * np.uint64(4) + np.uint64(k))
+        tokens = rng.randint(0, len(vocab), 300_000).astype(np.uint32)
+        rows.append({"chunk": k, "held": [False], "sizes": lm_score.pack(np.array([len(tokens)], np.uint32)), "vocab": lm_score.pack_sorted(vocab),
+                     "tokens": lm_score.pack(tokens), "before": 5})
+        c = lm_score._chunk_of(rows[-1])
+        want += [c.bigrams, c.unigrams[c.tokens]]
+    want = dict(zip(*(x.tolist() for x in np.unique(np.concatenate(want), return_counts=True))))
+    run, got = lm_score.ngram_counts(Handed(), 12), Counter()
+    batches = [pa.RecordBatch.from_pylist([r]) for r in rows]
+    del c
+    tracemalloc.start()
+    for b in run(iter(batches)):
+        peak = tracemalloc.get_traced_memory()[1]           # until this batch
+        tracemalloc.stop()
+        for bucket, grams, counts in zip(*(x.to_pylist() for x in b.columns)):
+            h = lm_score.unpack_sorted(grams)
+            assert (((h >> np.uint64(32)) * np.uint64(12)) >> np.uint64(32) == bucket).all()
+            got.update(dict(zip(h.tolist(), lm_score.unpack(counts, np.uint32).tolist())))
+        assert peak < 80 << 20
+        tracemalloc.start()
+    tracemalloc.stop()
+    assert got == want
+
+
+def test_memory_of_probes():
+    h = np.unique(np.random.RandomState(7).randint(0, 1 << 62, 700_000, dtype=np.uint64) * np.uint64(4))
+    f = lm_score.Filter([lm_score.build_segment(h[::50], np.full(len(h[::50]), 3))], 1)
+    tracemalloc.start()
+    got = f.levels(h)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 << 20 and (got[::50] >= 3).all() and len(f.levels(h[:0])) == 0
+    assert (got == np.concatenate([f.levels(x) for x in np.array_split(h, 7)])).all()
+
+
+def test_hashes_of_words_some_at_a_time(monkeypatch):
+    monkeypatch.setattr(X, "CHUNK_BYTES", 40)
+    data = np.frombuffer(" ".join(["Aa", "b" * 100, "", "straße", *map(str, range(200)), "c" * 39, "d" * 40, "e" * 41]).encode(), np.uint8)
+    starts, ends, _ = X.words(data, np.array([0, len(data)]))
+    assert (lm_score.word_hashes(data, starts, ends) == X.span_hashes(X.BYTE_CODE[X.LOWER[data]], starts, ends)).all()
+    assert len(lm_score.word_hashes(data, starts[:0], ends[:0])) == 0
+
+
 # -- 2 ------------------------------------------------------------------------------------------------------------
 def test_warc_round_trip(spark, tmp_out):
     tuned(spark)
