@@ -333,7 +333,8 @@ def _unpacked(packed: bytes) -> Bits:
 def marked_bits(pages: DataFrame) -> Bits:
     """The bitmap of suffixes' hashes that come twice, 32 MB whatever the number of pages."""
     found = pages.mapInArrow(_page_hashes, "bucket int, low binary")
-    rows = found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_marked, "bucket int, bits binary")
+    # stored, so that the hashes leave the disk before suffixes are dealt
+    rows = stored(found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_marked, "bucket int, bits binary"), "marks")
     bits = np.zeros((BUCKETS, MARKS // 8), np.uint8)
     for r in rows.toLocalIterator():
         bits[r["bucket"]] = np.frombuffer(r["bits"], np.uint8)

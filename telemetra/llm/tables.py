@@ -10,6 +10,8 @@ from ..session import scratch_path, shared_dir, ship_package
 #: Arrow batches of bounded size, whatever the lengths of the texts (runtime settings; no result depends on them).
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
            "spark.sql.optimizer.windowGroupLimitThreshold": "4096"}      # first few thousand of a group: cut before the shuffle
+#: Whether an execution's shuffle files are removed when it ends, not when the driver's garbage collection comes upon them (Spark 4.1).
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def tuned(spark: SparkSession) -> SparkSession:
@@ -37,10 +39,15 @@ def learnable(doc_id: str, modulus: int, remainder: int) -> Column:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the cluster's shared folder and read it back: lineage is cut, and a lost
-    executor costs nothing that was stored."""
+    executor costs nothing that was stored. The files of the write's shuffles go when it ends, as nothing reads them again."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(FREE_SHUFFLES) if before is None else spark.conf.set(FREE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

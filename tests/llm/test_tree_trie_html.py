@@ -1,10 +1,14 @@
 """Merkle manifest, conversation trie and main texts against brute force, on odd rows and on whole tables."""
+import glob
 import hashlib
 import html
 import math
+import os
 import pickle
 import random
 import re
+import tempfile
+import time
 import uuid
 import zlib
 from collections import Counter, defaultdict
@@ -371,6 +375,26 @@ def test_what_travels_is_small():
     assert sum(b.nbytes for b in out) < rows.nbytes / 4
 
 
+def shuffled():
+    return set(glob.glob(os.path.join(os.environ.get("SPARK_LOCAL_DIRS") or tempfile.gettempdir(), "blockmgr-*", "*", "shuffle_*.data")))
+
+
+def test_hashes_and_suffixes_leave_the_disk(spark, tmp_path):
+    rows = [(i, "http://a.example/", f"<p>{' '.join('w%d' % (i % 7 + k) for k in range(30))}</p>") for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4, "page_id").localCheckpoint()
+    before = shuffled()
+    df.groupBy("url").count().repartition(3).write.parquet(str(tmp_path / "kept"))
+    assert shuffled() - before                          # a plain write leaves its shuffles' files
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = shuffled(), spark.conf.get(name, None)
+    out = html_text.extract(df, ["page_id"])            # all but the last join has run
+    end = time.time() + 20
+    while shuffled() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not shuffled() - before and spark.conf.get(name, None) == setting
+    assert [out.count(), out.where("covered > 0").count()] == [40, 40]
+
+
 def test_texts_in_several_batches(monkeypatch):
     monkeypatch.setattr(html_text, "CHARS", 30)
     pages = [f"<div>one two three</div><article>story {i}</article><div>four five six seven</div><div>eight</div>" for i in range(20)]
