@@ -23,9 +23,9 @@ UNKNOWN_PENALTY = 10.0   # fixed value: how far below the least score an unknown
 _models: dict[str, "Model"] = {}
 _seen: dict[str, X.SpanIds] = {}        # spans already encoded, by model; a worker process keeps them from task to task
 PAIRS = 1 << 20                         # pairs of pieces whose merge is remembered
-LIKELY = 1 << 20                        # slots of the filter before the sorted hashes of the pieces
+LIKELY = 1 << 20                        # slots of the filter before the hashes of the pieces, which are sorted by slot
 LONG = 4096                             # characters from which a word is merged on its own
-RUN_BYTES = 1 << 20                     # bytes of text that are encoded together
+RUN_BYTES = 2 << 20                     # bytes of text that are encoded together
 
 
 class Model:
@@ -54,10 +54,13 @@ class Model:
         length = np.fromiter(map(len, self.by_text), np.int64, len(self.by_text))
         h = span_hash(codes, np.cumsum(length) - length, np.cumsum(length))
         ids = np.fromiter(self.by_text.values(), np.int64, len(self.by_text))
-        order = np.argsort(h)
-        self.keys, self.ids = h[order], ids[order]
-        self.likely = np.zeros(LIKELY, bool)
-        self.likely[(self.keys & np.uint64(LIKELY - 1)).astype(np.int64)] = True
+        slot = (h & np.uint64(LIKELY - 1)).astype(np.int64)
+        order = np.argsort(slot)
+        self.keys, self.ids = np.append(h[order], np.uint64(0)), np.append(ids[order], -1)
+        slots, first, many = np.unique(slot[order], return_index=True, return_counts=True)
+        self.first = np.full(LIKELY, -1, np.int32)         # by slot: place of its first piece, of at most ``probes``
+        self.first[slots] = first
+        self.probes = int(many.max(initial=1))
         if len(np.unique(h)) != len(h):
             raise ValueError("two pieces share a hash")
         long = [t for t in self.by_text if len(t) > 1]
@@ -70,24 +73,40 @@ class Model:
         self.raw_size = np.fromiter(map(len, raw), np.int64, len(raw))
         self.raw_at = np.cumsum(self.raw_size) - self.raw_size
         self.pair, self.pair_apart = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
-        self._whole: dict[int, bool] = {}
         self._scores = self.score.tolist()
+        # characters of every piece
+        self.point = np.frombuffer("".join(self.text).encode("utf-32-le"), np.uint32)
+        self.point_size = np.fromiter(map(len, self.text), np.int64, self.size)
+        self.point_at = np.cumsum(self.point_size) - self.point_size
+        # a piece's own merges, entered when it is first asked for: score of each, and before each the number of characters and the hash sum of
+        # its first and of its last symbol; row ``size`` is for any character alone
+        self.wide = self.longest + 1
+        shape = (self.size + 1, self.wide)
+        self.known, self.is_whole = np.zeros(self.size + 1, bool), np.zeros(self.size + 1, bool)
+        self.step = np.full(shape, -np.inf)
+        self.left, self.right = np.ones(shape, np.int16), np.ones(shape, np.int16)
+        self.head, self.tail = np.zeros(shape, np.uint64), np.zeros(shape, np.uint64)
+        self.known[self.size] = self.is_whole[self.size] = True
+        self.across = np.append(self.score, -np.inf)
 
     # -- merges -------------------------------------------------------------------------------------------------
     def merged(self, symbols: list[str]) -> list[str]:
         """BPE of a short run of characters: the best-scoring neighbours merge, the leftmost first."""
         symbols = list(symbols)
-        while len(symbols) > 1:
-            best, at = None, -1
-            for k in range(len(symbols) - 1):
-                i = self.by_text.get(symbols[k] + symbols[k + 1])
-                if i is not None and (best is None or self._scores[i] > best):
-                    best, at = self._scores[i], k
-            if at < 0:
-                break
+        while (found := self._next(symbols)) is not None:
+            at = found[1]
             symbols[at:at + 2] = [symbols[at] + symbols[at + 1]]
         return symbols
 
+    def _next(self, symbols: list[str]) -> tuple[float, int] | None:
+        """Score and place of the merge that comes next."""
+        best, at = None, -1
+        for k in range(len(symbols) - 1):
+            i = self.by_text.get(symbols[k] + symbols[k + 1])
+            if i is not None and (best is None or self._scores[i] > best):
+                best, at = self._scores[i], k
+        return None if best is None else (best, at)
+
     def merged_long(self, text: str) -> list[str]:
         """As ``merged``, in time that grows little faster than the text: neighbours wait in a heap, by score and place."""
         symbols: list[str | None] = list(text)
@@ -118,29 +137,85 @@ class Model:
                 offer(before[k], k)
         return [x for x in symbols if x is not None]
 
-    def _string(self, i: int) -> str:
-        return self.text[i] if i < self.size else chr(i - self.size)
+    def _merges(self, pieces: np.ndarray) -> np.ndarray:
+        """Rows of the tables of a piece's own merges, which are made where they are lacking."""
+        row = np.minimum(pieces, self.size)
+        lacking = row[~self.known[row]]
+        for p in np.unique(lacking).tolist() if len(lacking) else ():
+            symbols, t, n = list(self.text[p]), 0, len(self.text[p])
+            while True:
+                self.left[p, t], self.right[p, t] = len(symbols[0]), len(symbols[-1])
+                if (found := self._next(symbols)) is None:
+                    break
+                self.step[p, t], at = found
+                symbols[at:at + 2] = [symbols[at] + symbols[at + 1]]
+                t += 1
+            code = X.mix(self.point[self.point_at[p]:self.point_at[p] + n].astype(np.uint64) + np.uint64(1))
+            total = np.append(np.uint64(0), np.cumsum(code * X.powers(X.BASE, n)[:n]))
+            begin = n - self.right[p, :t + 1].astype(np.int64)
+            self.head[p, :t + 1] = total[self.left[p, :t + 1]]
+            self.tail[p, :t + 1] = (total[n] - total[begin]) * X.powers(X.BASE_INV, n + 1)[begin]
+            self.is_whole[p] = len(symbols) == 1
+            self.known[p] = True
+        return row
+
+    def _stay(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether the merges over the characters of two pieces end with these two. Until one crosses the border, each piece merges as
+        it does alone, so all pairs step together: the best of the left piece's next merge, the one across, and the right's next is
+        made (the leftmost of equals), and a pair leaves when that is the one across or none is left."""
+        a, b = self._merges(left), self._merges(right)
+        out = self.is_whole[a] & self.is_whole[b]
+        power, salt = X.powers(X.BASE, self.wide), np.arange(2 * self.wide).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+        step, head, tail, first, end = (x.ravel() for x in (self.step, self.head, self.tail, self.left, self.right))
+        alone = max(left.max(initial=0), right.max(initial=0)) >= self.size
+        go = np.flatnonzero(out)
+        i, j = a[go] * self.wide, b[go] * self.wide
+        while len(go):
+            p, q, x, y = end[i], first[j], tail[i], head[j]
+            if alone:
+                x, y = (np.where(k >= self.size, X.mix(np.maximum(k - self.size, 0).astype(np.uint64) + np.uint64(1)), z) for k, z in ((left[go], x), (right[go], y)))
+            across, own, other = self.across[self.find(X.mix(x + power[p] * y + salt[p + q]))], step[i], step[j]
+            crossed = (across > own) & (across >= other)
+            out[go[crossed]] = False
+            mine = own >= other
+            stay = np.flatnonzero(~crossed & np.isfinite(np.maximum(own, other)))
+            mine = mine[stay]
+            go, i, j = go[stay], i[stay] + mine, j[stay] + ~mine
+        return out
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Piece of each hash, -1 where it is none's."""
+        at = self.first[(h & np.uint64(LIKELY - 1)).astype(np.int64)]
+        some = np.flatnonzero(at >= 0)
+        out = np.full(len(h), -1, np.int64)
+        at, some_h = at[some].astype(np.int64), h[some]
+        for _ in range(self.probes):                       # another piece of the slot would be the next one
+            true = self.keys[at] == some_h
+            out[some[true]] = self.ids[at[true]]
+            more = ~true & (at + 1 < len(self.ids) - 1)
+            if not more.any():
+                break
+            some, at, some_h = some[more], at[more] + 1, some_h[more]
+        return out
 
     def apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether two pieces stay two when the merges run over their characters; remembered by pair, in a table of fixed size where a
         newer pair may take an older one's place."""
         pair = left * (1 << 21) + right
-        slot = (X.mix(pair.astype(np.uint64)) % np.uint64(PAIRS)).astype(np.int64)
+        slot = (X.mix(pair.astype(np.uint64)) & np.uint64(PAIRS - 1)).astype(np.int64)
         out, new = self.pair_apart[slot], np.flatnonzero(self.pair[slot] != pair)
         if len(new):
             which, first, back = np.unique(pair[new], return_index=True, return_inverse=True)
-            found = np.empty(len(which), bool)
-            for k, p in enumerate(which.tolist()):
-                a, b = self._string(p >> 21), self._string(p & ((1 << 21) - 1))
-                found[k] = self.merged(list(a + b)) == [a, b]
+            found = self._stay(which >> 21, which & ((1 << 21) - 1))
             out[new] = found[back]
             at = slot[new][first]
             self.pair[at], self.pair_apart[at] = which, found
         return out
 
     # -- encoding -----------------------------------------------------------------------------------------------
-    def lattice(self, words: np.ndarray) -> list[list[int]]:
-        """Pieces of words of one length (a row of code points each); ids from ``size`` on are unknown characters."""
+    def lattice(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of words of one length (a row of code points each), word by word, and how many each has; ids from ``size`` on are
+        unknown characters."""
         n, length = words.shape
         code = X.mix(words.astype(np.uint64) + np.uint64(1))
         power, inverse = X.powers(X.BASE, length), X.powers(X.BASE_INV, length + 1)
@@ -155,71 +230,97 @@ class Model:
             first = max(0, end - self.longest)
             start = np.arange(first, end)
             h = X.mix((total[:, [end]] - total[:, first:end]) * inverse[first:end] + (end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-            found = self.likely[(h & np.uint64(LIKELY - 1)).astype(np.int64)]     # few substrings are pieces: probe those that may be
-            some = h[found]
-            at = np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)
-            found[found] = true = self.keys[at] == some
-            piece = np.full(h.shape, -1, np.int64)
-            piece[found] = self.ids[at[true]]
-            alone = ~found[:, -1]                          # a character that is no piece is a candidate all the same
+            piece = self.find(h.ravel()).reshape(h.shape)   # few substrings are pieces
+            alone = piece[:, -1] < 0                        # a character that is no piece is a candidate all the same
             piece[alone, -1] = self.size + words[alone, end - 1]
+            r, c = np.nonzero(piece >= 0)
+            reached = np.isfinite(score[r, first + c])
+            r, c = r[reached], c[reached]
+            one = piece[r, c]
             gain = np.full(piece.shape, -np.inf)
-            ok = (piece >= 0) & np.isfinite(score[:, first:end])
             if self.bpe:
-                r, c = np.nonzero(ok)
                 before = last[r, first + c]
                 good = before < 0
-                good[~good] = self.apart(before[~good], piece[r, c][~good])
+                good[~good] = self.apart(before[~good], one[~good])
                 # at the start of the word the piece must be what the merges make of its own characters
                 head = np.flatnonzero(before < 0)
-                good[head] = self.whole(piece[r[head], c[head]])
+                good[head] = self.is_whole[self._merges(one[head])]
                 gain[r[good], c[good]] = 0
             else:
-                own = np.where(piece >= self.size, self.unknown_score, self.score[np.clip(piece, 0, self.size - 1)])
-                gain[ok] = (score[:, first:end] + own)[ok]
+                own = np.where(one >= self.size, self.unknown_score, self.score[np.minimum(one, self.size - 1)])
+                gain[r, c] = score[r, first + c] + own
             best = gain.argmax(1)
             score[:, end], last[:, end], back[:, end] = gain[rows, best], piece[rows, best], start[best]
-        out: list[list[int]] = [[] for _ in range(n)]
-        at, alive = np.full(n, length), rows
+        steps = []
+        at, alive, count = np.full(n, length), rows, np.zeros(n, np.int64)
         while len(alive):
-            for r, p in zip(alive.tolist(), last[alive, at[alive]].tolist()):
-                out[r].append(p)
+            steps.append((alive, last[alive, at[alive]]))
+            count[alive] += 1
             at[alive] = back[alive, at[alive]]
             alive = alive[at[alive] > 0]
-        return [o[::-1] for o in out]
-
-    def whole(self, piece: np.ndarray) -> np.ndarray:
-        """Whether the merges over a piece's own characters give that piece."""
-        own, which = np.unique(piece, return_inverse=True)
-        out = np.empty(len(own), bool)
-        for k, p in enumerate(own.tolist()):
-            known = self._whole.get(p)
-            if known is None:
-                s = self._string(p)
-                self._whole[p] = known = len(self.merged(list(s))) == 1
-            out[k] = known
-        return out[which]
-
-    def words(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[list[int]]:
-        """Ids of words, by groups of equal length."""
-        out: list = [None] * len(starts)
+        ends = np.cumsum(count)
+        out = np.empty(ends[-1] if n else 0, np.int64)
+        for k, (r, p) in enumerate(steps):
+            out[ends[r] - 1 - k] = p
+        return out, count
+
+    def words(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, place of each word's first, their number), by groups of words of equal length."""
+        at, size, flat, made = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64), [], 0
         length = ends - starts
         for n in np.unique(length).tolist():
             group = np.flatnonzero(length == n)
-            if self.bpe and n > LONG:
-                for k in group.tolist():
-                    word = points[starts[k]:ends[k]].astype("<u4").tobytes().decode("utf-32-le")
-                    found = [self.by_text.get(x, self.size + ord(x[0])) for x in self.merged_long(word)]
-                    out[k] = [i for p in found for i in ((p,) if p < self.size else self.spelled(p - self.size))]
-                continue
+            long = self.bpe and n > LONG
             for part in np.array_split(group, min(len(group), -(-len(group) * n // 200_000))):
                 rows = points[starts[part][:, None] + np.arange(n)]
-                for k, row, found in zip(part.tolist(), rows, self.lattice(rows)):
-                    word = row.astype("<u4").tobytes().decode("utf-32-le")
-                    if "".join(map(self._string, found)) != word:     # two substrings with one hash: never seen, but not trusted
-                        found = [self.by_text.get(s, self.size + ord(s[0])) for s in self.merged(list(word))]
-                    out[k] = [i for p in found for i in ((p,) if p < self.size else self.spelled(p - self.size))]
-        return out
+                found, count = self._long(rows) if long else self._checked(rows, *self.lattice(rows))
+                found, count = self._spell(found, count)
+                at[part], size[part] = made + np.cumsum(count) - count, count
+                flat.append(found)
+                made += len(found)
+        return np.concatenate(flat) if flat else np.zeros(0, np.int64), at, size
+
+    def _long(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of long words, merged one by one."""
+        got = [[self.by_text.get(x, self.size + ord(x[0])) for x in self.merged_long(row.astype("<u4").tobytes().decode("utf-32-le"))] for row in rows]
+        return np.array([p for g in got for p in g], np.int64), np.array([len(g) for g in got], np.int64)
+
+    def _checked(self, rows: np.ndarray, found: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces whose characters are those of their words; others (two substrings with one hash: never seen, but not trusted) are made anew."""
+        known = (found >= 0) & (found < self.size)
+        p = np.where(known, found, 0)
+        chars = np.where(known, self.point_size[p], 1)
+        ends = np.concatenate([[0], np.cumsum(chars)])
+        bound = np.concatenate([[0], np.cumsum(count)])
+        own = np.repeat(np.where(known, self.point_at[p], 0) - ends[:-1], chars) + np.arange(ends[-1])
+        text = self.point[own]
+        text[ends[:-1][~known]] = np.maximum(found[~known] - self.size, 0)
+        good = np.diff(ends[bound]) == rows.shape[1]
+        if good.all():
+            good = (text.reshape(rows.shape) == rows).all(1)
+        else:
+            for k in np.flatnonzero(good).tolist():
+                good[k] = (text[ends[bound[k]]:ends[bound[k + 1]]] == rows[k]).all()
+        if good.all():
+            return found, count
+        got = np.split(found, bound[1:-1])
+        for k in np.flatnonzero(~good).tolist():
+            got[k] = np.array([self.by_text.get(x, self.size + ord(x[0])) for x in self.merged(list(rows[k].astype("<u4").tobytes().decode("utf-32-le")))], np.int64)
+        return np.concatenate(got), np.fromiter(map(len, got), np.int64, len(got))
+
+    def _spell(self, found: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """With unknown characters spelled."""
+        unknown = np.flatnonzero(found >= self.size)
+        if not len(unknown):
+            return found, count
+        spelled = [self.spelled(p - self.size) for p in found[unknown].tolist()]
+        width = np.ones(len(found), np.int64)
+        width[unknown] = [len(x) for x in spelled]
+        ends = np.concatenate([[0], np.cumsum(width)])
+        out = np.repeat(found, width)
+        for k, x in zip(ends[unknown].tolist(), spelled):
+            out[k:k + len(x)] = x
+        return out, np.diff(ends[np.concatenate([[0], np.cumsum(count)])])
 
     def spelled(self, point: int) -> list[int]:
         """An unknown character as its bytes, or the unknown piece where the model has none."""

@@ -162,8 +162,8 @@ class SpanIds:
         self.ids = np.zeros(0, np.uint32)
 
     def encode(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all spans in order, how many of them up to each span). ``encode(starts, ends)`` gives a list of id lists
-        and is called once, with the first place of every span that is not remembered."""
+        """(ids of all spans in order, how many of them up to each span). ``encode(starts, ends)`` gives a list of id lists,
+        or (ids, place of each span's first, their number), and is called once, with the first place of every span that is not remembered."""
         h = span_hashes(mix(points.astype(np.uint64) + np.uint64(1)), starts, ends)
         distinct, where, which = np.unique(h, return_index=True, return_inverse=True)
         if len(self.known) > self.limit:
@@ -175,9 +175,13 @@ class SpanIds:
         new = np.flatnonzero(~have)
         if len(new):
             got = encode(starts[where[new]], ends[where[new]])
-            size = np.fromiter(map(len, got), np.int64, len(got))
-            at = len(self.ids) + np.cumsum(size) - size
-            self.ids = np.concatenate([self.ids, np.array([i for g in got for i in g], np.uint32)])
+            if isinstance(got, tuple):
+                ids, at, size = got
+            else:
+                size = np.fromiter(map(len, got), np.int64, len(got))
+                ids, at = np.array([i for g in got for i in g], np.uint32), np.cumsum(size) - size
+            at = at + len(self.ids)
+            self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
             self.known, self.at, self.size = (np.insert(x, p[new], y) for x, y in ((self.known, distinct[new]), (self.at, at), (self.size, size)))
         slot = np.searchsorted(self.known, distinct)
         at, size = self.at[slot][which], self.size[slot][which]

@@ -342,6 +342,38 @@ def test_sentencepiece_equals_the_library(docs, rows):
         assert [ids[at[k]:at[k + 1]].tolist() for k in range(j - i)] == [lib.encode(t) for t in texts[i:j]]
 
 
+def test_pairs_of_pieces_are_decided_together(monkeypatch):
+    import sentencepiece
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    with open(path, "rb") as f:
+        m = pieces.Model(f.read())
+    lib, rng = sentencepiece.SentencePieceProcessor(model_file=path), random.Random(7)
+    own = list(m.by_text)
+    pair = np.array([[m.by_text[a], m.size + ord(rng.choice("\U000F0000\U000F0001")) if k % 50 == 0 else m.by_text[b]]
+                     for k, (a, b) in enumerate((rng.choice(own), rng.choice(own)) for _ in range(3000))]).T
+    text = lambda i: m.text[i] if i < m.size else chr(i - m.size)
+    want = [m.merged(list(text(a) + text(b))) == [text(a), text(b)] for a, b in pair.T.tolist()]
+    assert m.apart(*pair).tolist() == want and 0 < sum(want) < len(want)
+    assert m.apart(pair[0][::-1], pair[1][::-1]).tolist() == want[::-1]        # now remembered
+    # no word and no pair of its pieces is merged by itself
+    monkeypatch.setattr(pieces.Model, "merged", lambda *_: pytest.fail("characters merged one by one"))
+    texts = [" ".join("".join(rng.choice("etaoinshrdlu\U0001F600\U000F0000é語漢▁") for _ in range(rng.randint(1, 14))) for _ in range(40)) for _ in range(60)]
+    data, offs = X.utf8(pa.array(texts))
+    ids, at = m.encode(data, offs, X.SpanIds())
+    assert [ids[at[k]:at[k + 1]].tolist() for k in range(len(texts))] == [lib.encode(t) for t in texts]
+
+
+def test_words_whose_pieces_are_not_their_characters_are_made_anew():
+    m = pieces.model(queries.tokenizer_path("piece_bpe_32k.model"))
+    rows = np.array([[ord(c) for c in w] for w in ("them", "then", "this")], np.uint32)
+    found, count = m.lattice(rows)
+    want = [[m.by_text[x] for x in m.merged(list(w))] for w in ("them", "then", "this")]
+    for wrong in (m.by_text["a"], m.by_text["the"], m.size + ord("x")):        # of another length, of one length or longer, unknown
+        bad = np.concatenate([found[:count[0]], [wrong], found[count[0] + count[1]:]])
+        got, n = m._checked(rows, bad, np.array([count[0], 1, count[2]]))
+        assert [g.tolist() for g in np.split(got, np.cumsum(n)[:-1])] == want
+
+
 def test_unigram_viterbi_equals_the_library():
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2
