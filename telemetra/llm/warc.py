@@ -10,7 +10,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from .tables import fixed_bitmap
+from .tables import fixed_bitmap, stored
 
 # Fixed values of the format.
 VERSION = "WARC/1.1\r\n"
@@ -57,8 +57,9 @@ def captures_of(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     base = (pages.select("page_id", F.regexp_replace(F.regexp_replace(F.col("url").cast("string"), "\r", "%0D"), "\n", "%0A").alias("url"), html.alias("html"))
             .withColumn("digest", base32_sha1(F.col("html").cast("binary"))).withColumn("check", F.xxhash64("html")))
     key = ["digest", "check"]
-    shared = (base.where(F.octet_length("html") >= min_bytes).groupBy(*key)
-              .agg(F.max(F.struct("page_id", "url")).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    # stored, as it is read twice: the payloads are digested once for it
+    shared = stored(base.where(F.octet_length("html") >= min_bytes).groupBy(*key)
+                    .agg(F.max(F.struct("page_id", "url")).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated")
     bits = fixed_bitmap(shared.select(F.col("check").alias("h")))
     flags = base.sparkSession.createDataFrame([(i, int(w)) for i, w in enumerate(bits.words.tolist()) if w], "__at long, __word long")
     slot = F.pmod(F.col("check"), F.lit(bits.BITS))
@@ -159,14 +160,23 @@ def transactions(spark: SparkSession, path: str) -> DataFrame:
     """One nested row per capture: capture_id, response (response or revisit record, null for a capture without one),
     requests and metadata (records that name it in WARC-Concurrent-To, by record id).
 
-    The small records are gathered by the capture they name, then joined to the responses; records whose capture is not in the
-    archive still give a row. Equal capture ids would be equal records and are one row.
+    The archives are read once. Records meet by the capture they name and are sorted, the response first; it gets the small ones
+    beside it. Records whose capture is not in the archive still give a row. Responses that share an id are a row each.
     """
-    every = [f"`{c}`" for c in RECORD.names]
-    def gathered(kind: str) -> DataFrame:
-        r = read_records(spark, path, (kind,))
-        return r.groupBy(F.coalesce("concurrent_to", "record_id").alias("capture_id")).agg(F.sort_array(F.collect_list(F.struct(
-            "record_id", "target_uri", "date", "http_head", "payload"))).alias(kind))
-    main = read_records(spark, path, ("response", "revisit")).select(F.col("record_id").alias("capture_id"), F.struct(*every).alias("response"))
-    beside = gathered("request").join(gathered("metadata"), "capture_id", "full")
-    return main.join(beside, "capture_id", "full").select("capture_id", "response", F.col("request").alias("requests"), "metadata")
+    records = read_records(spark, path, ("response", "revisit", "request", "metadata"))
+    main = F.col("record_type").isin("response", "revisit")
+    capture = F.when(main, F.col("record_id")).otherwise(F.coalesce("concurrent_to", "record_id"))
+    by = Window.partitionBy("capture_id", "lone").orderBy("after")
+    every = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+    def beside(kind: str) -> Column:
+        small = F.struct("record_id", "target_uri", "date", "http_head", "payload")
+        got = F.sort_array(F.collect_list(F.when(F.col("kind") == kind, small)).over(every))
+        return F.when(F.size(got) > 0, got)
+
+    # columns of their own, so that both windows share one shuffle and one sort; without an id nothing belongs together, but small records of one type
+    rows = (records.withColumn("capture_id", capture).withColumn("kind", F.when(main, F.lit("response")).otherwise(F.col("record_type")))
+            .withColumn("lone", F.when(F.col("capture_id").isNull(), F.col("kind"))).withColumn("after", F.col("kind") != "response")
+            .withColumn("requests", beside("request")).withColumn("metadata", beside("metadata")).withColumn("nth", F.row_number().over(by)))
+    response = F.when(F.col("kind") == "response", F.struct(*[f"`{c}`" for c in RECORD.names]))
+    return rows.where("kind = 'response' or nth = 1").select("capture_id", response.alias("response"), "requests", "metadata")

@@ -1,8 +1,10 @@
 """Every operator on a small table with nulls, empty, blank and long texts, ties, repeated rows, an empty table and columns whose
 names clash with the operators' own; results against brute force."""
 import base64
+import gzip
 import hashlib
 import math
+import os
 import random
 import re
 import tracemalloc
@@ -243,6 +245,35 @@ def test_warc_round_trip(spark, tmp_out):
     assert warc.transactions(spark, tmp_out + "/empty").count() == 0
 
 
+def test_archives_are_read_once_and_lose_no_record(spark, tmp_out, monkeypatch):
+    tuned(spark)
+
+    def record(kind, own, to, body):
+        block = f"HTTP/1.1 200 OK\r\n\r\n{body}" if kind == "response" else body
+        head = [f"WARC-Type: {kind}", *([f"WARC-Record-ID: {own}"] if own else []), *([f"WARC-Concurrent-To: {to}"] if to else []),
+                *(["Content-Type: application/http; msgtype=response"] if kind == "response" else []), f"Content-Length: {len(block)}"]
+        return "WARC/1.1\r\n" + "\r\n".join(head) + "\r\n\r\n" + block + "\r\n\r\n"
+
+    records = [("request", "q1", "a", "1"), ("response", "a", None, "A"), ("metadata", "m1", "a", "2"), ("request", "q0", "a", "3"),
+               ("request", "q3", "gone", "4"), ("metadata", "m2", "gone", "5"), ("metadata", "m3", None, "6"), ("warcinfo", "i", None, "7"),
+               ("response", "b", None, "B"), ("response", "b", "x", "BB"), ("request", "q4", "b", "8"),
+               ("response", None, None, "N"), ("request", None, None, "9"), ("request", None, None, "10"), ("metadata", None, None, "11")]
+    os.makedirs(tmp_out + "/w")
+    for k in range(2):
+        with gzip.open(f"{tmp_out}/w/{k}.gz", "wb") as f:
+            f.write("".join(record(*r) for r in records[k::2]).encode())
+    read, times = warc.read_records, []
+    monkeypatch.setattr(warc, "read_records", lambda *a: (times.append(a), read(*a))[1])
+    small = lambda x: x and [(r.record_id, r.payload.decode()) for r in x]
+    got = Counter((r.capture_id, r.response and r.response.payload.decode(), str(small(r.requests)), str(small(r.metadata)))
+                  for r in warc.transactions(spark, tmp_out + "/w").collect())
+    assert len(times) == 1
+    assert got == Counter((c, p, str(q), str(m)) for c, p, q, m in [
+        ("a", "A", [("q0", "3"), ("q1", "1")], [("m1", "2")]), ("gone", None, [("q3", "4")], [("m2", "5")]), ("m3", None, None, [("m3", "6")]),
+        ("b", "B", [("q4", "8")], None), ("b", "BB", [("q4", "8")], None), (None, "N", None, None),
+        (None, None, [(None, "10"), (None, "9")], None), (None, None, None, [(None, "11")])])
+
+
 def test_small_payloads_are_all_responses(spark, tmp_out):
     pages = spark.createDataFrame([(1, "u", "aa"), (2, "u", "aa"), (3, "u", "bbbb"), (4, "u", "bbbb")], "page_id long, url string, html string")
     warc.write_archive(pages, tmp_out + "/w", min_bytes=3)
